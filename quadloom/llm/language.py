@@ -24,7 +24,7 @@ LANGUAGES = ("de", "en", "es", "fr", "it")
 #: Scripts of the known languages, as ranges of letters; letters outside make a word 'und'.
 LATIN = r"A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿﬀ-ﬆＡ-Ｚａ-ｚ"
 # Abbreviations whose dot ends no sentence.
-ABBREVIATIONS = "mr mrs ms dr sr sra st no nr art abs mme mlle prof hr fr sig m bzw ca etc vgl usw núm"
+ABBREVIATIONS = "mr mrs ms dr sr sra st no nr art abs mme mlle prof hr fr sig m bzw ca cf ref etc vgl usw núm"
 
 _WORD = r"\p{L}[\p{L}\p{M}]*"
 _PY_WORD = re.compile(r"[^\W\d_]+")
@@ -164,7 +164,7 @@ def label_texts(text: Column, model: Model) -> Column:
     return label(text)
 
 
-def whole_sentence_languages(labelled: Column, min_words: int = 3, min_share: float = 0.7, min_confidence: float = 0.9) -> Column:
+def whole_sentence_languages(labelled: Column, min_words: int = 2, min_share: float = 0.7, min_confidence: float = 0.9) -> Column:
     """The languages in which at least one sentence of a labelled text is written as a whole."""
     whole = F.filter(labelled["sentences"], lambda s: (s["words"] >= min_words) & (s["share"] >= min_share) & (s["confidence"] >= min_confidence) & (s["lang"] != "und"))
     return F.array_distinct(F.transform(whole, lambda s: s["lang"]))

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadloom.llm import encoding, language, lookalike, mixing, packing, terms, tokens
+from quadloom.session import table
 
 KEYWORDS = ["parl:keyword", "dcterms:subject"]
 LABEL_CHARS = 80
 
 
-def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(d, f"{name}.parquet"))
-
-
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    quads = _table(spark, d, "quads").where(F.col("p").isin(KEYWORDS))
+    quads = table(spark, d, "quads").where(F.col("p").isin(KEYWORDS))
     return terms.term_frequencies(quads, F.col("p"), {"o_v": F.col("o.v"), "o_lang": F.coalesce("o.lang", F.lit(""))}, F.col("s.v"))
 
 
@@ -30,17 +25,17 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    labels = _table(spark, d, "literals").where(F.length("lexical_form") < LABEL_CHARS)
+    labels = table(spark, d, "literals").where(F.length("lexical_form") < LABEL_CHARS)
     return lookalike.lookalike_pairs(labels, "literal_id", "lexical_form")
 
 
 def p6_labels(spark: SparkSession, d: str) -> DataFrame:
-    labels = _table(spark, d, "literals").where(F.length("lexical_form") < LABEL_CHARS)
+    labels = table(spark, d, "literals").where(F.length("lexical_form") < LABEL_CHARS)
     return labels.select("literal_id", lookalike.canonical_form(F.col("lexical_form")).alias("label"))
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "literals")
+    rows = table(spark, d, "literals")
     model = language.fit_languages(rows, "lexical_form", "language_tag")
     long = rows.where(F.length("lexical_form") >= LABEL_CHARS)
     return long.select("literal_id", "language_tag", language.label_texts(F.col("lexical_form"), model).alias("said"))
@@ -58,27 +53,27 @@ def p7_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("tokens"))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_sized(spark, d).select("doc_id", "tokens"), _table(spark, d, "pack_specs"), "doc_id", "tokens", "spec_id", "capacity_tokens")
+    return packing.pack(_sized(spark, d).select("doc_id", "tokens"), table(spark, d, "pack_specs"), "doc_id", "tokens", "spec_id", "capacity_tokens")
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(_sized(spark, d), _table(spark, d, "mix_targets"), "doc_id", "source", "tokens", "target_weight", "max_repeats")
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"), "doc_id", "source", "tokens", "target_weight", "max_repeats")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(p9_mixture(spark, d), _table(spark, d, "mix_targets"), "source", "target_weight")
+    return mixing.shares(p9_mixture(spark, d), table(spark, d, "mix_targets"), "source", "target_weight")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.affected(_table(spark, d, "documents"), "doc_id", "text")
+    return encoding.affected(table(spark, d, "documents"), "doc_id", "text")
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.repair(_table(spark, d, "documents"), "doc_id", "text")
+    return encoding.repair(table(spark, d, "documents"), "doc_id", "text")
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_terms, p6_found, p6_labels, p7_found, p7_segments, p8_containers, p9_mixture, p9_shares, p10_found, p10_restored)}
