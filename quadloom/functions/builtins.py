@@ -228,10 +228,7 @@ def triple_part(t: Column, i: int) -> Column:
     from quadloom.operators.quarantine import decode_term
 
     pattern = r"(?s)^<<\( (<[^>]*>|_:\S+) (<[^>]*>) (.*) \)>>$"
-    part = decode_term(F.regexp_extract(t["v"], pattern, i + 1))
-    dt = part["dt"]
-    dt = F.when(dt.startswith(XSD), F.concat(F.lit("xsd:"), F.substr(dt, F.lit(len(XSD) + 1)))).otherwise(dt)
-    return F.when(t["k"] == TRIPLE, F.struct(part["k"].alias("k"), part["v"].alias("v"), dt.alias("dt"), part["lang"].alias("lang"), part["dir"].alias("dir")))
+    return F.when(t["k"] == TRIPLE, decode_term(F.regexp_extract(t["v"], pattern, i + 1)))
 
 
 def cast(dt: str, v: Val) -> Val:

@@ -120,12 +120,17 @@ def reject_lines(df: DataFrame, id_col: str = "line_id", line: str = "line_text"
     return hit.withColumn("reason", reason).where("reason is not null").select(*[F.col(f"`{c}`") for c in kept], "reason")
 
 
+def short_datatype(iri: Column) -> Column:
+    """A datatype IRI in the short form that terms carry it in."""
+    return F.when(iri.startswith(XSD), F.concat(F.lit("xsd:"), F.substr(iri, F.lit(len(XSD) + 1)))).otherwise(iri)
+
+
 def decode_term(raw: Column) -> Column:
     """A raw valid term as TERM struct (k, v, dt, lang, dir); a triple term keeps its own text with k 3."""
     part = lambda i: F.regexp_extract(raw, _LITERAL, i)
     none, tag = F.lit(None).cast("string"), F.lower(part(2))
     base, direction = F.regexp_replace(tag, "--(ltr|rtl)$", ""), F.nullif(F.regexp_extract(tag, "--(ltr|rtl)$", 1), F.lit(""))
-    dt = F.when(tag != "", F.when(direction.isNotNull(), "rdf:dirLangString").otherwise("rdf:langString")).when(part(3) != "", unescape(F.regexp_replace(part(3), "^<|>$", ""))).otherwise("xsd:string")
+    dt = F.when(tag != "", F.when(direction.isNotNull(), "rdf:dirLangString").otherwise("rdf:langString")).when(part(3) != "", short_datatype(unescape(F.regexp_replace(part(3), "^<|>$", "")))).otherwise("xsd:string")
     term = lambda k, v, dt=none, lang=none, dr=none: F.struct(F.lit(k).cast("tinyint").alias("k"), v.alias("v"), dt.alias("dt"), lang.alias("lang"), dr.alias("dir"))
     return (
         F.when(raw.startswith("<<("), term(3, raw))
