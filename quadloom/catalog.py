@@ -22,7 +22,7 @@ def _maps(spark: SparkSession, d: str) -> list[TableMap]:
     big = lambda c: ("lit", f"cast({c} as bigint)", "int")
 
     def one(name: str, key: str, cls: str, path: str, /, **props: tuple) -> TableMap:
-        return TableMap(name, table(spark, d, name), f"{BASE}{path}/", key, f"{BASE}v#{cls}", _v(**props))
+        return TableMap(name, lambda: table(spark, d, name), f"{BASE}{path}/", key, f"{BASE}v#{cls}", _v(**props))
 
     return [
         one("region", "r_regionkey", "Region", "region", name=lit("r_name")),

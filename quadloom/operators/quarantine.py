@@ -19,7 +19,7 @@ from quadloom.functions.xsd import LEXICAL, XSD, matches
 _WS = r"[ \t]"
 _BNODE = r"_:[\p{L}\p{N}_:](?:[\p{L}\p{N}_:.·̀-ͯ‿⁀-]*[\p{L}\p{N}_:·̀-ͯ‿⁀-])?"
 _SUFFIX = r"(?:@[^\s]*|\^\^<[^>]*>)?"
-_STRING = r'"(?:[^"\\]|\\.)*"'
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'  # possessive: Java matches it without recursion, however long
 _ANY_IRI = r"<(?!<\()[^>]*>"
 _QUOTED = r"<<\(.*\)>>"
 #: Object terms from the strict to the faulty; the first that lets the line end after it is taken.
@@ -27,13 +27,14 @@ _OBJECT = rf"{_ANY_IRI}|{_QUOTED}|{_BNODE}|{_STRING}{_SUFFIX}|\".*\"{_SUFFIX}|'.
 _END = rf"{_WS}*\.{_WS}*(?:#.*)?\r?$"
 _LINE = rf"(?s)^{_WS}*({_ANY_IRI}|{_BNODE}){_WS}*({_ANY_IRI}){_WS}*({_OBJECT}){_END}"
 #: Two or more well-formed terms where one object belongs.
-_SEVERAL = rf"^(?:{_STRING}{_SUFFIX}|{_ANY_IRI}|{_BNODE})(?:{_WS}+(?:{_STRING}{_SUFFIX}|{_ANY_IRI}|{_BNODE}))+$"
+_SEVERAL = rf"^(?:{_STRING}{_SUFFIX}|{_ANY_IRI}|{_BNODE})(?:{_WS}+(?:{_STRING}{_SUFFIX}|{_ANY_IRI}|{_BNODE}))++$"
 
 _ESCAPED_IRI = r"\\u[0-9A-Fa-f]{4}|\\U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"
-_IRI_OK = rf"^<[A-Za-z][A-Za-z0-9+.-]*:(?:[^\x00-\x20<>\"{{}}|^`\\]|{_ESCAPED_IRI})*>$"
+_IRI_CHAR = r"[^\x00-\x20<>\"{}|^`\\]"
+_IRI_OK = rf"^<[A-Za-z][A-Za-z0-9+.-]*:{_IRI_CHAR}*+(?:(?:{_ESCAPED_IRI}){_IRI_CHAR}*+)*+>$"
 #: Escapes that stand for a character an IRI may not hold.
 _IRI_ESCAPE_BAD = r"\\(?:u00|U000000)(?:[01][0-9A-Fa-f]|20|22|3[CcEe]|5[CcEe]|60|7[BbCcDd])|\\(?:u|U0000)[Dd][89A-Fa-f][0-9A-Fa-f]{2}"
-_TEXT_OK = rf"^(?:[^\"\\\n\r]|\\[tbnrf\"'\\]|{_ESCAPED_IRI})*$"
+_TEXT_OK = rf"^[^\"\\\n\r]*+(?:(?:\\[tbnrf\"'\\]|{_ESCAPED_IRI})[^\"\\\n\r]*+)*+$"
 _TEXT_ESCAPE_BAD = r"(?<!\\)(?:\\\\)*\\(?:u|U0000)[Dd][89A-Fa-f][0-9A-Fa-f]{2}"
 _LANG_OK = r"^[A-Za-z]{1,8}(?:-[A-Za-z0-9]{1,8})*(?:--(?:ltr|rtl))?$"
 _LITERAL = r'(?s)^"(.*)"(?:@([^\s]*)|\^\^(<[^>]*>))?$'
@@ -88,16 +89,17 @@ def term_fault(raw: Column, depth: int = 2) -> Column:
 
 def _loose_fault(line: Column) -> Column:
     """The fault of a line that the loose pattern can't cut: a quoting fault where only its object's quotes are amiss, else the terms."""
-    odd = rf"(?s)^{_WS}*(?:{_ANY_IRI}|{_BNODE}){_WS}*{_ANY_IRI}{_WS}*(?:\"[^\"]*$|'.*'{_SUFFIX}{_END}|\"(?:[^\"\\]|\\.)*\"[^\s.@^<].*\.{_WS}*(?:#.*)?\r?$)"
+    odd = rf"(?s)^{_WS}*(?:{_ANY_IRI}|{_BNODE}){_WS}*{_ANY_IRI}{_WS}*(?:\"[^\"]*$|'.*'{_SUFFIX}{_END}|{_STRING}[^\s.@^<].*\.{_WS}*(?:#.*)?\r?$)"
     return F.when(line.rlike(odd), "quoting").otherwise("terms")
 
 
 def cut_lines(df: DataFrame, line: str = "line_text") -> DataFrame:
-    """df without blank lines and comments, with __ok (structure found) and the raw terms __s, __p, __o."""
+    """The lines of df but blank ones and comments: __row (all its columns), __line, __ok (structure found) and the raw terms __s, __p, __o."""
     t = F.col(f"`{line}`")
     part = lambda i: F.regexp_extract(t, _LINE, i)
     out = df.where(t.isNotNull() & ~t.rlike(r"^[ \t]*\r?(?:$|#)"))
-    return out.withColumns({"__ok": t.rlike(_LINE), "__s": part(1), "__p": part(2), "__o": part(3)})
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    return out.select(row, t.alias("__line"), t.rlike(_LINE).alias("__ok"), part(1).alias("__s"), part(2).alias("__p"), part(3).alias("__o"))
 
 
 def fault_dictionary(cut: DataFrame) -> DataFrame:
@@ -116,8 +118,8 @@ def reject_lines(df: DataFrame, id_col: str = "line_id", line: str = "line_text"
     for i, c in enumerate(("__s", "__p", "__o")):
         one = faults.where(F.col("__role") == i).select(F.col("__raw").alias(c), F.col("__fault").alias(f"__fault{i}"))
         hit = hit.join(one, c, "left")
-    reason = F.when(~F.col("__ok"), _loose_fault(F.col(f"`{line}`"))).otherwise(F.coalesce("__fault0", "__fault1", "__fault2"))
-    return hit.withColumn("reason", reason).where("reason is not null").select(*[F.col(f"`{c}`") for c in kept], "reason")
+    reason = F.when(~F.col("__ok"), _loose_fault(F.col("__line"))).otherwise(F.coalesce("__fault0", "__fault1", "__fault2"))
+    return hit.withColumn("reason", reason).where("reason is not null").select(*[F.col("__row")[c].alias(c) for c in kept], "reason")
 
 
 def short_datatype(iri: Column) -> Column:
@@ -147,7 +149,7 @@ def load_lines(df: DataFrame, id_col: str = "line_id", line: str = "line_text")
     faults = fault_dictionary(cut)
     for i, c in enumerate(("__s", "__p", "__o")):
         cut = cut.join(faults.where(F.col("__role") == i).select(F.col("__raw").alias(c)), c, "left_anti")
-    return cut.select(*[F.col(f"`{c}`") for c in kept], decode_term(F.col("__s")).alias("subject"), decode_term(F.col("__p"))["v"].alias("predicate"), decode_term(F.col("__o")).alias("object"))
+    return cut.select(*[F.col("__row")[c].alias(c) for c in kept], decode_term(F.col("__s")).alias("subject"), decode_term(F.col("__p"))["v"].alias("predicate"), decode_term(F.col("__o")).alias("object"))
 
 
 __all__ = ["LEXICAL", "cut_lines", "decode_term", "fault_dictionary", "load_lines", "reject_lines", "term_fault", "unescape"]

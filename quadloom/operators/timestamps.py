@@ -35,6 +35,8 @@ MONTHS = [
     "november novembre noviembre", "december dezember décembre diciembre dicembre",
 ]
 
+#: Characters beyond which a text is no notation of a time.
+LONGEST = 100
 _CLOCK = r"(\d\d?)[:h](\d\d)(?::(\d\d)(?:[.,](\d+))?)?"
 #: Notations as (name, pattern, year, month, day, ordinal day, hour group); the hour group is followed by minute, second, fraction and AM/PM.
 _NOTATIONS = [
@@ -112,7 +114,11 @@ def normalise_timestamps(df: DataFrame, text: str = "text", source_zone: str | N
     spark, keep = df.sparkSession, [c for c in df.columns if c not in ("ts_status", "ts_instant_us", "ts_sub_us", "ts_zone")]
     num = lambda c: F.expr(f"try_cast({c} as int)")
     t = F.trim(F.col(f"`{text}`"))
-    work = df.select(*[F.col(f"`{c}`") for c in keep]).withColumn("__t", t)
+    order = F.col(f"`{date_order}`").cast("string") if date_order else F.lit(None).cast("string")
+    given = F.col(f"`{source_zone}`").cast("string") if source_zone else F.lit(None).cast("string")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")  # the input's names can't meet those used below
+    work = df.select(row, F.when(F.length(t) <= LONGEST, t).alias("__t"), order.alias("__order"), given.alias("__given"))
+    order, given = F.col("__order"), F.col("__given")
     work = work.withColumn("__z", F.split(F.regexp_replace("__t", _ZONE, "$1|$2|$3|$4|$5"), r"\|", -1)).withColumn(
         "__z", F.when(F.col("__t").rlike(_ZONE) & ~F.col("__t").contains("|"), F.col("__z"))
     )
@@ -125,7 +131,6 @@ def normalise_timestamps(df: DataFrame, text: str = "text", source_zone: str | N
         shape = F.when(hit, F.lit(name)).otherwise(shape)
     unix = F.length("__t").isin(10, 13, 16) & F.col("__t").rlike(r"^\d+$")
     work = work.withColumns({"__f": F.when(~unix, fields), "__k": F.when(unix, F.lit("unix")).otherwise(shape)})
-    order = F.col(f"`{date_order}`") if date_order else F.lit(None).cast("string")
     swap = (F.col("__k") == "slashed") & (order == "mdy")
     month = F.coalesce(num("__f[1]"), F.try_element_at(_month_map(), F.lower(F.expr("__f[1]"))))
     work = work.withColumns(
@@ -169,7 +174,6 @@ def normalise_timestamps(df: DataFrame, text: str = "text", source_zone: str | N
             "__settled": (F.col("__k") == "unix") | (F.col("__o") != "") | (F.col("__a") != ""),
         }
     )
-    given = F.col(f"`{source_zone}`") if source_zone else F.lit(None).cast("string")
     zone = F.when(F.col("__n") != "", F.col("__n")).otherwise(given)
     work = work.withColumns(
         {
@@ -197,7 +201,7 @@ def normalise_timestamps(df: DataFrame, text: str = "text", source_zone: str | N
     offset = F.when(F.col("__settled"), F.col("__off").cast("bigint") * 60_000_000).otherwise(F.expr("__hits[0].offset_us"))
     ok = F.col("ts_status") == "resolved"
     return work.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col("__row")[c].alias(c) for c in keep],
         "ts_status",
         F.when(ok, F.col("__local") - offset).alias("ts_instant_us"),
         F.when(ok, F.expr("case when __k = 'unix' then '' else rtrim('0', substr(__fr, 7)) end")).alias("ts_sub_us"),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -172,13 +173,16 @@ class TableMap:
     """
 
     name: str
-    df: DataFrame
+    load: Callable[[], DataFrame]
     template: str
     key: str
     cls: str
     properties: dict[str, tuple]
-    key_is_unique: bool = True
-    cache: dict = field(default_factory=dict)
+
+    @cached_property
+    def df(self) -> DataFrame:
+        """The table, opened when a pattern first needs it."""
+        return self.load()
 
 
 def _native(kind: str, c: Column, t: Term) -> Column:
