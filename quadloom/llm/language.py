@@ -29,7 +29,7 @@ ABBREVIATIONS = "mr mrs ms dr sr sra st no nr art abs mme mlle prof hr fr sig m
 _WORD = r"\p{L}[\p{L}\p{M}]*"
 _PY_WORD = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile(rf"[{LATIN}]+\Z")
-_END = re.compile(r"(?<=[.!?…])[\"”“»’)\]]*\s+(?=[\W_]*\w)|\n+")
+_END = re.compile(r"(?<=[.!?…])[\"”“»’)\]]*\s+(?=\S)|\n+")
 SWITCH, SWITCH_AT_END, CLIP = 9.0, 2.5, 3.5
 
 
