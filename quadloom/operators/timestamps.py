@@ -21,6 +21,8 @@ from datetime import UTC, datetime, timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quadloom.session import cut
+
 # Usual abbreviations of zone offsets, in minutes.
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "Z": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EST": -300, "EDT": -240,
@@ -60,12 +62,12 @@ def _month_map() -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def zone_intervals(spark: SparkSession, zones: Iterable[str] | None = None, years: tuple[int, int] = (1900, 2100)) -> DataFrame:
+def zone_intervals(spark: SparkSession, zones: Iterable[str], years: tuple[int, int] = (1900, 2100)) -> DataFrame:
     """(zone, local_year, spans array<struct<since, until, offset_us>>): the offset intervals of each zone by the local years they touch.
 
-    Times are local microseconds since 1970. All IANA names by default: about 600 names by the given years bound the table, whatever the data.
+    Times are local microseconds since 1970. About 600 IANA names by the given years bound the table, whatever the data.
     """
-    names = sorted(set(zones) if zones is not None else zoneinfo.available_timezones())
+    names = sorted(set(zones))
     first, last = years
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +97,7 @@ def zone_intervals(spark: SparkSession, zones: Iterable[str] | None = None, year
                 yield pd.DataFrame(out, columns=["since", "until", "offset_us"]).assign(zone=name)
 
     year_of = "year(timestamp_micros({0}))"
-    rows = spark.createDataFrame([(n,) for n in names], "zone string").repartition(min(len(names), 2 * spark.sparkContext.defaultParallelism) or 1)
+    rows = spark.createDataFrame([(n,) for n in names], "zone string").repartition(max(1, min(len(names), 2 * spark.sparkContext.defaultParallelism)))
     rows = rows.mapInPandas(spans, "since bigint, until bigint, offset_us bigint, zone string")
     return (
         rows.withColumn("local_year", F.explode(F.expr(f"sequence({year_of.format('since')}, {year_of.format('until - 1')})")))
@@ -105,11 +107,12 @@ def zone_intervals(spark: SparkSession, zones: Iterable[str] | None = None, year
     )
 
 
-def normalise_timestamps(df: DataFrame, text: str = "text", source_zone: str | None = None, date_order: str | None = None, years: tuple[int, int] = (1900, 2100), zones: Iterable[str] | None = None) -> DataFrame:
+def normalise_timestamps(df: DataFrame, text: str = "text", source_zone: str | None = None, date_order: str | None = None, years: tuple[int, int] = (1900, 2100)) -> DataFrame:
     """df with ts_status, ts_instant_us, ts_sub_us and ts_zone; see the module's docstring.
 
     text, source_zone and date_order name columns; date_order holds 'dmy', 'mdy' or anything else (then slashed dates with the year last are
-    unparsed, being undecidable). zones limits the offset table to the named zones; by default all IANA zones can be named.
+    unparsed, being undecidable). The parsed rows are written once, to the checkpoint folder: the zones they name, among the IANA names, decide which
+    offset intervals are made.
     """
     spark, keep = df.sparkSession, [c for c in df.columns if c not in ("ts_status", "ts_instant_us", "ts_sub_us", "ts_zone")]
     num = lambda c: F.expr(f"try_cast({c} as int)")
@@ -181,7 +184,10 @@ def normalise_timestamps(df: DataFrame, text: str = "text", source_zone: str | N
         }
     )
     work = work.withColumn("__year", F.when(F.col("__k") != "unix", F.col("__y") + F.when(F.expr(f"__h = 24 and ({'__doy'} >= 365 or (__m = 12 and __d = 31))"), 1).otherwise(0)))
-    spans = zone_intervals(spark, zones, years).select(F.col("zone").alias("__zone"), F.col("local_year").alias("__year"), "spans")
+    work = cut(work.select("__row", "__t", "__k", "__order", "__local", "__off", "__settled", "__zone", "__year", "__fr", "__a", "__o"))
+    known = work.select("__zone").where(F.col("__zone").isin(sorted(zoneinfo.available_timezones()))).distinct()
+    spans = zone_intervals(spark, [r[0] for r in known.collect()], years)  # at most the IANA names
+    spans = spans.select(F.col("zone").alias("__zone"), F.col("local_year").alias("__year"), "spans")
     work = work.join(F.broadcast(spans), ["__zone", "__year"], "left")  # bounded by the IANA names times the years
     hits = F.filter("spans", lambda x: (x["since"] <= F.col("__local")) & (F.col("__local") < x["until"]))
     work = work.withColumn("__hits", hits)

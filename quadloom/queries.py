@@ -9,7 +9,7 @@ from quadloom.operators.hotkeys import hot_key_report
 from quadloom.operators.quarantine import load_lines, reject_lines
 from quadloom.operators.timestamps import equal_instants, normalise_timestamps
 from quadloom.operators.wide import filled_cells, widen
-from quadloom.session import cut, table
+from quadloom.session import table
 
 TIME_PREDICATES = ["parl:startedAt", "parl:recordedAt", "dcterms:issued"]
 MEMBER = "http://parl.example/member/"
@@ -28,7 +28,7 @@ def _sitting_times(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return equal_instants(cut(_sitting_times(spark, d)), "quad_id", "subject", ["lexical", "datatype"])
+    return equal_instants(_sitting_times(spark, d), "quad_id", "subject", ["lexical", "datatype"])
 
 
 def p1_times(spark: SparkSession, d: str) -> DataFrame:
