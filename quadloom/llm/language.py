@@ -45,15 +45,16 @@ class Model:
 
     words: dict[str, tuple[float, ...]] = field(default_factory=dict)
     grams: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    seen: dict[str, tuple[float, ...]] = field(default_factory=dict)  # scores made from trigrams, kept per worker
 
     def score(self, word: str) -> tuple[float, ...]:
-        if (hit := self.words.get(word)) is None:
+        if (hit := self.words.get(word) or self.seen.get(word)) is None:
             w = f"^{word}$"
-            seen = [g for i in range(len(w) - 2) if (g := self.grams.get(w[i : i + 3]))]
+            grams = [g for i in range(len(w) - 2) if (g := self.grams.get(w[i : i + 3]))]
             n = len(LANGUAGES)
-            hit = tuple(max(-CLIP / 2, min(CLIP / 2, 0.5 * sum(g[i] for g in seen))) for i in range(n)) if seen else (0.0,) * n
-            if len(self.words) < 400_000:
-                self.words[word] = hit
+            hit = tuple(max(-CLIP / 2, min(CLIP / 2, 0.5 * sum(g[i] for g in grams))) for i in range(n)) if grams else (0.0,) * n
+            if len(self.seen) < 400_000:
+                self.seen[word] = hit
         return hit
 
 
@@ -155,7 +156,7 @@ _SENTENCE = "array<struct<start:int,end:int,lang:string,confidence:double,words:
 
 def label_texts(text: Column, model: Model) -> Column:
     """Struct (lang, confidence, segments, sentences) of each text; positions count characters from 0."""
-    shared = Model(dict(model.words), model.grams)
+    shared = Model(model.words, model.grams)
 
     @F.pandas_udf(f"struct<lang:string,confidence:double,segments:{_SEGMENT},sentences:{_SENTENCE}>")
     def label(texts: pd.Series) -> pd.DataFrame:

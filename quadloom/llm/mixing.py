@@ -38,7 +38,8 @@ def mix(sized: DataFrame, targets: DataFrame, id_col: str, source_col: str, size
     known = sums.join(goals, "source").where("all_tokens > 0")
     plan = known.agg(F.sum("weight").alias("w"), F.min(F.expr("all_tokens * repeats / weight")).alias("most"), F.sum("n").alias("n")).first()
     if plan["w"] is None:
-        return spark.createDataFrame([], sized.select(F.col(id_col).alias("id")).schema.add("source", "string").add("repeat", "int").add("tokens", "bigint").add("finish", "double").add("running_tokens", "bigint"))
+        kind = sized.schema[id_col].dataType.simpleString()
+        return spark.createDataFrame([], f"id {kind}, source string, repeat int, tokens bigint, finish double, running_tokens bigint")
     most = int(plan["most"] * plan["w"]) if budget is None else int(budget)
     buckets = max(spread(spark), plan["n"] // 20_000 + 1)
     order = F.xxhash64(F.col("id"), F.lit(seed))
