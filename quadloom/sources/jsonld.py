@@ -13,6 +13,7 @@ from typing import Any
 
 from quadloom.errors import ParseError
 from quadloom.plans.iris import resolve
+from quadloom.sources.turtle import unused_label
 from quadloom.terms import BNODE, IRI, LITERAL, RDF, XSD, Term, double_text, full_dt, literal, short_dt
 
 _TYPE, _FIRST, _REST, _NIL = (Term(IRI, RDF + x) for x in ("type", "first", "rest", "nil"))
@@ -58,7 +59,7 @@ class JsonLdParser:
         except ValueError as e:
             raise _fail(str(e)) from e
         self.base, self.scope, self.contexts, self.directions = base, scope, contexts, directions
-        self.n = 0
+        self.n, self.anon = 0, unused_label(text)
         self.out: list[tuple[Term | None, Term, Term, Term]] = []
 
     def parse(self) -> list[tuple[Term | None, Term, Term, Term]]:
@@ -212,7 +213,7 @@ class JsonLdParser:
 
     def fresh(self) -> Term:
         self.n += 1
-        return Term(BNODE, f"{self.scope}anon__{self.n}")
+        return Term(BNODE, f"{self.scope}{self.anon}{self.n}")
 
     def ref(self, x: str | None) -> Term | None:
         if x is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quadloom.errors import ParseError
+from quadloom.functions.values import let
 from quadloom.operators import quarantine as Q
 from quadloom.terms import BNODE, TERM, nt_text
 
@@ -28,15 +29,13 @@ def parse_lines(lines: DataFrame, line: str = "value", quads: bool = False, scop
     rows = lines.where(t.isNotNull() & ~t.rlike(r"^[ \t]*\r?(?:$|#)"))
     pattern = _NQ if quads else Q._LINE
     part = lambda i: F.regexp_extract(t, pattern, i)
-    s, p, o, g = part(1), part(2), part(3), part(4) if quads else F.lit("")
-    checks = [_own_types(Q.term_fault(x, 1)) for x in (s, p, o)] + ([F.when(g != "", Q.term_fault(g, 0))] if quads else [])
-    fault = F.when(~t.rlike(pattern), "terms").otherwise(F.coalesce(*checks))
-    scope = F.lit("d") if scope is None else scope
-    term = lambda x: _scoped(Q.decode_term(x), scope).cast(TERM)
-    ok = F.col("fault").isNull()
-    return rows.withColumn("fault", fault).select(
-        F.when(ok & (g != ""), term(g)).alias("g"), F.when(ok, term(s)).alias("s"), F.when(ok, Q.decode_term(p)["v"]).alias("p"), F.when(ok, term(o)).alias("o"), "fault", t.alias("line")
-    )
+    rows = rows.select(t.alias("line"), (F.lit("d") if scope is None else scope).alias("scope"), t.rlike(pattern).alias("ok"), *[part(i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))], (part(4) if quads else F.lit("")).alias("g"))
+    checks = [F.col("s"), F.col("p"), F.col("o")] + ([F.when(F.col("g") != "", F.col("g"))] if quads else [])
+    fault = F.when(~F.col("ok"), "terms").otherwise(F.coalesce(*[let(x, lambda r: _own_types(Q.term_fault(r, 1))) for x in checks]))
+    rows = rows.withColumn("fault", fault)
+    ok, named = F.col("fault").isNull(), F.col("g") != ""
+    term = lambda c: let(F.col(c), lambda r: _scoped(Q.decode_term(r), F.col("scope"))).cast(TERM)
+    return rows.select(F.when(ok & named, term("g")).alias("g"), F.when(ok, term("s")).alias("s"), F.when(ok, let(F.col("p"), lambda r: Q.decode_term(r)["v"])).alias("p"), F.when(ok, term("o")).alias("o"), "fault", "line")
 
 
 def read_lines(spark: SparkSession, path: str, quads: bool = False, faults: str = "raise") -> DataFrame:

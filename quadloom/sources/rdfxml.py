@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 
 from quadloom.errors import ParseError
 from quadloom.plans.iris import resolve
+from quadloom.sources.turtle import unused_label
 from quadloom.terms import BNODE, IRI, RDF, Term, literal
 
 XML = "http://www.w3.org/XML/1998/namespace"
@@ -22,7 +23,7 @@ class RdfXmlParser:
     """Statements of one document; scope prefixes its blank node labels."""
 
     def __init__(self, text: str, base: str | None = None, scope: str = ""):
-        self.base, self.scope, self.n = base, scope, 0
+        self.base, self.scope, self.n, self.anon = base, scope, 0, unused_label(text)
         self.ids: set[str] = set()
         self.out: list[tuple[None, Term, Term, Term]] = []
         try:
@@ -48,7 +49,7 @@ class RdfXmlParser:
 
     def fresh(self) -> Term:
         self.n += 1
-        return Term(BNODE, f"{self.scope}anon__{self.n}")
+        return Term(BNODE, f"{self.scope}{self.anon}{self.n}")
 
     def add(self, s: Term, p: Term, o: Term) -> None:
         self.out.append((None, s, p, o))

@@ -16,13 +16,21 @@ _FIRST, _REST, _NIL, _TYPE, _REIFIES = (Term(IRI, RDF + x) for x in ("first", "r
 Quad = tuple[Term | None, Term, Term, Term]
 
 
+def unused_label(text: str) -> str:
+    """A beginning of blank node labels that does not occur in a text."""
+    label = "anon__"
+    while label in text:
+        label = "x" + label
+    return label
+
+
 class TurtleParser:
     """Statements of one document; graphs=True reads TriG. Blank node labels get the document's scope as prefix."""
 
     def __init__(self, text: str, base: str | None = None, scope: str = "", graphs: bool = False):
         self.text, self.base, self.scope, self.graphs = text, base, scope, graphs
         self.toks: list[Token] = tokens(text)
-        self.i, self.n = 0, 0
+        self.i, self.n, self.anon = 0, 0, unused_label(text)
         self.prefixes: dict[str, str] = {}
         self.out: list[Quad] = []
         self.g: Term | None = None
@@ -128,7 +136,7 @@ class TurtleParser:
 
     def fresh(self) -> Term:
         self.n += 1
-        return Term(BNODE, f"{self.scope}anon__{self.n}")
+        return Term(BNODE, f"{self.scope}{self.anon}{self.n}")
 
     def bnode(self) -> Term:
         self.i += 1
