@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark(tmp_path_factory):
     from quadloom.session import local_session
 
-    session = local_session(8, "tests", **{"spark__sql__shuffle__partitions": "4", "spark__default__parallelism": "4"})
+    session = local_session(8, "tests", **{"spark__sql__shuffle__partitions": "4", "spark__default__parallelism": "4", "spark__sql__codegen__wholeStage": "false", "spark__sql__codegen__factoryMode": "NO_CODEGEN"})
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     return session
 
