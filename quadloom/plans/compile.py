@@ -15,6 +15,7 @@ from quadloom.plans.algebra import BGP, Extend, Filter, Graph, Join, LeftJoin, M
 from quadloom.plans.parser import bare_vars, has_aggregate
 from quadloom.plans.paths import PathCompiler
 from quadloom.plans.rel import IRI_REPR, TERM_REPR, C, Rel, Repr
+from quadloom.session import cut
 from quadloom.store import Active
 from quadloom.terms import BNODE, IRI, LITERAL, TERM, TRIPLE, Term, nt_text, short_dt, term_col
 
@@ -89,14 +90,16 @@ class Compiler:
         """Joins the patterns: stars of one subject as one scan where the store can, the others most selective first and connected where possible."""
         if not triples:
             return self.unit(active)
+        triples = [x for t in triples for x in self.steps(t)]
         parts: list[tuple[int, list[str], Any]] = []
         rest = list(triples)
         subjects: dict[Any, list[tuple]] = {}
         for t in triples:
             if isinstance(t[1], Term) and not isinstance(t[0], TriplePattern) and not isinstance(t[2], TriplePattern):
                 subjects.setdefault(t[0], []).append(t)
+        allowed = self.store.restrict(subjects)
         for s, group in subjects.items():
-            if (got := self.store.star(s, [(p, o) for _, p, o in group], active)) is not None:
+            if (got := self.store.star(s, [(p, o) for _, p, o in group], active, allowed)) is not None:
                 rest = [t for t in rest if t not in group]
                 parts.append((sum(isinstance(o, Term) for _, _, o in group) + isinstance(s, Term), got.vars, got))
         for t in rest:
@@ -108,14 +111,36 @@ class Compiler:
             have = set(out.reprs) if out else set()
             best = max(range(len(parts)), key=lambda i: (bool(have & set(parts[i][1])) or not have, parts[i][0], -i))
             _, _, item = parts.pop(best)
-            got = item if isinstance(item, Rel) else self.triple(item, active)
+            got = item if isinstance(item, Rel) else self.triple(item, active, out)
             out = got if out is None else R.join(out, got)
         return out
 
-    def triple(self, t: tuple, active: Active) -> Rel:
+    def steps(self, t: tuple) -> list[tuple]:
+        """A path of plain steps as patterns over fresh variables, so that its steps join like any others; other paths stay."""
+        s, p, o = t
+        if not isinstance(p, Path):
+            return [t]
+        if p.op == "iri":
+            return [(s, Term(IRI, p.args[0]), o)]
+        if p.op == "inv":
+            return self.steps((o, p.args[0], s))
+        if p.op == "seq":
+            self.fresh += 1
+            mid = Var(f"?step{self.fresh}")
+            return self.steps((s, p.args[0], mid)) + self.steps((mid, p.args[1], o))
+        return [t]
+
+    def triple(self, t: tuple, active: Active, bound: Rel | None = None) -> Rel:
+        """One pattern; bound has the solutions of the pattern's neighbours, whose nodes a closure can start from."""
         s, p, o = t
         if not isinstance(p, Path):
             return self.store.scan(s, p, o, active)
+        if p.op in ("star", "plus", "opt") and bound is not None and active.kind != "var" and isinstance(s, Var) and isinstance(o, Var) and s != o:
+            for x, y, q in ((s, o, p), (o, s, Path(p.op, (Path("inv", p.args),)))):
+                if x.name in bound.reprs:
+                    seeds = cut(bound.df.select(bound.reprs[x.name].term(C(x.name)).alias("t")).distinct())
+                    df = PathCompiler(self.store, active).seeded(q, seeds).select(F.col("s").alias(x.name), F.col("o").alias(y.name))
+                    return Rel(df, {x.name: TERM_REPR, y.name: TERM_REPR})
         start, end = (self.store.const(x) if isinstance(x, Term) else None for x in (s, o))
         df = PathCompiler(self.store, active, tuple(x for x in (start, end) if x is not None)).pairs(p, start, end)
         cols, reprs = [], {}

@@ -20,6 +20,14 @@ class PathCompiler:
         self.keys = ["g"] if active.kind == "var" else []
         self.constants = constants
 
+    def seeded(self, p: Path, seeds: DataFrame) -> DataFrame:
+        """The pairs of a closure or optional path whose start is among seeds (t), which are nodes of the graph: nothing else is visited."""
+        same = seeds.select(F.col("t").alias("s"), F.col("t").alias("o"))
+        if p.op == "opt":
+            return same.unionByName(self.pairs(p.args[0]).join(seeds, F.col("s") == F.col("t"), "left_semi").select("s", "o")).distinct()
+        grown = self._closure(p.args[0], None, None, seeds)
+        return grown if p.op == "plus" else same.unionByName(grown).distinct()
+
     def _on(self, pairs: list[tuple[Column, Column]]) -> Column:
         return reduce(lambda a, b: a & b, [x == y for x, y in pairs])
 
@@ -94,13 +102,15 @@ class PathCompiler:
                 nodes = nodes.unionByName(edges.sparkSession.range(1).select(t.col().alias("n")))
         return nodes.distinct().select(F.col("n").alias("s"), F.col("n").alias("o"), *self.keys)
 
-    def _closure(self, inner: Path, start: Term | None, end: Term | None) -> DataFrame:
-        """Semi-naive transitive closure from the bound end, or of all pairs; each round joins only the new pairs and is checkpointed."""
+    def _closure(self, inner: Path, start: Term | None, end: Term | None, seeds: DataFrame | None = None) -> DataFrame:
+        """Semi-naive transitive closure from the bound end, from seeds, or of all pairs; each round joins only the new pairs and is checkpointed."""
         if start is None and end is not None:
             return self._swap(self._closure(Path("inv", (inner,)), end, None))
         cols = ["s", "o", *self.keys]
         step = cut(self.pairs(inner).select(*cols).distinct())
         first = step if start is None else step.where(equals(F.col("s"), start))
+        if seeds is not None:
+            first = step.join(seeds, F.col("s") == F.col("t"), "left_semi")
         seen = new = cut(first)
         while not new.isEmpty():
             reached = self._compose(new, step).distinct()

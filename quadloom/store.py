@@ -110,9 +110,12 @@ class QuadStore:
                 reprs[active.name] = TERM_REPR
         return Rel(df.select(*cols) if cols else df.select(F.lit(1).alias("?unit")), reprs)
 
-    def star(self, s: Any, pos: list[tuple[Any, Any]], active: Active) -> Rel | None:
+    def star(self, s: Any, pos: list[tuple[Any, Any]], active: Active, allowed: dict[str, set[str]] | None = None) -> Rel | None:
         return None
 
+    def restrict(self, stars: dict[Any, list[tuple]]) -> dict[str, set[str]]:
+        return {}
+
     def edges(self, active: Active, forward: list[str] | None = None, but: list[str] | None = None) -> DataFrame:
         """(s, o[, g]) of the statements of given predicates, or of all but given ones."""
         df = self._graph(active)
@@ -217,11 +220,53 @@ class MappedStore:
         kind, _, x = t.properties[p]
         return not (kind == "ref" and isinstance(o, Term) and not (o.k == IRI and o.v.startswith(x)))
 
-    def star(self, s: Any, pos: list[tuple[Any, Any]], active: Active) -> Rel | None:
+    def _fits(self, s: Any, pos: list[tuple[Any, Any]], allowed: dict[str, set[str]]) -> list[TableMap]:
+        """The tables that have all (predicate, object) of a subject, as far as the kinds of its variables allow."""
+
+        def fit(t: TableMap) -> bool:
+            if isinstance(s, Term):
+                if not s.v.startswith(t.template):
+                    return False
+            elif t.template not in allowed.get(s.name, {t.template}):
+                return False
+            for p, o in pos:
+                if not self._has(t, p.v, o):
+                    return False
+                if isinstance(o, Var) and (k := self._kind(t, p.v)) not in allowed.get(o.name, {k}):
+                    return False
+            return True
+
+        return [t for t in self.tables if fit(t)]
+
+    @staticmethod
+    def _kind(t: TableMap, p: str) -> str:
+        """What a property's objects are: the template of its IRIs, or a mark for classes and literals."""
+        if p == TYPE:
+            return "?class"
+        kind, _, x = t.properties[p]
+        return x if kind == "ref" else "?literal"
+
+    def restrict(self, stars: dict[Any, list[tuple]]) -> dict[str, set[str]]:
+        """The templates each variable can stand for, narrowed until all stars agree: a link's target settles which tables its end can be in."""
+        allowed: dict[str, set[str]] = {}
+        while True:
+            before = {v: set(k) for v, k in allowed.items()}
+            for s, group in stars.items():
+                pos = [(p, o) for _, p, o in group]
+                fits = self._fits(s, pos, allowed)
+                if isinstance(s, Var):
+                    allowed[s.name] = {t.template for t in fits}
+                for p, o in pos:
+                    if isinstance(o, Var):
+                        allowed[o.name] = {self._kind(t, p.v) for t in fits}
+            if allowed == before:
+                return allowed
+
+    def star(self, s: Any, pos: list[tuple[Any, Any]], active: Active, allowed: dict[str, set[str]] | None = None) -> Rel | None:
         """One scan for all (predicate, object) of a subject; a union over the tables that have them all; None if a predicate is a variable."""
         if active.kind != "default" or any(not isinstance(p, Term) for p, _ in pos):
             return None
-        fits = [t for t in self.tables if all(self._has(t, p.v, o) for p, o in pos) and not (isinstance(s, Term) and not s.v.startswith(t.template))]
+        fits = self._fits(s, pos, allowed or {}) or self._fits(s, pos, {})
         rels = [self._one(t, s, pos) for t in fits]
         if not rels:
             return None

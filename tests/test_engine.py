@@ -50,6 +50,9 @@ def rows(engine, text):
         ("SELECT ?x { ?x :knows* :c }", [(":a",), (":b",), (":c",)]),
         ("SELECT ?x { :zz :knows* ?x }", [(":zz",)]),
         ("SELECT ?x { :a :knows{2} ?x }", [(":c",)]),
+        ("SELECT ?x ?y { ?x :age 25 . ?x :knows* ?y }", [(":b", ":a"), (":b", ":b"), (":b", ":c")]),
+        ("SELECT ?x ?y { ?y :nick ?n . ?x :knows? ?y }", [(":a", ":a"), (":c", ":a")]),
+        ("SELECT ?y { ?x :age 25 . ?x :knows+ ?y }", [(":a",), (":b",), (":c",)]),
         ("SELECT ?x { ?x :knows{0,1} :b }", [(":a",), (":b",)]),
         ("SELECT ?x { :a !(:name|:age|:knows) ?x FILTER(isIRI(?x)) }", [(":P",)]),
         ("SELECT ?x { :b !(^:knows) ?x }", []),
