@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadloom.functions.xsd import LEXICAL, XSD, matches
+from quadloom.session import BROADCAST_ROWS, cut
 
 _WS = r"[ \t]"
 _BNODE = r"_:[\p{L}\p{N}_:](?:[\p{L}\p{N}_:.·̀-ͯ‿⁀-]*[\p{L}\p{N}_:·̀-ͯ‿⁀-])?"
@@ -102,22 +103,32 @@ def cut_lines(df: DataFrame, line: str = "line_text") -> DataFrame:
     return out.select(row, t.alias("__line"), t.rlike(_LINE).alias("__ok"), part(1).alias("__s"), part(2).alias("__p"), part(3).alias("__o"))
 
 
-def fault_dictionary(cut: DataFrame) -> DataFrame:
+def fault_dictionary(cut_rows: DataFrame) -> DataFrame:
     """(__role, __raw, __fault): each distinct faulty raw term of each column, checked once."""
-    terms = cut.where("__ok").select(F.explode(F.expr("array(struct(0 as r, __s as v), struct(1 as r, __p as v), struct(2 as r, __o as v))")).alias("x"))
+    terms = cut_rows.where("__ok").select(F.explode(F.expr("array(struct(0 as r, __s as v), struct(1 as r, __p as v), struct(2 as r, __o as v))")).alias("x"))
     distinct = terms.select(F.col("x.r").alias("__role"), F.col("x.v").alias("__raw")).distinct()
     return distinct.withColumn("__fault", term_fault(F.col("__raw"))).where("__fault is not null")
 
 
+#: Characters of dictionary text up to which the dictionary is broadcast; beyond it the joins shuffle.
+BROADCAST_CHARS = 16_000_000
+
+
+def _with_faults(cut_rows: DataFrame) -> DataFrame:
+    """cut_rows with __fault0..2 for its three terms. The dictionary is made once and written, so its size is known before it is joined."""
+    faults = cut(fault_dictionary(cut_rows))
+    size = faults.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("__raw")), F.lit(0)).alias("chars")).first()
+    small = size["n"] <= BROADCAST_ROWS and size["chars"] <= BROADCAST_CHARS
+    for i, c in enumerate(("__s", "__p", "__o")):
+        one = faults.where(F.col("__role") == i).select(F.col("__raw").alias(c), F.col("__fault").alias(f"__fault{i}"))
+        cut_rows = cut_rows.join(F.broadcast(one) if small else one, c, "left")
+    return cut_rows
+
+
 def reject_lines(df: DataFrame, id_col: str = "line_id", line: str = "line_text") -> DataFrame:
     """One row per faulty line: the input's columns and `reason`."""
     kept = [c for c in df.columns if c != "reason"]
-    cut = cut_lines(df, line)
-    faults = fault_dictionary(cut)
-    hit = cut
-    for i, c in enumerate(("__s", "__p", "__o")):
-        one = faults.where(F.col("__role") == i).select(F.col("__raw").alias(c), F.col("__fault").alias(f"__fault{i}"))
-        hit = hit.join(one, c, "left")
+    hit = _with_faults(cut_lines(df, line))
     reason = F.when(~F.col("__ok"), _loose_fault(F.col("__line"))).otherwise(F.coalesce("__fault0", "__fault1", "__fault2"))
     return hit.withColumn("reason", reason).where("reason is not null").select(*[F.col("__row")[c].alias(c) for c in kept], "reason")
 
@@ -145,11 +156,8 @@ def decode_term(raw: Column) -> Column:
 def load_lines(df: DataFrame, id_col: str = "line_id", line: str = "line_text") -> DataFrame:
     """One row per valid statement: the input's columns but the line, and subject, predicate (string) and object as TERM."""
     kept = [c for c in df.columns if c not in (line, "subject", "predicate", "object")]
-    cut = cut_lines(df, line).where("__ok")
-    faults = fault_dictionary(cut)
-    for i, c in enumerate(("__s", "__p", "__o")):
-        cut = cut.join(faults.where(F.col("__role") == i).select(F.col("__raw").alias(c)), c, "left_anti")
-    return cut.select(*[F.col("__row")[c].alias(c) for c in kept], decode_term(F.col("__s")).alias("subject"), decode_term(F.col("__p"))["v"].alias("predicate"), decode_term(F.col("__o")).alias("object"))
+    good = _with_faults(cut_lines(df, line).where("__ok")).where("coalesce(__fault0, __fault1, __fault2) is null")
+    return good.select(*[F.col("__row")[c].alias(c) for c in kept], decode_term(F.col("__s")).alias("subject"), decode_term(F.col("__p"))["v"].alias("predicate"), decode_term(F.col("__o")).alias("object"))
 
 
 __all__ = ["LEXICAL", "cut_lines", "decode_term", "fault_dictionary", "load_lines", "reject_lines", "term_fault", "unescape"]
