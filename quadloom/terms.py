@@ -63,6 +63,46 @@ class Term:
     def col(self) -> Column:
         return term_col(self.k, F.lit(self.v), F.lit(self.dt), F.lit(self.lang), F.lit(self.dir))
 
+    def value(self):
+        """The Python value of a literal; raises LiteralError outside the datatype's lexical space. IRIs and other datatypes give their text."""
+        import datetime as d
+        import re
+        from decimal import Decimal
+
+        from quadloom.errors import LiteralError
+        from quadloom.functions.xsd import LEXICAL
+
+        kind = (self.dt or "").removeprefix("xsd:")
+        if self.k != LITERAL or not (self.dt or "").startswith("xsd:") or kind == "string":
+            return self.v
+        space = "integer" if kind not in LEXICAL and re.search("(?i)integer|long|int|short|byte", kind) else kind
+        if space not in LEXICAL:
+            return self.v
+        if "\n" in self.v or not re.match(LEXICAL[space], self.v):
+            raise LiteralError(f"{self.v!r} is no {self.dt}")
+        if space == "boolean":
+            return self.v in ("true", "1")
+        if space == "integer":
+            return int(self.v)
+        if space == "decimal":
+            return Decimal(self.v)
+        if space in ("double", "float"):
+            return float(self.v.replace("INF", "inf"))
+        if space == "date":
+            return d.date.fromisoformat(self.v[:10])
+        over = "T24:00:00" in self.v
+        t = d.datetime.fromisoformat(self.v.replace("T24:00:00", "T00:00:00"))
+        return t + d.timedelta(days=1) if over else t
+
+    def try_value(self):
+        """value(), or None where it would raise."""
+        from quadloom.errors import LiteralError
+
+        try:
+            return self.value()
+        except (LiteralError, ValueError):
+            return None
+
     def nt(self) -> str:
         if self.k == BNODE:
             return f"_:{self.v}"
