@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from quadloom.session import cut, spread
 
 
+#: Targets are given by hand, a row per source; up to so many are copied to every executor.
+MAX_TARGETS = 10_000
+
+
 def _running(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """df with the running total of value per group in the order of (bucket, order); no task gets more than one bucket."""
     totals = df.groupBy(*group, bucket).agg(F.sum(value).alias("__t"))
@@ -31,9 +35,11 @@ def _running(df: DataFrame, group: list[str], bucket: str, order: list[str], val
 def mix(sized: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, weight_col: str, repeats_col: str, budget: int | None = None, seed: int = 7) -> DataFrame:
     """(id, source, repeat, tokens, finish, running_tokens): the collection in its order of finish; targets has a row per source."""
     spark = sized.sparkSession
+    if targets.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
     goals = targets.where(f"{weight_col} > 0 and {source_col} is not null").select(F.col(source_col).alias("source"), F.col(weight_col).cast("double").alias("weight"), F.greatest(F.col(repeats_col), F.lit(1)).alias("repeats"))
     rows = sized.where(F.col(source_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint").alias("tokens"))
-    rows = cut(rows.join(F.broadcast(goals.select("source")), "source", "left_semi"))  # targets: a row per source, given by hand
+    rows = cut(rows.join(F.broadcast(goals.select("source")), "source", "left_semi"))  # at most MAX_TARGETS rows
     sums = rows.groupBy("source").agg(F.sum("tokens").alias("all_tokens"), F.count(F.lit(1)).alias("n"))
     known = sums.join(goals, "source").where("all_tokens > 0")
     plan = known.agg(F.sum("weight").alias("w"), F.min(F.expr("all_tokens * repeats / weight")).alias("most"), F.sum("n").alias("n")).first()
