@@ -51,7 +51,7 @@ _NOTATIONS = [
     ("month_day", rf"^(?:\p{{L}}+\.?, ?)?(\p{{L}}+)\.? (\d\d?), (\d{{4}}),? {_CLOCK}(?: ?([AaPp][Mm]))?$", "$3", "$1", "$2", "", 4),
 ]
 _ZONE = (
-    r"^(.*?\d(?: ?[AaPp][Mm]| Uhr)?)(?: ?(?:UTC|GMT)?([+-]\d\d:?\d\d)| ?([Zz])| ((?![AaPp][Mm]$)[A-Z]{2,5}))?"
+    r"^(.*?\d(?: ?[AaPp][Mm]| Uhr)?)(?: ?(?:UTC|GMT)?([+-]\d\d(?::?\d\d)?)| ?([Zz])| ((?![AaPp][Mm]$)[A-Z]{2,5}))?"
     r"(?:(?:\[| )([A-Za-z]+(?:[/_+-][A-Za-z0-9]+)+|UTC|GMT)\]?)?$"
 )
 
@@ -162,7 +162,7 @@ def normalise_timestamps(df: DataFrame, text: str = "text", source_zone: str | N
     secs = f"({days}) * 86400L + ({hour}) * 3600 + __mi * 60 + __s"
     scale = F.expr("case length(__t) when 10 then 1000000L when 13 then 1000L else 1L end")
     off = F.regexp_replace(F.expr("__z[1]"), ":", "")
-    off_h, off_m = F.expr("try_cast(substr(__o, 2, 2) as int)"), F.expr("try_cast(substr(__o, 4, 2) as int)")
+    off_h, off_m = F.expr("try_cast(substr(__o, 2, 2) as int)"), F.expr("coalesce(try_cast(substr(__o, 4, 2) as int), 0)")
     abbr = F.when(F.expr("__z[2]") != "", F.lit("Z")).otherwise(F.expr("__z[3]"))
     table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
     work = work.withColumns({"__valid": F.coalesce(valid, F.lit(False)), "__o": off, "__a": abbr, "__n": F.expr("__z[4]")})

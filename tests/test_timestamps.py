@@ -50,6 +50,7 @@ def test_notations_and_zones(spark):
     [
         ("2020-06-01T12:00:00Z", None, None, "2020-06-01T12:00:00"),
         ("2020-06-01T12:00+02:00", "Asia/Kolkata", None, "2020-06-01T10:00:00"),
+        ("20200601T120000+05", None, None, "2020-06-01T07:00:00"),
         ("2020-06-01 12:00:00 UTC-03:30", None, None, "2020-06-01T15:30:00"),
         ("2011-10-30T02:31:00+02:00[Europe/Madrid]", None, None, "2011-10-30T00:31:00"),
         ("2020-06-01T12:00:00 Europe/London", None, None, "2020-06-01T11:00:00"),
