@@ -15,9 +15,12 @@ import math
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quadloom.session import cut
+
 # Primary subtags of two and three letters.
 TAGS = {"en": "en", "eng": "en", "de": "de", "deu": "de", "ger": "de", "fr": "fr", "fra": "fr", "fre": "fr", "es": "es", "spa": "es", "it": "it", "ita": "it"}
 LANGUAGES = ("de", "en", "es", "fr", "it")
@@ -68,21 +71,21 @@ def _scores(counts: pd.DataFrame, key: str) -> dict[str, tuple[float, ...]]:
 
 def _fit(labelled: DataFrame, min_count: int = 2) -> Model:
     words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_WORD})"), 1)).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     grams = counts.select("lang", "n", padded.alias("w")).select("lang", "n", F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substr(w, i, 3))")).alias("gram"))
     grams = grams.groupBy("lang", "gram").agg(F.sum(F.sqrt("n")).alias("n")).where("n >= 2")
     return Model(_scores(counts.where(f"n >= {min_count}").toPandas(), "word"), _scores(grams.toPandas(), "gram"))  # bounded by the sample
 
 
-def fit_languages(df: DataFrame, text: str, tag: str, train_rows: int = 20_000, min_chars: int = 80) -> Model:
+def fit_languages(df: DataFrame, text: str, tag: str, train_rows: int = 5_000, min_chars: int = 80) -> Model:
     """Fit on at most about train_rows labelled rows a language."""
     rows = df.select(F.col(text).alias("text"), tag_language(F.col(tag)).alias("lang")).where(f"lang is not null and length(text) >= {min_chars}")
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a language
     share = F.lit(1.0)
     for lang, k in n.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_rows / k))).otherwise(share)
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    rows = cut(rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000))
     if not n:
         return Model()
     first = _fit(rows)
@@ -100,9 +103,40 @@ def _label(text: str, model: Model) -> dict:
     for m in _PY_WORD.finditer(text):
         while m.start() >= until:
             sentence, until = sentence + 1, next(bounds)
-        words.append((m.start(), m.end(), sentence, model.score(m[0].lower()) if _LATIN.match(m[0]) else None))
+        w = m[0]
+        words.append((m.start(), m.end(), sentence, model.score(w.lower()) if w.isascii() or _LATIN.match(w) else None))
     if not words or not model.words:
         return {"lang": "und", "confidence": 0.0, "segments": [], "sentences": []}
+    return _label_constant(words) or _label_path(words)
+
+
+def _label_constant(words: list[tuple]) -> dict | None:
+    """The labels of a text whose best path never switches, which is certain if no run of words favours another language by as much as a switch costs."""
+    if any(w[3] is None for w in words):
+        return None
+    scores = np.array([w[3] for w in words])
+    top = int(scores.sum(axis=0).argmax())
+    ahead = np.zeros((len(words) + 1, len(LANGUAGES)))
+    np.cumsum(scores - scores[:, top : top + 1], axis=0, out=ahead[1:])
+    if (ahead - np.minimum.accumulate(ahead, axis=0)).max() >= min(SWITCH, SWITCH_AT_END):
+        return None
+    lang, number = LANGUAGES[top], [w[2] for w in words]
+    firsts = [0] + [k for k in range(1, len(words)) if number[k] != number[k - 1]]
+
+    def confidence(totals: np.ndarray) -> np.ndarray:
+        return 1 / np.exp(np.clip(totals - totals[:, top : top + 1], -50, 50)).sum(axis=1)
+
+    whole = float(confidence(scores.sum(axis=0, keepdims=True))[0])
+    parts = confidence(np.add.reduceat(scores, firsts, axis=0))
+    sentences = [
+        {"start": words[a][0], "end": words[b - 1][1], "lang": lang, "confidence": float(c), "words": b - a, "share": 1.0}
+        for a, b, c in zip(firsts, [*firsts[1:], len(words)], parts, strict=True)
+    ]
+    return {"lang": lang, "confidence": whole, "segments": [{"start": words[0][0], "end": words[-1][1], "lang": lang, "confidence": whole, "words": len(words)}], "sentences": sentences}
+
+
+def _label_path(words: list[tuple]) -> dict:
+    """The labels of the best path through all words."""
     n = len(LANGUAGES)
     best, back, last = [0.0] * n, [], -1
     for _, _, s, score in words:

@@ -69,6 +69,24 @@ def test_languages_held_out(spark):
     assert all(0 <= s["confidence"] <= 1 for r in rows for s in r["segments"])
 
 
+def test_constant_paths_are_best_paths():
+    rng = random.Random(9)
+    constant = 0
+    for _ in range(400):
+        main, words = rng.randrange(5), []
+        for k in range(rng.randrange(1, 25)):
+            score = tuple(rng.uniform(-2, 1) + (2.2 if i == main else 0) for i in range(5))
+            words.append((10 * k, 10 * k + 5, k // 6, score))
+        fast, slow = language._label_constant(words), language._label_path(words)
+        if fast is not None:
+            constant += 1
+            assert fast["lang"] == slow["lang"] and abs(fast["confidence"] - slow["confidence"]) < 1e-9
+            for name in ("segments", "sentences"):
+                drop = lambda x: [{k: round(v, 9) if isinstance(v, float) else v for k, v in y.items()} for y in x]
+                assert drop(fast[name]) == drop(slow[name])
+    assert constant > 50
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", "en"), (3, "12 !!", "en"), (4, "Привет мир", "en"), (5, "word " * 60_000, "xx")], "id bigint, text string, tag string")
     model = language.fit_languages(df, "text", "tag")
