@@ -1,12 +1,14 @@
 """Text decoded with the wrong character encoding: affected records found, the original restored where possible.
 
-The records compared are the words of all texts that hold a character beyond ASCII, each with the number of documents it is in. A garbled word and its
-clean near-twin are the same once their non-ASCII characters are stripped, so they meet in an equi-join on what is left; the clean one is the form most
-documents have. Aligned at their common ASCII characters, the two give pairs of garbled and clean runs. Each pair is explained by the encodings, right and
-wrong, that turn the clean run into the garbled one (also twice over); explanations that enough different pairs support are the learned mappings. They are
-then applied to every word: where UTF-8 was read as something else, valid multi-byte sequences are decoded, and where a single-byte encoding was mistaken
-for another, the word is mapped if its restored form is in more documents than it is itself. Replacement characters and stray control characters mark
-damage whose original comes, if at all, from a clean near-twin.
+The records compared are the words of all texts that hold a character beyond ASCII, each with the number of different texts it is in; copies of a text only
+decide between forms that equally many texts have. A garbled word and its clean near-twin are the same once their non-ASCII characters are stripped, so they
+meet in an equi-join on what is left; the clean one is the form most texts have, of those that are not plainly UTF-8 read as something else. Aligned at
+their common ASCII characters, the two give pairs of garbled and clean runs. Each pair is explained by the encodings, right and wrong, that turn the clean
+run into the garbled one (also twice over); explanations that enough different pairs support are the learned mappings. Between single-byte encodings a pair
+could as well be the inverse mistake: it counts only if clearly more words have it than have it turned round, and what copies alone decided counts only if
+no texts support the inverse. The mappings are then applied to every word: where UTF-8 was read as something else, valid multi-byte sequences are decoded,
+and where a single-byte encoding was mistaken for another, the word is mapped if its restored form is more widespread than it is itself. Replacement
+characters and stray control characters mark damage whose original comes, if at all, from a clean near-twin.
 
 Defined results: NULL and plain ASCII texts are clean; a word is restored the same way in all texts; with no learned mapping only replacement and control
 characters are found; texts and words of any length are handled whole.
@@ -105,10 +107,28 @@ def align(garbled: str, clean: str) -> list[tuple[str, str]]:
     return [(x, y) for x, y in zip(a, b, strict=True) if x != y and x and y] if len(a) == len(b) else []
 
 
+def _read_as_utf8() -> str:
+    """Pattern of the Latin letters and signs of UTF-8 read in any of the wrong encodings."""
+    parts = []
+    for wrong in WRONG:
+        own = lambda first, last=None, c=_tables(wrong)[0]: "[" + "".join(f"\\x{{{ord(x):x}}}" for x in c[first : (last or first) + 1]) + "]"
+        parts += [own(0xC2) + own(0xA0, 0xBF), own(0xC3) + own(0x80, 0xBF), own(0xE2) + own(0x80) + own(0x80, 0xBF)]
+    return "|".join(dict.fromkeys(parts))
+
+
+def _odd(text: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(f"({_TOKEN})"), 1), lambda w: F.regexp_replace(w, _EDGE, "")))
+
+
 def odd_words(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, word): the words with a character beyond ASCII, once per document, without ASCII punctuation around them."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(f"({_TOKEN})"), 1), lambda w: F.regexp_replace(w, _EDGE, "")))
-    return df.select(F.col(id_col).alias("id"), F.explode(found).alias("word"))
+    return df.select(F.col(id_col).alias("id"), F.explode(_odd(text)).alias("word"))
+
+
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(word, n_texts, n_docs): the words of odd_words with the number of different texts and of documents that have them."""
+    texts = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.unhex(F.sha2(text, 256)).alias("key"), _odd(text).alias("words")).groupBy("key", "words").agg(F.count(F.lit(1)).alias("copies"))
+    return texts.select(F.explode("words").alias("word"), "copies").groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("copies").alias("n_docs"))
 
 
 def _bare(word: Column) -> Column:
@@ -116,59 +136,76 @@ def _bare(word: Column) -> Column:
 
 
 def _twins(words: DataFrame) -> DataFrame:
-    """(word, n_docs, clean): words with the most widespread form that is the same without characters beyond ASCII."""
+    """(word, clean, by_texts): words with the most widespread form that is the same without characters beyond ASCII, and if it is in more texts, not just more copies."""
     rows = words.withColumn("bare", _bare(F.col("word"))).where("length(bare) >= 2")
-    sane = ~F.col("word").rlike("[\x80-\x9f�]")
-    best = rows.where(sane).groupBy("bare").agg(F.max(F.struct("n_docs", "word")).alias("top")).where("top.n_docs >= 2").select("bare", F.col("top.word").alias("clean"), F.col("top.n_docs").alias("clean_docs"))
-    return rows.join(best, "bare").where("word <> clean and n_docs < clean_docs").select("word", "n_docs", "clean", "clean_docs")
+    sane = ~F.col("word").rlike("[\x80-\x9f�]") & ~F.col("word").rlike(_read_as_utf8())
+    best = rows.where(sane).groupBy("bare").agg(F.max(F.struct("n_texts", "n_docs", "word")).alias("top")).where("top.n_docs >= 2").select("bare", "top")
+    fewer = F.struct("n_texts", "n_docs") < F.struct("top.n_texts", "top.n_docs")
+    return rows.join(best, "bare").where(F.expr("word <> top.word") & fewer).select("word", F.col("top.word").alias("clean"), F.expr("n_texts < top.n_texts").alias("by_texts"))
 
 
 def learn_mappings(twins: DataFrame, min_pairs: int = 2, min_words: int = 3) -> list[tuple[str, str, int]]:
     """The chains (right, wrong, times) that enough pairs of runs support; a pair counts for the chains of fewest steps that explain it."""
     known = chains()
+    known += [(w, r, 1) for r, w, _ in known if r != "utf_8" and (w, r, 1) not in known]  # inverses are weighed, not learned
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(g, c) for w, t in zip(batch["word"], batch["clean"], strict=True) for g, c in align(w, t)]
-            yield pd.DataFrame(rows, columns=["garbled", "clean"])
+            rows = [(min(g, c), max(g, c), g < c, by) for w, t, by in zip(batch["word"], batch["clean"], batch["by_texts"], strict=True) for g, c in align(w, t)]
+            yield pd.DataFrame(rows, columns=["a", "b", "up", "by_texts"])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for g, c, n in zip(batch["garbled"], batch["clean"], batch["n"], strict=True):
-                rows += [(i, n) for i, (r, w, k) in enumerate(known) if garble(c, r, w, k) == g]
-            yield pd.DataFrame(rows, columns=["chain", "n"])
-
-    runs = twins.mapInPandas(pairs, "garbled string, clean string").groupBy("garbled", "clean").agg(F.count(F.lit(1)).alias("n"))
-    support = runs.mapInPandas(explain, "chain int, n bigint").groupBy("chain").agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("words"))
-    return [known[r["chain"]] for r in support.where(f"pairs >= {min_pairs} and words >= {min_words}").orderBy(F.desc("words"), "chain").collect()]  # at most one row a chain
+            for a, b, up, down, sure_up, sure_down in batch.itertuples(index=False, name=None):
+                for g, c, n, turned, sure, sure_turned in ((a, b, up, down, sure_up, sure_down), (b, a, down, up, sure_down, sure_up)):
+                    net = sure if sure > 2 * sure_turned else 0
+                    most = 0 if sure_turned > 2 * sure else n if n > 2 * turned else net
+                    for i, (r, w, k) in enumerate(known):
+                        if n and garble(c, r, w, k) == g:
+                            rows.append((i, n, n) if r == "utf_8" else (i, most, net))
+            yield pd.DataFrame(rows, columns=["chain", "n", "sure"])
+
+    runs = twins.mapInPandas(pairs, "a string, b string, up boolean, by_texts boolean").groupBy("a", "b")  # a pair and the same turned round
+    runs = runs.agg(*[F.count_if(F.expr(x)).alias(name) for name, x in (("n_up", "up"), ("n_down", "not up"), ("sure_up", "up and by_texts"), ("sure_down", "not up and by_texts"))])
+    support = runs.mapInPandas(explain, "chain int, n bigint, sure bigint").groupBy("chain")
+    support = support.agg(F.count_if(F.expr("n > 0")).alias("pairs"), F.sum("n").alias("words"), F.count_if(F.expr("sure > 0")).alias("sure_pairs"), F.sum("sure").alias("sure_words"))
+    by = {known[r["chain"]]: r for r in support.collect()}  # at most one row a chain
+    learned = []
+    for chain in chains():
+        if (r := by.get(chain)) is not None:
+            inverse = by.get((chain[1], chain[0], 1))
+            n, words = (r["sure_pairs"], r["sure_words"]) if inverse is not None and inverse["sure_words"] else (r["pairs"], r["words"])
+            if n >= min_pairs and words >= min_words:
+                learned.append((-words, r["chain"], chain))
+    return [chain for _, _, chain in sorted(learned)]
 
 
 def garbled_words(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(word, restored, mapping) of every garbled word, restored NULL where its original is not known; and the (id, word) rows they were found in."""
     rows = odd_words(df, id_col, text)
-    words = cut(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs")))
+    words = cut(word_counts(df, text))
     twins = cut(_twins(words))
     learned = learn_mappings(twins)
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for word, n in zip(batch["word"], batch["n_docs"], strict=True):
+            for word, *n in zip(batch["word"], batch["n_texts"], batch["n_docs"], strict=True):
                 for rank, (r, w, k) in enumerate(learned):
                     if (x := restore(word, r, w, k)) is not None and not any(ud.category(c) == "Cc" for c in x):
                         changed = "".join(c for c in x if ord(c) > 127)
                         sure = r == "utf_8" and _PLAUSIBLE.match(changed) is not None
-                        out.append((word, n, x, f"{r}>{w}" + ">again" * (k - 1), sure, k * 100 - rank))
+                        out.append((word, *n, x, f"{r}>{w}" + ">again" * (k - 1), sure, k * 100 - rank))
                 if LOST in word or any(0x80 <= ord(c) < 0xA0 for c in word):
-                    out.append((word, n, None, "lost", True, -1))
-            yield pd.DataFrame(out, columns=["word", "n_docs", "restored", "mapping", "sure", "rank"])
-
-    found = words.mapInPandas(candidates, "word string, n_docs bigint, restored string, mapping string, sure boolean, rank int")
-    lexicon = words.select(F.col("word").alias("lex"), F.col("n_docs").alias("lex_docs"))
-    found = found.join(lexicon, F.col("restored") == F.col("lex"), "left").withColumn("lex_docs", F.coalesce("lex_docs", F.lit(0)))
-    best = F.max(F.struct((F.col("lex_docs") > F.col("n_docs")).alias("known"), "rank", "lex_docs", "restored", "mapping"))
-    found = found.where("sure or lex_docs > n_docs").groupBy("word").agg(best.alias("b"))
+                    out.append((word, *n, None, "lost", True, -1))
+            yield pd.DataFrame(out, columns=["word", "n_texts", "n_docs", "restored", "mapping", "sure", "rank"])
+
+    found = words.mapInPandas(candidates, "word string, n_texts bigint, n_docs bigint, restored string, mapping string, sure boolean, rank int")
+    lexicon = words.select(F.col("word").alias("lex"), F.struct("n_texts", "n_docs").alias("spread"))
+    found = found.join(lexicon, F.col("restored") == F.col("lex"), "left").withColumn("known", F.coalesce(F.col("spread") > F.struct("n_texts", "n_docs"), F.lit(False)))
+    best = F.max(F.struct("known", "rank", "spread", "restored", "mapping"))
+    found = found.where("sure or known").groupBy("word").agg(best.alias("b"))
     clean = twins.select("word", "clean")
     found = found.join(clean, "word", "left").select("word", F.coalesce("b.restored", F.when(F.col("b.mapping") == "lost", F.col("clean"))).alias("restored"), F.col("b.mapping").alias("mapping"))
     return found, rows

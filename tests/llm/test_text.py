@@ -121,6 +121,28 @@ def test_encodings_round_trip(spark):
     assert right >= 0.95 * len(changed)
 
 
+def test_copies_of_a_garbled_text_have_one_vote(spark):
+    rows = [x for x in CLEAN for _ in range(2)] + [f"{x} {i}" for x in CLEAN for i in range(4)] + ["Öl für Ärzte, señal única"]
+    bad = encoding.garble(" ".join([*CLEAN[:6], "Öl Ärzte señal única"]).replace("’", " "), "cp1252", "mac_roman")
+    copies = set(range(len(rows), len(rows) + len(rows) // 2))
+    df = spark.createDataFrame(list(enumerate(rows + [bad] * len(copies))), "doc_id bigint, text string")
+    assert {r[0] for r in encoding.affected(df, "doc_id", "text").collect()} == copies
+    fixed = {r["doc_id"]: r["text"] for r in encoding.repair(df, "doc_id", "text").collect()}
+    assert set(fixed) == copies and all("Für die Präsidentin wären" in x for x in fixed.values())
+
+
+def test_inverse_mappings_are_told_apart(spark):
+    clean = [f"{a}{c}{b}" for a in "bdfg" for b in ("la", "na", "ra") for c in "éüñç"]
+    forth, back = ("cp1252", "mac_roman", 1), ("mac_roman", "cp1252", 1)
+    learned = lambda pairs: encoding.learn_mappings(spark.createDataFrame(pairs, "word string, clean string, by_texts boolean"))
+    right, turned = [(encoding.garble(w, *forth), w, True) for w in clean], [(w, encoding.garble(w, *forth)) for w in clean[:8]]
+    assert not {back, ("mac_roman", "latin_1", 1)} & set(got := learned(right + [(*x, True) for x in turned])) and forth in got
+    copied = [(x, encoding.garble(x, *forth), False) for w in clean for x in (w, w.translate(str.maketrans("éüñç", "ßöáó")))]
+    assert not {back, ("mac_roman", "latin_1", 1)} & set(got := learned(right + copied)) and forth in got
+    got = learned(right + [(encoding.garble(w, *back), w, True) for w in clean])
+    assert forth in got and back in got  # both mistakes in one table
+
+
 def test_encoding_edges(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert encoding.affected(empty, "doc_id", "text").count() == 0 and encoding.repair(empty, "doc_id", "text").count() == 0
