@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 WEST, PRESS = "http://parl.example/desk/west", "http://parl.example/desk/press"
+COPY = "http://parl.example/desk/copy"
 
 
 def register(sql: str | None = None):
@@ -205,18 +206,45 @@ def knn_join(spark, d):
 
 @register(f"WITH w AS (SELECT DISTINCT s, p, o FROM quads WHERE g.v = '{WEST}') SELECT s.v AS s, CASE WHEN p = 'parl:keyword' THEN 'parl:tag' ELSE p END AS p, count(*) AS n FROM w WHERE p <> 'dcterms:subject' GROUP BY 1, 2")
 def update_modify(spark, d):
-    quads = table(spark, d, "quads").where(F.col("g.v") == WEST)
-    ds = Dataset(spark, quads, short=True, prefixes=PREFIXES | {"dcterms": "http://purl.org/dc/terms/"})
+    west = _modified(spark, d).quads.where(F.col("g.v") == WEST)
+    return west.groupBy(F.col("s.v").alias("s"), "p").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _modified(spark, d) -> Dataset:
+    """All quads after the updates of one graph."""
+    ds = Dataset(spark, table(spark, d, "quads"), short=True, prefixes=PREFIXES | {"dcterms": "http://purl.org/dc/terms/"})
     ds.update(f"WITH <{WEST}> DELETE {{ ?s parl:keyword ?o }} INSERT {{ ?s parl:tag ?o }} WHERE {{ ?s parl:keyword ?o }}")
-    ds.update(f"DELETE WHERE {{ GRAPH <{WEST}> {{ ?s dcterms:subject ?o }} }}")
-    return ds.quads.groupBy(F.col("s.v").alias("s"), "p").agg(F.count(F.lit(1)).alias("n"))
+    return ds.update(f"DELETE WHERE {{ GRAPH <{WEST}> {{ ?s dcterms:subject ?o }} }}")
+
+
+@register(
+    f"WITH t AS (SELECT g, s, p, o, coalesce(g.v = '{WEST}', false) AS west FROM quads) "
+    "SELECT g.v AS g, p, count(*) AS n FROM (SELECT DISTINCT g, s, CASE WHEN west AND p = 'parl:keyword' THEN 'parl:tag' ELSE p END AS p, o FROM t WHERE NOT (west AND p = 'dcterms:subject')) GROUP BY 1, 2"
+)
+def update_modify_all(spark, d):
+    return _modified(spark, d).quads.groupBy(F.col("g.v").alias("g"), "p").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(f"SELECT g.v AS g, count(*) AS n FROM (SELECT g, s, p, o FROM quads WHERE g.v IN ('{WEST}', '{PRESS}') UNION SELECT {{'k': 1::TINYINT, 'v': 'http://parl.example/desk/copy', 'dt': NULL, 'lang': NULL, 'dir': NULL}}, s, p, o FROM quads WHERE g.v = '{WEST}') WHERE g.v <> '{PRESS}' GROUP BY 1")
 def update_graphs(spark, d):
-    quads = table(spark, d, "quads").where(F.col("g.v").isin(WEST, PRESS))
-    ds = Dataset(spark, quads, short=True).update(f"COPY <{WEST}> TO <http://parl.example/desk/copy> ; DROP GRAPH <{PRESS}>")
-    return ds.quads.groupBy(F.col("g.v").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    return _by_graph(_copied(spark, d).quads.where(F.col("g.v").isin(WEST, COPY)))
+
+
+def _copied(spark, d) -> Dataset:
+    """All quads after one graph is copied and one dropped."""
+    return Dataset(spark, table(spark, d, "quads"), short=True).update(f"COPY <{WEST}> TO <{COPY}> ; DROP GRAPH <{PRESS}>")
+
+
+def _by_graph(quads: DataFrame) -> DataFrame:
+    return quads.groupBy(F.col("g.v").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    f"WITH t AS (SELECT DISTINCT g.v AS g, s, p, o FROM quads WHERE coalesce(g.v, '') <> '{COPY}') "
+    f"SELECT g, count(*) AS n FROM (SELECT * FROM t UNION ALL SELECT '{COPY}', s, p, o FROM t WHERE g = '{WEST}') WHERE coalesce(g, '') <> '{PRESS}' GROUP BY 1"
+)
+def update_graphs_all(spark, d):
+    return _by_graph(_copied(spark, d).quads)
 
 
 @register("SELECT event_type AS key, time_bucket(INTERVAL 1 hour, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")

@@ -106,10 +106,12 @@ class Dataset:
         if source == dest:
             return
         moved = self.quads.where(self._in(*source)).withColumn("g", self._name(dest[1]))
-        rest = self.quads if how == "add" else self.quads.where(~self._in(*dest))
+        rest = self.quads.where(~self._in(*dest))
+        if how == "add":
+            moved = moved.unionByName(self.quads.where(self._in(*dest))).distinct()
         if how == "move":
             rest = rest.where(~self._in(*source))
-        self._set(rest.unionByName(moved).distinct())
+        self._set(rest.unionByName(moved))
 
     def _modify(self, a: dict) -> None:
         active = Active("iri", a["with"]) if a["with"] else Active()
@@ -121,12 +123,15 @@ class Dataset:
         r.df = cut(r.df)  # the solutions are found once, before anything changes
         graph = None if a["with"] is None else Term(IRI, a["with"])
 
-        def quads(template: list[tuple]) -> DataFrame:
-            return c.instantiate([(graph if t[0] is None else t[0], *t[1:]) for t in template], r, with_graph=True)
+        def named(template: list[tuple]) -> list[tuple]:
+            return [(graph if t[0] is None else t[0], *t[1:]) for t in template or []]
 
-        new = self.quads
+        hit = F.lit(False)  # only the graphs that the templates name are joined and made distinct
+        for g, *_ in named(a["delete"]) + named(a["insert"]):
+            hit = hit | (self._in("default", None) if g is None else self._in("graph", g.v) if isinstance(g, Term) else F.lit(True))
+        new = self.quads.where(hit)
         if a["delete"]:
-            new = self._without(new, quads(a["delete"]))
+            new = self._without(new, c.instantiate(named(a["delete"]), r, with_graph=True))
         if a["insert"]:
-            new = new.unionByName(quads(a["insert"])).distinct()
-        self._set(new)
+            new = new.unionByName(c.instantiate(named(a["insert"]), r, with_graph=True)).distinct()
+        self._set(self.quads.where(~hit).unionByName(new))

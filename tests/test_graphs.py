@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +148,22 @@ def test_updates(spark):
         ds.update("CREATE GRAPH :n")
 
 
+def test_registered_updates_run_over_all_graphs(spark):
+    from quadloom.graph_queries import COPY, PRESS, QUERIES, WEST
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    quads = {(r["g"] and r["g"]["v"], *r[1:]) for r in spark.read.parquet(f"{folder}/quads.parquet").select("g", "s", "p", "o").collect()}
+    before = Counter((g, p) for g, _, p, _ in quads)
+    got = {(r["g"], r["p"]): r["n"] for r in QUERIES["update_modify_all"](spark, folder).collect()}
+    assert {k: n for k, n in got.items() if k[0] != WEST} == {k: n for k, n in before.items() if k[0] != WEST} and (None, "parl:keyword") in got
+    assert got[WEST, "parl:tag"] == before[WEST, "parl:keyword"] and not {(WEST, "parl:keyword"), (WEST, "dcterms:subject")} & set(got)
+    graphs = Counter(g for g, *_ in quads)
+    got = {r["g"]: r["n"] for r in QUERIES["update_graphs_all"](spark, folder).collect()}
+    assert got == {g: n for g, n in graphs.items() if g != PRESS} | {COPY: graphs[WEST]}
+
+
 def test_vocabulary(graph):
     v = Vocabulary(graph(":T rdfs:label 'T'@en, 'Tee' ; rdfs:comment 'c' . :U a rdfs:Class ."), E)
     assert v.T == E + "T" and v["U"] == E + "U" and v.label(v.T) == "Tee" and v.label(v.T, "en") == "T" and v.comment(v.T) == "c" and "U" in v and "V" not in v
