@@ -111,14 +111,15 @@ def _label(text: str, model: Model) -> dict:
 
 
 def _label_constant(words: list[tuple]) -> dict | None:
-    """The labels of a text whose best path never switches, which is certain if no run of words favours another language by as much as a switch costs."""
+    """The labels of a text whose best path never switches, which is certain if no run of words favours another language by half of what a switch costs:
+    a path with n switches has at most n + 1 such runs."""
     if any(w[3] is None for w in words):
         return None
     scores = np.array([w[3] for w in words])
     top = int(scores.sum(axis=0).argmax())
     ahead = np.zeros((len(words) + 1, len(LANGUAGES)))
     np.cumsum(scores - scores[:, top : top + 1], axis=0, out=ahead[1:])
-    if (ahead - np.minimum.accumulate(ahead, axis=0)).max() >= min(SWITCH, SWITCH_AT_END):
+    if (ahead - np.minimum.accumulate(ahead, axis=0)).max() >= min(SWITCH, SWITCH_AT_END) / 2:
         return None
     lang, number = LANGUAGES[top], [w[2] for w in words]
     firsts = [0] + [k for k in range(1, len(words)) if number[k] != number[k - 1]]

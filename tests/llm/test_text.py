@@ -87,6 +87,12 @@ def test_constant_paths_are_best_paths():
     assert constant > 50
 
 
+def test_two_leads_together_can_pay_for_one_switch():
+    scores = [(1.2, 0.0, -5.0, -5.0, -5.0)] * 2 + [(-5.0, 0.0, 1.2, -5.0, -5.0)] * 2
+    words = [(10 * k, 10 * k + 5, k // 2, score) for k, score in enumerate(scores)]
+    assert language._label_constant(words) is None and [s["lang"] for s in language._label_path(words)["segments"]] == ["de", "es"]
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", "en"), (3, "12 !!", "en"), (4, "Привет мир", "en"), (5, "word " * 60_000, "xx")], "id bigint, text string, tag string")
     model = language.fit_languages(df, "text", "tag")
