@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quadloom.functions.values import let
 from quadloom.functions.xsd import LEXICAL, XSD, matches
 from quadloom.session import BROADCAST_ROWS, cut
 
@@ -58,8 +59,28 @@ def _iri_bad(raw: Column) -> Column:
     return ~raw.rlike(_IRI_OK) | raw.rlike(_IRI_ESCAPE_BAD)
 
 
-def term_fault(raw: Column, depth: int = 2) -> Column:
-    """The fault of one raw term as cut from a line, or NULL; triple terms are looked into down to the given depth."""
+def term_fault(raw: Column) -> Column:
+    """The fault of one raw term as cut from a line, or NULL; triple terms are looked into at every depth."""
+    nested = let(_peeled(raw), lambda x: F.coalesce(x["fault"], _plain_fault(x["rest"])))
+    return F.when(raw.startswith("<<("), nested).otherwise(_plain_fault(raw))
+
+
+def _peeled(raw: Column) -> Column:
+    """(rest, fault) of a triple term: its innermost object, or the fault of the outermost level that has one. Only objects nest, so a level goes a round."""
+    inner_line = rf"(?s)^<<\({_WS}*({_ANY_IRI}|{_BNODE}){_WS}*({_ANY_IRI}){_WS}*({_OBJECT}){_WS}*\)>>$"
+
+    def level(term: Column) -> Column:
+        s, p, o = (F.regexp_extract(term, inner_line, i) for i in (1, 2, 3))
+        bad = (s.startswith("<") & _iri_bad(s)) | _iri_bad(p)
+        return F.struct(o.alias("rest"), F.when(~term.rlike(inner_line), "terms").when(bad, "iri").alias("fault"))
+
+    levels = F.greatest(F.size(F.split(raw, r"<<\(")) - 1, F.lit(1))  # at least as many as there are
+    start = F.struct(raw.alias("rest"), F.lit(None).cast("string").alias("fault"))
+    return F.aggregate(F.sequence(F.lit(1), levels), start, lambda x, _: F.when(x["fault"].isNull() & x["rest"].startswith("<<("), level(x["rest"])).otherwise(x))
+
+
+def _plain_fault(raw: Column) -> Column:
+    """The fault of a raw term that is no triple term, or NULL."""
     part = lambda i: F.regexp_extract(raw, _LITERAL, i)
     text, dt = part(1), F.regexp_replace(part(3), r"^<(?:xsd:|" + XSD.replace(".", r"\.") + r")(.*)>$", "xsd $1")
     value = unescape(text)
@@ -73,16 +94,8 @@ def term_fault(raw: Column, depth: int = 2) -> Column:
         .when((part(3) != "") & _iri_bad(part(3)), "iri")
         .when(wrong, "value")
     )
-    inner_line = rf"(?s)^<<\({_WS}*({_ANY_IRI}|{_BNODE}){_WS}*({_ANY_IRI}){_WS}*({_OBJECT}){_WS}*\)>>$"
-    if depth:
-        s, p, o = (F.regexp_extract(raw, inner_line, i) for i in (1, 2, 3))
-        bad = (s.startswith("<") & _iri_bad(s)) | _iri_bad(p)
-        nested = F.when(~raw.rlike(inner_line), "terms").when(bad, "iri").otherwise(term_fault(o, depth - 1))
-    else:
-        nested = F.lit("terms")
     return (
-        F.when(raw.startswith("<<("), nested)
-        .when(raw.startswith("<"), F.when(_iri_bad(raw), "iri"))
+        F.when(raw.startswith("<"), F.when(_iri_bad(raw), "iri"))
         .when(raw.startswith("_:"), F.lit(None).cast("string"))
         .otherwise(literal)
     )

@@ -31,7 +31,7 @@ def parse_lines(lines: DataFrame, line: str = "value", quads: bool = False, scop
     part = lambda i: F.regexp_extract(t, pattern, i)
     rows = rows.select(t.alias("line"), (F.lit("d") if scope is None else scope).alias("scope"), t.rlike(pattern).alias("ok"), *[part(i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))], (part(4) if quads else F.lit("")).alias("g"))
     checks = [F.col("s"), F.col("p"), F.col("o")] + ([F.when(F.col("g") != "", F.col("g"))] if quads else [])
-    fault = F.when(~F.col("ok"), "terms").otherwise(F.coalesce(*[let(x, lambda r: _own_types(Q.term_fault(r, 1))) for x in checks]))
+    fault = F.when(~F.col("ok"), "terms").otherwise(F.coalesce(*[let(x, lambda r: _own_types(Q.term_fault(r))) for x in checks]))
     rows = rows.withColumn("fault", fault)
     ok, named = F.col("fault").isNull(), F.col("g") != ""
     term = lambda c: let(F.col(c), lambda r: _scoped(Q.decode_term(r), F.col("scope"))).cast(TERM)

@@ -59,3 +59,22 @@ def test_empty_and_long(spark):
 def test_columns_named_like_results(spark):
     df = spark.createDataFrame([(1, f"{S} {P} .", 5, 6)], "line_id bigint, line_text string, reason int, subject int")
     assert reject_lines(df).collect()[0].asDict() == {"line_id": 1, "line_text": f"{S} {P} .", "subject": 6, "reason": "terms"}
+
+
+def nest(term: str, depth: int) -> str:
+    return "".join(f"<<( {S} {P} " for _ in range(depth)) + term + " )>>" * depth
+
+
+def test_triple_terms_of_any_depth(spark, tmp_path):
+    from quadloom.sources.ntriples import read_lines
+
+    good = [f"{S} {P} {nest(x, depth)} ." for depth in (1, 2, 3, 9) for x in (S, "_:b", '"<<( in a text"@en')]
+    bad = {"iri": "<rel>", "lang": '"a"@-', "terms": "<<( <http://e/s> )>>", "value": '"x"^^<xsd:integer>'}
+    lines = good + [f"{S} {P} {nest(x, 5)} ." for x in bad.values()]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id int, line_text string")
+    assert [r["line_id"] for r in load_lines(df).orderBy("line_id").collect()] == list(range(len(good)))
+    assert [r["reason"] for r in reject_lines(df).orderBy("line_id").collect()] == list(bad)
+    (tmp_path / "x.nt").write_text("\n".join(good))
+    assert read_lines(spark, str(tmp_path / "x.nt"), faults="raise").where("o.k = 3").count() == len(good)
+    (tmp_path / "x.nq").write_text("\n".join(lines))
+    assert read_lines(spark, str(tmp_path / "x.nq"), quads=True, faults="drop").count() == len(good) + 1  # readers take ill-typed literals
