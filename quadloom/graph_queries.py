@@ -165,7 +165,7 @@ def connected_components(spark, d):
 
 @register()
 def pagerank(spark, d):
-    r = G.pagerank(G.edges(table(spark, d, "quads"), "parl:mentions"), rounds=5)
+    r = G.pagerank(G.edges(table(spark, d, "quads"), "parl:mentions"), tolerance=1e-6)
     return r.select(F.col("v.v").alias("v"), F.round("rank", 9).alias("rank"))
 
 

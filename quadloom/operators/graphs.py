@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quadloom.session import cut
@@ -185,19 +187,24 @@ def components(pairs: DataFrame) -> DataFrame:
         label = new.select("v", "c")
 
 
-def pagerank(pairs: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(v, rank) of a directed edge list; nodes without out-edges share their rank among all."""
+def pagerank(pairs: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """(v, rank) of a directed edge list; nodes without out-edges share their rank among all. With a tolerance, as many rounds as it takes until the
+    ranks of one differ from those before by no more than that in sum."""
     e = cut(pairs.select("src", "dst").distinct())
     nodes = cut(e.select("src").union(e.select("dst")).distinct().withColumnRenamed("src", "v"))
     n = nodes.count()
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     links = cut(e.join(out, "src"))
-    for _ in range(rounds):
+    for _ in range(rounds) if tolerance is None else count():
         sent = links.join(rank, F.col("src") == F.col("v")).groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("rank") / F.col("d")).alias("got"))
         loose = rank.join(out, F.col("v") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        rank = cut(nodes.join(sent, "v", "left").select("v", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
-    return rank
+        rank = cut(rank.withColumnRenamed("rank", "old").join(sent, "v", "left").select("v", "old", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        moved = F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0))
+        if tolerance is not None and rank.agg(moved).first()[0] <= tolerance:
+            break
+        rank = rank.drop("old")
+    return rank.select("v", "rank")
 
 
 # annotations

@@ -60,6 +60,20 @@ def test_projections(graph, spark):
     assert abs(sum(ranks.values()) - 1) < 1e-6 and ranks[E + "c"] > ranks[E + "b"] > ranks[E + "a"]
 
 
+def test_registered_ranks_have_converged(spark, tmp_path, graph):
+    from quadloom.graph_queries import QUERIES
+
+    edges = graph(":a :m :b . :b :m :c . :c :m :d , :a . :e :m :d .").withColumn("p", F.lit("parl:mentions"))
+    edges.withColumn("g", F.lit(None).cast(TERM)).write.parquet(str(tmp_path / "quads.parquet"))
+    got = {r["v"]: r["rank"] for r in QUERIES["pagerank"](spark, str(tmp_path)).collect()}
+    out = {x: [y for a, y in ("ab", "bc", "cd", "ca", "ed") if a == x] for x in "abcde"}
+    rank = dict.fromkeys("abcde", 0.2)
+    for _ in range(300):
+        loose = sum(rank[x] for x in rank if not out[x])
+        rank = {v: 0.03 + 0.85 * (loose / 5 + sum(rank[x] / len(out[x]) for x in rank if v in out[x])) for v in rank}
+    assert all(abs(got[E + v] - rank[v]) < 1e-5 for v in rank)
+
+
 def test_annotations(graph):
     s, p, o = iri(E + "a"), iri(E + "p"), iri(E + "b")
     g = G.annotate(graph(":a :p :b ."), s, p, o, E + "since", Term(2, "3", "xsd:integer"))
