@@ -114,6 +114,21 @@ def rdfs_inference(spark, d):
     return I.infer_rdfs(data.unionByName(schema)).select(F.col("s.v").alias("s"), "p", F.col("o.v").alias("o"))
 
 
+_CUSTOMER_SCHEMA = "@prefix : <http://data.example/v#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . :Customer rdfs:subClassOf :Party . :Party rdfs:subClassOf :Agent . :nation rdfs:domain :Resident ; rdfs:range :Place ; rdfs:subPropertyOf :within ."
+
+
+@register(
+    f"SELECT '{BASE}customer/' || c_custkey AS s, '{RDF_TYPE}' AS p, '{BASE}v#' || c AS o FROM customer, (VALUES ('Party'), ('Agent'), ('Resident')) t(c) "
+    f"UNION ALL SELECT DISTINCT '{BASE}nation/' || c_nationkey, '{RDF_TYPE}', '{BASE}v#Place' FROM customer "
+    f"UNION ALL SELECT '{BASE}customer/' || c_custkey, '{BASE}v#within', '{BASE}nation/' || c_nationkey FROM customer "
+    f"UNION ALL SELECT '{BASE}v#Customer', 'http://www.w3.org/2000/01/rdf-schema#subClassOf', '{BASE}v#Agent'"
+)
+def rdfs_inference_customers(spark, d):
+    data = mapped_engine(spark, d).sparql("CONSTRUCT { ?c a :Customer ; :nation ?n } WHERE { ?c a :Customer ; :nation ?n }")
+    schema = graph_of_text(spark, _CUSTOMER_SCHEMA, "turtle").select("s", "p", "o")
+    return I.infer_rdfs(data.unionByName(schema)).select(F.col("s.v").alias("s"), "p", F.col("o.v").alias("o"))
+
+
 _SHAPES = """@prefix : <http://data.example/v#> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
 :S a sh:NodeShape ; sh:targetClass :Supplier ; sh:property [ sh:path :balance ; sh:datatype xsd:double ; sh:minInclusive 0.0 ; sh:minCount 1 ] ,
  [ sh:path :name ; sh:maxLength 30 ; sh:pattern "[02468]$" ] , [ sh:path ( :nation :name ) ; sh:in ( "FRANCE" "GERMANY" "JAPAN" "CHINA" ) ] ."""
@@ -260,7 +275,7 @@ def session_windows(spark, d):
 
 @register()
 def turtle_blocks(spark, d):
-    return subject_blocks(mapped_engine(spark, d).sparql("CONSTRUCT { ?n a :Nation ; :name ?m ; :region ?r } WHERE { ?n a :Nation ; :name ?m ; :region ?r }"), {"": f"{BASE}v#"}).select("text")
+    return subject_blocks(mapped_engine(spark, d).sparql("CONSTRUCT { ?c a :Customer ; :name ?m ; :nation ?n } WHERE { ?c a :Customer ; :name ?m ; :nation ?n }"), {"": f"{BASE}v#"}).select("text")
 
 
 @register("SELECT s.v AS s, o.v AS o FROM (SELECT DISTINCT s, o FROM quads WHERE g IS NULL AND p = 'parl:inSitting' AND s.v <> 'http://parl.example/speech/1')")

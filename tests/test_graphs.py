@@ -74,6 +74,22 @@ def test_registered_ranks_have_converged(spark, tmp_path, graph):
     assert all(abs(got[E + v] - rank[v]) < 1e-5 for v in rank)
 
 
+def test_inference_and_turtle_run_over_customers(spark):
+    from quadloom.graph_queries import BASE, QUERIES
+    from quadloom.sources.io import graph_of_text
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    rows = {f"{BASE}customer/{r['c_custkey']}": (r["c_name"], f"{BASE}nation/{r['c_nationkey']}") for r in spark.read.parquet(f"{folder}/customer.parquet").collect()}
+    blocks = [r["text"] for r in QUERIES["turtle_blocks"](spark, folder).collect()]
+    got = graph_of_text(spark, f"@prefix : <{BASE}v#> .\n" + "\n".join(blocks), "turtle").select("s.v", "p", "o.v").collect()
+    assert len(blocks) == len(rows) and {(s, o) for s, p, o in got if p == f"{BASE}v#name"} == {(s, n) for s, (n, _) in rows.items()}
+    assert {(s, o) for s, p, o in got if p == f"{BASE}v#nation"} == {(s, n) for s, (_, n) in rows.items()} and len(got) == 3 * len(rows)
+    inferred = {tuple(r) for r in QUERIES["rdfs_inference_customers"](spark, folder).collect()}
+    assert {(s, f"{BASE}v#within", n) for s, (_, n) in rows.items()} <= inferred and {s for s, _, o in inferred if o == f"{BASE}v#Agent"} == {*rows, f"{BASE}v#Customer"}
+
+
 def test_annotations(graph):
     s, p, o = iri(E + "a"), iri(E + "p"), iri(E + "b")
     g = G.annotate(graph(":a :p :b ."), s, p, o, E + "since", Term(2, "3", "xsd:integer"))
