@@ -24,9 +24,12 @@ _SUFFIX = r"(?:@[^\s]*|\^\^<[^>]*>)?"
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'  # possessive: Java matches it without recursion, however long
 _ANY_IRI = r"<(?!<\()[^>]*>"
 _QUOTED = r"<<\(.*\)>>"
+_INSIDE = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+#: A text whose closing quote is missing; a whole literal to the end of the line is none, its dot is missing.
+_OPEN = rf"\"(?!{_INSIDE}\"{_SUFFIX}{_WS}*\r?$)(?:[^\"]*|(?={_INSIDE}$).*)"
 #: Object terms from the strict to the faulty; the first that lets the line end after it is taken.
-_OBJECT = rf"{_ANY_IRI}|{_QUOTED}|{_BNODE}|{_STRING}{_SUFFIX}|\".*\"{_SUFFIX}|'.*'{_SUFFIX}|\"[^\"]*|[“”„«»‘’].*[“”„«»‘’]{_SUFFIX}|[^<_\"'\s#.][^\"]*\"{_SUFFIX}"
-_END = rf"{_WS}*\.{_WS}*(?:#.*)?\r?$"
+_OBJECT = rf"{_ANY_IRI}|{_QUOTED}|{_BNODE}|{_STRING}{_SUFFIX}|\".*\"{_SUFFIX}|'.*'{_SUFFIX}|{_OPEN}|[“”„«»‘’].*[“”„«»‘’]{_SUFFIX}|[^<_\"'\s#.]{_INSIDE}\"{_SUFFIX}"
+_END = rf"{_WS}*\.{_WS}*(?:#.*)?\r?\n?$"
 _LINE = rf"(?s)^{_WS}*({_ANY_IRI}|{_BNODE}){_WS}*({_ANY_IRI}){_WS}*({_OBJECT}){_END}"
 #: Two or more well-formed terms where one object belongs.
 _SEVERAL = rf"^(?:{_STRING}{_SUFFIX}|{_ANY_IRI}|{_BNODE})(?:{_WS}+(?:{_STRING}{_SUFFIX}|{_ANY_IRI}|{_BNODE}))++$"
@@ -103,7 +106,7 @@ def _plain_fault(raw: Column) -> Column:
 
 def _loose_fault(line: Column) -> Column:
     """The fault of a line that the loose pattern can't cut: a quoting fault where only its object's quotes are amiss, else the terms."""
-    odd = rf"(?s)^{_WS}*(?:{_ANY_IRI}|{_BNODE}){_WS}*{_ANY_IRI}{_WS}*(?:\"[^\"]*$|'.*'{_SUFFIX}{_END}|{_STRING}[^\s.@^<].*\.{_WS}*(?:#.*)?\r?$)"
+    odd = rf"(?s)^{_WS}*(?:{_ANY_IRI}|{_BNODE}){_WS}*{_ANY_IRI}{_WS}*(?:\"{_INSIDE}$|'.*'{_SUFFIX}{_END}|{_STRING}[^\s.@^<].*\.{_WS}*(?:#.*)?\r?$)"
     return F.when(line.rlike(odd), "quoting").otherwise("terms")
 
 

@@ -78,3 +78,14 @@ def test_triple_terms_of_any_depth(spark, tmp_path):
     assert read_lines(spark, str(tmp_path / "x.nt"), faults="raise").where("o.k = 3").count() == len(good)
     (tmp_path / "x.nq").write_text("\n".join(lines))
     assert read_lines(spark, str(tmp_path / "x.nq"), quads=True, faults="drop").count() == len(good) + 1  # readers take ill-typed literals
+
+
+def test_texts_that_look_like_the_end_of_a_line(spark):
+    want = {
+        f'{S} {P} "No. # 3"': "terms", f'{S} {P} "No. # 3"@en': "terms", f'{S} {P} "No. # 3 .': "quoting", f'{S} {P} "a "b" c. # 3"@en .': "quoting", f'{S} {P} "No. # 3" .': None,
+        f'{S} {P} "said \\"yes\\" . Now .': "quoting", f'{S} {P} said \\"yes\\" . Now"@en .': "quoting", f'{S} {P} "said \\"yes\\" . Now"': "terms", f'{S} {P} "a\x00b" .': None, f"{S} {P} \x00 .": "terms",
+    }
+    got = {r["line_text"]: r["reason"] for r in reject_lines(frame(spark, list(want))).collect()}
+    assert got == {k: v for k, v in want.items() if v}
+    assert load_lines(frame(spark, list(want))).count() == 2
+
