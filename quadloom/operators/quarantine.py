@@ -1,7 +1,9 @@
 """Statement lines: valid rows loaded, faulty rows apart with the reason.
 
-Each line is first cut into subject, predicate, object and tail by one loose pattern (the structural check). Then each distinct raw term of each
-column is checked once; the faulty ones with their reasons form a dictionary, which is joined back to the lines. Lines without a fault are loaded
+Each line is first cut into subject, predicate, object and tail by one loose pattern (the structural check). Terms that a quick exact pattern knows to
+be valid need no more. The lines with any other term are written once; of each of their columns every distinct term is checked once, the faulty ones
+with their reasons form a dictionary, and that is joined back to the written lines. A column's part of the dictionary is broadcast up to a checked size;
+beyond it the join shuffles, lines without structure never take part in it, and adaptive execution splits a hot term. Lines without a fault are loaded
 with their terms decoded.
 
 Reasons: 'terms' (not exactly subject, predicate, object and dot), 'quoting', 'iri', 'lang', 'value'. Defined results: NULL lines count as blank;
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadloom.functions.values import let
-from quadloom.functions.xsd import LEXICAL, XSD, matches
+from quadloom.functions.xsd import LEXICAL, XSD
 from quadloom.session import BROADCAST_ROWS, cut
 
 _WS = r"[ \t]"
@@ -44,6 +46,9 @@ _TEXT_ESCAPE_BAD = r"(?<!\\)(?:\\\\)*\\(?:u|U0000)[Dd][89A-Fa-f][0-9A-Fa-f]{2}"
 _LANG_OK = r"^[A-Za-z]{1,8}(?:-[A-Za-z0-9]{1,8})*(?:--(?:ltr|rtl))?$"
 _LITERAL = r'(?s)^"(.*)"(?:@([^\s]*)|\^\^(<[^>]*>))?$'
 CHECKED = ("integer", "decimal", "double", "boolean", "date", "dateTime")
+_XSD_TYPE = r"^<(?:xsd:|" + XSD.replace(".", r"\.") + r")(.*)>$"
+#: The name of a checked type, a blank, and a value of its lexical space.
+_VALUES = "^(?:" + "|".join(f"{kind} (?:{LEXICAL[kind][1:-1]})" for kind in CHECKED) + r")\z"
 
 
 def unescape(text: Column) -> Column:
@@ -84,23 +89,26 @@ def _peeled(raw: Column) -> Column:
 
 def _plain_fault(raw: Column) -> Column:
     """The fault of a raw term that is no triple term, or NULL."""
-    part = lambda i: F.regexp_extract(raw, _LITERAL, i)
-    text, dt = part(1), F.regexp_replace(part(3), r"^<(?:xsd:|" + XSD.replace(".", r"\.") + r")(.*)>$", "xsd $1")
-    value = unescape(text)
-    wrong = F.lit(False)
-    for kind in CHECKED:
-        wrong = wrong | ((dt == f"xsd {kind}") & ~matches(value, kind))
-    literal = (
-        F.when(~raw.rlike(_LITERAL) & raw.rlike(rf"(?s)^{_STRING}\^\^"), "terms")
-        .when(~raw.rlike(_LITERAL) | ~text.rlike(_TEXT_OK) | text.rlike(_TEXT_ESCAPE_BAD), F.when(raw.rlike(_SEVERAL), "terms").otherwise("quoting"))
-        .when(raw.rlike(r'"@[^\s"]*$') & ~part(2).rlike(_LANG_OK), "lang")
-        .when((part(3) != "") & _iri_bad(part(3)), "iri")
-        .when(wrong, "value")
-    )
+    broken = F.when(raw.rlike(rf"(?s)^{_STRING}\^\^") | raw.rlike(_SEVERAL), "terms").otherwise("quoting")
+
+    def literal(x: Column) -> Column:
+        text, tag, dt = (F.get(x, F.lit(i)) for i in range(3))
+        kind = F.regexp_replace(dt, _XSD_TYPE, "$1")
+        wrong = kind.isin(*CHECKED) & (kind != dt) & ~F.concat(kind, F.lit(" "), unescape(text)).rlike(_VALUES)
+        return (
+            F.when(~text.rlike(_TEXT_OK) | text.rlike(_TEXT_ESCAPE_BAD), F.when(raw.rlike(_SEVERAL), "terms").otherwise("quoting"))
+            .when(raw.rlike(r'"@[^\s"]*$') & ~tag.rlike(_LANG_OK), "lang")
+            .when((dt != "") & _iri_bad(dt), "iri")
+            .when(wrong, "value")
+        )
+
+    slow = F.array(*[F.regexp_extract(raw, _LITERAL, i) for i in (1, 2, 3)])
+    parts = F.when(raw.contains("\n"), slow).otherwise(F.split(F.regexp_replace(raw, _LITERAL, "$1\n$2\n$3"), "\n", -1))  # one match for all three
     return (
         F.when(raw.startswith("<"), F.when(_iri_bad(raw), "iri"))
         .when(raw.startswith("_:"), F.lit(None).cast("string"))
-        .otherwise(literal)
+        .when(~raw.rlike(_LITERAL), broken)
+        .otherwise(let(parts, literal))
     )
 
 
@@ -110,43 +118,67 @@ def _loose_fault(line: Column) -> Column:
     return F.when(line.rlike(odd), "quoting").otherwise("terms")
 
 
+#: Terms that are valid for sure: IRIs of usual characters, blank nodes, texts without escapes and with a plain tag, if any.
+_PLAIN_IRI = r"<[A-Za-z][A-Za-z0-9+.-]*:[A-Za-z0-9/._~#?&=%+,;:@!$*()-]*+>"
+_PLAIN = rf"^(?:{_PLAIN_IRI}|{_BNODE}|\"[^\"\\\n\r]*+\"(?:@[A-Za-z]{{1,8}}(?:-[A-Za-z0-9]{{1,8}})*)?)$"
+
+
 def cut_lines(df: DataFrame, line: str = "line_text") -> DataFrame:
-    """The lines of df but blank ones and comments: __row (all its columns), __line, __ok (structure found) and the raw terms __s, __p, __o."""
-    t = F.col(f"`{line}`")
-    part = lambda i: F.regexp_extract(t, _LINE, i)
+    """The lines of df but blank ones and comments: __row (all its columns), __line, __ok (structure found) and the raw terms __s, __p, __o.
+
+    The pattern runs once a line: its three groups come out as one text, parted by a character that the line does not have."""
+    t, nul = F.col(f"`{line}`"), "\x00"
     out = df.where(t.isNotNull() & ~t.rlike(r"^[ \t]*\r?(?:$|#)"))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
-    return out.select(row, t.alias("__line"), t.rlike(_LINE).alias("__ok"), part(1).alias("__s"), part(2).alias("__p"), part(3).alias("__o"))
+    slow = F.when(t.rlike(_LINE), F.array(*[F.regexp_extract(t, _LINE, i) for i in (1, 2, 3)])).otherwise(F.array(t))
+    parts = F.when(t.contains(nul), slow).otherwise(F.split(F.regexp_replace(t, _LINE, f"$1{nul}$2{nul}$3"), nul, -1))
+    out = out.select(row, t.alias("__line"), F.explode(F.array(parts)).alias("__parts"))  # filters stay above a generator, so none repeats the pattern
+    term = lambda i, name: F.get("__parts", F.lit(i)).alias(name)
+    ok = F.size("__parts") == 3
+    return out.select("__row", "__line", ok.alias("__ok"), *[F.when(ok, term(i, n)).alias(n) for i, n in enumerate(_TERMS)])
+
+
+_TERMS = ("__s", "__p", "__o")
+
+
+def _all_plain() -> Column:
+    return F.col("__ok") & F.col("__s").rlike(_PLAIN) & F.col("__p").rlike(_PLAIN) & F.col("__o").rlike(_PLAIN)
 
 
 def fault_dictionary(cut_rows: DataFrame) -> DataFrame:
     """(__role, __raw, __fault): each distinct faulty raw term of each column, checked once."""
     terms = cut_rows.where("__ok").select(F.explode(F.expr("array(struct(0 as r, __s as v), struct(1 as r, __p as v), struct(2 as r, __o as v))")).alias("x"))
-    distinct = terms.select(F.col("x.r").alias("__role"), F.col("x.v").alias("__raw")).distinct()
-    return distinct.withColumn("__fault", term_fault(F.col("__raw"))).where("__fault is not null")
+    terms = terms.select(F.col("x.r").alias("__role"), F.col("x.v").alias("__raw")).where(~F.col("__raw").rlike(_PLAIN))
+    distinct = terms.groupBy("__role", "__raw").agg(F.first("__raw").alias("__one"))  # a filter on an aggregate stays above it: one check a distinct term
+    return distinct.select("__role", "__raw", term_fault(F.col("__one")).alias("__fault")).where("__fault is not null")
 
 
-#: Characters of dictionary text up to which the dictionary is broadcast; beyond it the joins shuffle.
+#: Characters of dictionary text up to which a column's part of the dictionary is broadcast; beyond it the join shuffles.
 BROADCAST_CHARS = 16_000_000
 
 
-def _with_faults(cut_rows: DataFrame) -> DataFrame:
-    """cut_rows with __fault0..2 for its three terms. The dictionary is made once and written, so its size is known before it is joined."""
-    faults = cut(fault_dictionary(cut_rows))
-    size = faults.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("__raw")), F.lit(0)).alias("chars")).first()
-    small = size["n"] <= BROADCAST_ROWS and size["chars"] <= BROADCAST_CHARS
-    for i, c in enumerate(("__s", "__p", "__o")):
+def _with_faults(suspects: DataFrame) -> DataFrame:
+    """suspects with __fault0..2 for their three terms. The dictionary is made once and written, so the size of its parts is known before they are joined."""
+    faults = cut(fault_dictionary(suspects))
+    sizes = {r["__role"]: r for r in faults.groupBy("__role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("__raw")).alias("chars")).collect()}  # at most three rows
+    out = suspects.where("__ok")
+    for i, c in enumerate(_TERMS):
+        if i not in sizes:
+            out = out.withColumn(f"__fault{i}", F.lit(None).cast("string"))
+            continue
         one = faults.where(F.col("__role") == i).select(F.col("__raw").alias(c), F.col("__fault").alias(f"__fault{i}"))
-        cut_rows = cut_rows.join(F.broadcast(one) if small else one, c, "left")
-    return cut_rows
+        small = sizes[i]["n"] <= BROADCAST_ROWS and sizes[i]["chars"] <= BROADCAST_CHARS
+        out = out.join(F.broadcast(one) if small else one, c, "left")
+    return out
 
 
 def reject_lines(df: DataFrame, id_col: str = "line_id", line: str = "line_text") -> DataFrame:
     """One row per faulty line: the input's columns and `reason`."""
     kept = [c for c in df.columns if c != "reason"]
-    hit = _with_faults(cut_lines(df, line))
-    reason = F.when(~F.col("__ok"), _loose_fault(F.col("__line"))).otherwise(F.coalesce("__fault0", "__fault1", "__fault2"))
-    return hit.withColumn("reason", reason).where("reason is not null").select(*[F.col("__row")[c].alias(c) for c in kept], "reason")
+    suspects = cut(cut_lines(df, line).where(~_all_plain()))
+    broken = suspects.where("not __ok").select("__row", _loose_fault(F.col("__line")).alias("reason"))
+    hit = broken.unionByName(_with_faults(suspects).select("__row", F.coalesce("__fault0", "__fault1", "__fault2").alias("reason")))
+    return hit.where("reason is not null").select(*[F.col("__row")[c].alias(c) for c in kept], "reason")
 
 
 def short_datatype(iri: Column) -> Column:
@@ -172,7 +204,10 @@ def decode_term(raw: Column) -> Column:
 def load_lines(df: DataFrame, id_col: str = "line_id", line: str = "line_text") -> DataFrame:
     """One row per valid statement: the input's columns but the line, and subject, predicate (string) and object as TERM."""
     kept = [c for c in df.columns if c not in (line, "subject", "predicate", "object")]
-    good = _with_faults(cut_lines(df, line).where("__ok")).where("coalesce(__fault0, __fault1, __fault2) is null")
+    rows = cut_lines(df, line)
+    suspects = cut(rows.where(F.col("__ok") & ~_all_plain()))
+    good = _with_faults(suspects).where("coalesce(__fault0, __fault1, __fault2) is null").select("__row", *_TERMS)
+    good = good.unionByName(rows.where(_all_plain()).select("__row", *_TERMS))  # plain lines need no dictionary
     return good.select(*[F.col("__row")[c].alias(c) for c in kept], decode_term(F.col("__s")).alias("subject"), decode_term(F.col("__p"))["v"].alias("predicate"), decode_term(F.col("__o")).alias("object"))
 
 

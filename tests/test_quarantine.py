@@ -89,3 +89,11 @@ def test_texts_that_look_like_the_end_of_a_line(spark):
     assert got == {k: v for k, v in want.items() if v}
     assert load_lines(frame(spark, list(want))).count() == 2
 
+
+def test_large_dictionaries_are_joined_by_shuffle(spark, monkeypatch):
+    from quadloom.operators import quarantine
+
+    lines = [*GOOD, *[x for xs in BAD.values() for x in xs]] * 2
+    want = sorted((r["line_id"], r["reason"]) for r in reject_lines(frame(spark, lines)).collect())
+    monkeypatch.setattr(quarantine, "BROADCAST_CHARS", 0)
+    assert sorted((r["line_id"], r["reason"]) for r in reject_lines(frame(spark, lines)).collect()) == want
