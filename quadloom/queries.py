@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quadloom.functions.xsd import LEXICAL
 from quadloom.operators.hotkeys import hot_key_report
@@ -44,10 +44,9 @@ def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
     return out.select("line_id", F.col("subject.v").alias("s"), "predicate", F.col("object.k").cast("int").alias("o_k"), F.col("object.v").alias("o"), F.col("object.dt").alias("dt"), F.col("object.lang").alias("lang"))
 
 
-def _predicates(spark: SparkSession, d: str) -> DataFrame:
-    quads = table(spark, d, "quads")
-    delay = (F.unix_micros(F.col("loaded_at").cast("timestamp")) - F.unix_micros(F.col("asserted_at").cast("timestamp")))
-    return hot_key_report(quads, F.col("p"), {"subjects": F.struct("s.k", "s.v"), "objects": F.col("o")}, delay, [0.5, 0.9, 0.99])
+def _predicates(spark: SparkSession, d: str, **distinct: Column) -> DataFrame:
+    delay = F.unix_micros(F.col("loaded_at").cast("timestamp")) - F.unix_micros(F.col("asserted_at").cast("timestamp"))
+    return hot_key_report(table(spark, d, "quads"), F.col("p"), distinct, delay, [0.5, 0.9, 0.99])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +54,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_predicates(spark: SparkSession, d: str) -> DataFrame:
-    r = _predicates(spark, d)
+    r = _predicates(spark, d, subjects=F.struct("s.k", "s.v"), objects=F.col("o"))
     return r.select(F.col("key").alias("predicate"), F.col("n_rows").alias("statements"), F.col("n_subjects").alias("subjects"), F.col("n_objects").alias("objects"), F.col("q")[0].alias("delay_p50"), F.col("q")[1].alias("delay_p90"), F.col("q")[2].alias("delay_p99"))
 
 

@@ -9,7 +9,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from quadloom.functions.xsd import canonical
-from quadloom.operators.hotkeys import exact_quantiles, hot_key_report, key_counts
+from quadloom.operators.hotkeys import distinct_counts, exact_quantiles, hot_key_report
 from quadloom.operators.wide import filled_cells, widen
 
 
@@ -46,7 +46,16 @@ def test_empty_and_null_values(spark):
     one = spark.createDataFrame([("a", None, None)], "k string, d int, v bigint")
     r = hot_key_report(one, F.col("k"), {"d": F.col("d")}, F.col("v"), [0.5]).first()
     assert (r["n_rows"], r["n_d"], r["n_values"], r["q"]) == (1, 0, 0, None)
-    assert key_counts(one, F.col("k"), {}).collect()[0]["n_rows"] == 1
+    assert distinct_counts(one, F.col("k"), {"d": F.col("d")}).first()["n_d"] == 0
+
+
+def test_widest_ranges_and_close_values(spark):
+    ends = [-(2**63), 0, 2**63 - 1]
+    near = [2**62 + i for i in range(3000)]
+    rows = [("ends", v) for v in ends] + [("near", v) for v in near] + [("same", 5)] * 7
+    df = spark.createDataFrame(rows, "k string, v bigint")
+    got = {r["key"]: list(r["q"]) for r in exact_quantiles(df, F.col("k"), F.col("v"), [0.0, 0.5, 1.0], bins=16).collect()}
+    assert got == {"ends": ends, "near": [near[0], near[1499], near[-1]], "same": [5, 5, 5]}
 
 
 TYPES = {"x:i": "integer", "x:d": "decimal", "x:b": "boolean", "x:t": "date", "x:s": "string"}
