@@ -8,7 +8,7 @@ from quadloom.functions.xsd import LEXICAL
 from quadloom.operators.hotkeys import hot_key_report
 from quadloom.operators.quarantine import load_lines, reject_lines
 from quadloom.operators.timestamps import equal_instants, normalise_timestamps
-from quadloom.operators.wide import filled_cells, widen
+from quadloom.operators.wide import cast_failures, filled_cells, widen
 from quadloom.session import table
 
 TIME_PREDICATES = ["parl:startedAt", "parl:recordedAt", "dcterms:issued"]
@@ -58,20 +58,27 @@ def p3_predicates(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("key").alias("predicate"), F.col("n_rows").alias("statements"), F.col("n_subjects").alias("subjects"), F.col("n_objects").alias("objects"), F.col("q")[0].alias("delay_p50"), F.col("q")[1].alias("delay_p90"), F.col("q")[2].alias("delay_p99"))
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
+def _member_rows(spark: SparkSession, d: str) -> tuple:
     quads = table(spark, d, "quads").where(F.col("s.v").startswith(MEMBER) & F.col("p").isin(list(MEMBER_TYPES)))
-    return widen(quads, F.col("s.v"), F.col("p"), F.col("o.v"), MEMBER_TYPES)
+    return quads, F.col("s.v"), F.col("p"), F.col("o.v"), MEMBER_TYPES
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return filled_cells(_members(spark, d))
+    return filled_cells(widen(*_member_rows(spark, d)))
 
 
 def p5_members(spark: SparkSession, d: str) -> DataFrame:
-    return _members(spark, d).drop("cells", "failures").withColumnRenamed("entity", "subject").withColumn("seatNo", F.col("seatNo").cast("bigint")).withColumn("termsServed", F.col("termsServed").cast("bigint")).withColumn("attendance", F.col("attendance").cast("double"))
+    wide = widen(*_member_rows(spark, d)).withColumnRenamed("entity", "subject")
+    failed = F.aggregate(F.map_values("failures"), F.lit(0).cast("bigint"), lambda n, x: n + x["n_failed"])
+    native = {"seatNo": F.col("seatNo").cast("bigint"), "termsServed": F.col("termsServed").cast("bigint"), "attendance": F.col("attendance").cast("double")}
+    return wide.withColumns({**native, "n_failed": failed}).drop("cells", "failures")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_times, p2_found, p2_loaded, p3_found, p3_predicates, p5_found, p5_members)}
+def p5_failures(spark: SparkSession, d: str) -> DataFrame:
+    return cast_failures(*_member_rows(spark, d)).withColumnsRenamed({"entity": "subject", "attribute": "predicate"})
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_times, p2_found, p2_loaded, p3_found, p3_predicates, p5_found, p5_members, p5_failures)}
 
 _DISTINCT = "count(distinct s.k || ' ' || s.v) AS subjects, count(distinct o) AS objects"
 _DELAY = "(epoch_us(loaded_at) - epoch_us(asserted_at))"
@@ -102,14 +109,17 @@ def _canonical_sql() -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
-_CELLS = f"""SELECT s.v AS subject, p AS predicate, min(c) AS val FROM (SELECT s, p, {_canonical_sql()} AS c FROM quads
-WHERE starts_with(s.v, '{MEMBER}') AND o.v IS NOT NULL AND p IN ({", ".join(f"'{p}'" for p in MEMBER_TYPES)})) GROUP BY 1, 2"""
+_MEMBER_ROWS = f"""SELECT s.v AS subject, p AS predicate, o.v AS raw, {_canonical_sql()} AS c FROM quads
+WHERE starts_with(s.v, '{MEMBER}') AND o.v IS NOT NULL AND p IN ({", ".join(f"'{p}'" for p in MEMBER_TYPES)})"""
+_CELLS = f"SELECT subject, predicate, min(c) AS val FROM ({_MEMBER_ROWS}) GROUP BY 1, 2"
+_NATIVE = {"string": "VARCHAR", "integer": "BIGINT", "decimal": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE"}
 
 ORACLES = {
     "p3_found": f"SELECT p AS predicate FROM quads GROUP BY p HAVING count(*) > {HOT_SHARE} * (SELECT count(*) FROM quads)",
     "p3_predicates": f"SELECT p AS predicate, count(*) AS statements, {_DISTINCT}, {_rank(0.5)} AS delay_p50, {_rank(0.9)} AS delay_p90, {_rank(0.99)} AS delay_p99 FROM quads GROUP BY p",
     "p5_found": f"{_CELLS} HAVING count(distinct c) = 1",
-    "p5_members": "WITH c AS (" + _CELLS + " HAVING count(distinct c) = 1), e AS (SELECT DISTINCT subject FROM (" + _CELLS + ")) SELECT e.subject, "
-    + ", ".join(f"max(CASE WHEN predicate = '{p}' THEN CAST(val AS {({'string': 'VARCHAR', 'integer': 'BIGINT', 'decimal': 'DOUBLE', 'boolean': 'BOOLEAN', 'date': 'DATE'})[k]}) END) AS \"{p.split(':')[1]}\"" for p, k in MEMBER_TYPES.items())
+    "p5_members": f"WITH c AS ({_CELLS} HAVING count(distinct c) = 1), e AS (SELECT subject, count(*) - count(c) AS n_failed FROM ({_MEMBER_ROWS}) GROUP BY 1) SELECT e.subject, any_value(n_failed) AS n_failed, "
+    + ", ".join(f"max(CASE WHEN predicate = '{p}' THEN CAST(val AS {_NATIVE[k]}) END) AS \"{p.split(':')[1]}\"" for p, k in MEMBER_TYPES.items())
     + " FROM e LEFT JOIN c USING (subject) GROUP BY 1",
+    "p5_failures": f"SELECT subject, predicate, raw AS failed, count(*) AS n FROM ({_MEMBER_ROWS}) WHERE c IS NULL GROUP BY 1, 2, 3",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions.xsd import canonical
 from quadloom.operators.hotkeys import distinct_counts, exact_quantiles, hot_key_report
-from quadloom.operators.wide import filled_cells, widen
+from quadloom.operators.wide import cast_failures, filled_cells, widen
 
 
 def test_report_matches_brute_force(spark):
@@ -76,6 +76,21 @@ def test_wide_table(spark):
     assert widen(df.limit(0), F.col("e"), F.col("a"), F.col("v"), TYPES).count() == 0
 
 
+def test_all_cast_failures_are_kept(spark):
+    rows = [("e", "x:i", v) for v in ("x1", "x2", "x3", "x3", "4", "5")] + [("e", "x:s", "x"), (None, "x:i", "x"), ("f", "x:i", None)]
+    df = spark.createDataFrame(rows, "e string, a string, v string")
+    args = df, F.col("e"), F.col("a"), F.col("v"), TYPES
+    assert sorted(tuple(r) for r in cast_failures(*args).collect()) == [("e", "x:i", "x1", 1), ("e", "x:i", "x2", 1), ("e", "x:i", "x3", 2)]
+    assert widen(*args).first()["failures"]["x:i"].asDict() == {"n_failed": 4, "failed": "x1"}
+
+
+def test_attributes_of_one_local_name(spark):
+    types = {"x:n": "string", "y:N": "integer", "x:cells": "string", "x:it's": "string"}
+    df = spark.createDataFrame([("e", a, "1") for a in types], "e string, a string, v string")
+    wide = widen(df, F.col("e"), F.col("a"), F.col("v"), types)
+    assert wide.columns == ["entity", "x:n", "y:N", "x:cells", "it's", "cells", "failures"] and list(wide.first())[:5] == ["e", "1", 1, "1", "1"]
+
+
 def test_canonical_texts(spark):
     cases = [("decimal", "-0.0", "0"), ("decimal", "+12.", "12"), ("decimal", ".50", "0.5"), ("decimal", "1e1", None), ("integer", "-0", "0"), ("integer", "--1", None), ("boolean", "0", "false"), ("boolean", "TRUE", None), ("date", "0004-02-29Z", "0004-02-29"), ("date", "1900-02-29", None), ("date", "2020-01-01\n", "2020-01-01"), ("integer", "", None)]
     for kind, text, want in cases:
