@@ -15,12 +15,13 @@ sixth stand in ts_sub_us, so two instants are equal where both columns are.
 from __future__ import annotations
 
 import zoneinfo
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from quadloom.functions.values import let
 from quadloom.session import cut
 
 # Usual abbreviations of zone offsets, in minutes.
@@ -37,8 +38,6 @@ MONTHS = [
     "november novembre noviembre", "december dezember décembre diciembre dicembre",
 ]
 
-#: Characters beyond which a text is no notation of a time.
-LONGEST = 100
 _CLOCK = r"(\d\d?)[:h](\d\d)(?::(\d\d)(?:[.,](\d+))?)?"
 #: Notations as (name, pattern, year, month, day, ordinal day, hour group); the hour group is followed by minute, second, fraction and AM/PM.
 _NOTATIONS = [
@@ -52,7 +51,7 @@ _NOTATIONS = [
 ]
 _ZONE = (
     r"^(.*?\d(?: ?[AaPp][Mm]| Uhr)?)(?: ?(?:UTC|GMT)?([+-]\d\d(?::?\d\d)?)| ?([Zz])| ((?![AaPp][Mm]$)[A-Z]{2,5}))?"
-    r"(?:(?:\[| )([A-Za-z]+(?:[/_+-][A-Za-z0-9]+)+|UTC|GMT)\]?)?$"
+    r"(?:(?:\[| )([A-Za-z]{1,30}(?:[/_+-][A-Za-z0-9]{1,30}){1,6}|UTC|GMT)\]?)?$"  # bounded, so that a text of any length is read in linear time
 )
 
 
@@ -62,26 +61,26 @@ def _month_map() -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def zone_intervals(spark: SparkSession, zones: Iterable[str], years: tuple[int, int] = (1900, 2100)) -> DataFrame:
+def zone_intervals(wanted: DataFrame, years: tuple[int, int] = (1900, 2100)) -> DataFrame:
     """(zone, local_year, spans array<struct<since, until, offset_us>>): the offset intervals of each zone by the local years they touch.
 
-    Times are local microseconds since 1970. About 600 IANA names by the given years bound the table, whatever the data.
+    wanted has rows (zone, local_year); intervals are made from a zone's first to its last wanted year within the given ones. Times are local
+    microseconds since 1970. Unknown zones get none. About 600 IANA names by the given years bound the table, whatever the data.
     """
-    names = sorted(set(zones))
     first, last = years
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        us, epoch = timedelta(microseconds=1), datetime(1970, 1, 1, tzinfo=UTC)
+        us, epoch, day = timedelta(microseconds=1), datetime(1970, 1, 1, tzinfo=UTC), timedelta(days=1)
         for batch in batches:
-            for name in batch["zone"]:
+            for name, lowest, highest in zip(batch["zone"], batch["lo"], batch["hi"], strict=True):
                 try:
                     zone = zoneinfo.ZoneInfo(name)
                 except (ValueError, KeyError, OSError):
                     continue
-                t, end = datetime(first, 1, 1, tzinfo=UTC) - timedelta(days=2), datetime(last + 1, 1, 2, tzinfo=UTC)
+                t, end = datetime(lowest, 1, 1, tzinfo=UTC) - 2 * day, datetime(highest + 1, 1, 2, tzinfo=UTC)
                 since, offset, out = t, t.astimezone(zone).utcoffset(), []
                 while t < end:
-                    ahead = min(t + timedelta(days=10), end)
+                    ahead = min(t + day, end)
                     if (o := ahead.astimezone(zone).utcoffset()) != offset or ahead == end:
                         lo, hi = t, ahead
                         while o != offset and hi - lo > timedelta(seconds=1):
@@ -97,8 +96,9 @@ def zone_intervals(spark: SparkSession, zones: Iterable[str], years: tuple[int,
                 yield pd.DataFrame(out, columns=["since", "until", "offset_us"]).assign(zone=name)
 
     year_of = "year(timestamp_micros({0}))"
-    rows = spark.createDataFrame([(n,) for n in names], "zone string").repartition(max(1, min(len(names), 2 * spark.sparkContext.defaultParallelism)))
-    rows = rows.mapInPandas(spans, "since bigint, until bigint, offset_us bigint, zone string")
+    known = F.col("zone").isin(sorted(zoneinfo.available_timezones())) & F.col("local_year").between(first, last)
+    zones = wanted.where(known).groupBy("zone").agg(F.min("local_year").alias("lo"), F.max("local_year").alias("hi"))  # at most the IANA names
+    rows = zones.repartition(wanted.sparkSession.sparkContext.defaultParallelism, "zone").mapInPandas(spans, "since bigint, until bigint, offset_us bigint, zone string")
     return (
         rows.withColumn("local_year", F.explode(F.expr(f"sequence({year_of.format('since')}, {year_of.format('until - 1')})")))
         .where(F.col("local_year").between(first, last))
@@ -111,42 +111,47 @@ def normalise_timestamps(df: DataFrame, text: str = "text", source_zone: str | N
     """df with ts_status, ts_instant_us, ts_sub_us and ts_zone; see the module's docstring.
 
     text, source_zone and date_order name columns; date_order holds 'dmy', 'mdy' or anything else (then slashed dates with the year last are
-    unparsed, being undecidable). The parsed rows are written once, to the checkpoint folder: the zones they name, among the IANA names, decide which
-    offset intervals are made.
+    unparsed, being undecidable). The parsed rows are written once, to the checkpoint folder: the zones and years they name, among the IANA names,
+    decide which offset intervals are made.
     """
-    spark, keep = df.sparkSession, [c for c in df.columns if c not in ("ts_status", "ts_instant_us", "ts_sub_us", "ts_zone")]
-    num = lambda c: F.expr(f"try_cast({c} as int)")
+    keep = [c for c in df.columns if c not in ("ts_status", "ts_instant_us", "ts_sub_us", "ts_zone")]
+    num = lambda i: F.get("__i", F.lit(i))
     t = F.trim(F.col(f"`{text}`"))
     order = F.col(f"`{date_order}`").cast("string") if date_order else F.lit(None).cast("string")
     given = F.col(f"`{source_zone}`").cast("string") if source_zone else F.lit(None).cast("string")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")  # the input's names can't meet those used below
-    work = df.select(row, F.when(F.length(t) <= LONGEST, t).alias("__t"), order.alias("__order"), given.alias("__given"))
+    work = df.select(row, t.alias("__t"), order.alias("__order"), given.alias("__given"))
     order, given = F.col("__order"), F.col("__given")
-    work = work.withColumn("__z", F.split(F.regexp_replace("__t", _ZONE, "$1|$2|$3|$4|$5"), r"\|", -1)).withColumn(
-        "__z", F.when(F.col("__t").rlike(_ZONE) & ~F.col("__t").contains("|"), F.col("__z"))
-    )
+    hit = F.regexp_replace("__t", _ZONE, "\x01$1|$2|$3|$4|$5")
+    work = work.withColumn("__z", F.when(~F.col("__t").contains("|") & ~F.col("__t").contains("\x01"), hit))
+    work = work.withColumn("__z", F.when(F.col("__z").startswith("\x01"), F.split(F.substring("__z", 2, 1 << 30), r"\|", -1)))
     work = work.withColumn("__b", F.expr("__z[0]"))
-    fields, shape = F.lit(None), F.lit(None).cast("string")
-    for name, pattern, y, m, d, doy, h in reversed(_NOTATIONS):
-        repl = f"{y}|{m}|{d}|{doy}|${h}|${h + 1}|${h + 2}|${h + 3}|${h + 4}"
-        hit = F.col("__b").rlike(pattern)
-        fields = F.when(hit, F.split(F.regexp_replace("__b", pattern, repl), r"\|", -1)).otherwise(fields)
-        shape = F.when(hit, F.lit(name)).otherwise(shape)
     unix = F.length("__t").isin(10, 13, 16) & F.col("__t").rlike(r"^\d+$")
-    work = work.withColumns({"__f": F.when(~unix, fields), "__k": F.when(unix, F.lit("unix")).otherwise(shape)})
+    shape, fields = F.when(unix, "unix"), F.lit(None)
+    for name, pattern, *_ in _NOTATIONS:  # the first that fits; its fields are then taken by its pattern alone
+        shape = shape.when(F.col("__b").rlike(pattern), name)
+    work = work.withColumn("__k", shape)
+    for name, pattern, y, m, d, doy, h in _NOTATIONS:
+        repl = f"{y}|{m}|{d}|{doy}|${h}|${h + 1}|${h + 2}|${h + 3}|${h + 4}"
+        fields = F.when(F.col("__k") == name, F.split(F.regexp_replace("__b", pattern, repl), r"\|", -1)).otherwise(fields)
+    work = work.withColumn("__f", fields)
+    # Lambdas keep these projections out of whole-stage code, whose one method would be too long for the JVM to compile.
+    whole = lambda x: F.when(x.rlike("^[0-9]{1,9}$"), x.cast("int"))
+    work = work.withColumn("__i", F.transform(F.slice("__f", 1, 7), whole))
+    named = F.col("__k").isin("day_month", "month_day")
     swap = (F.col("__k") == "slashed") & (order == "mdy")
-    month = F.coalesce(num("__f[1]"), F.try_element_at(_month_map(), F.lower(F.expr("__f[1]"))))
+    month = F.when(named, F.try_element_at(_month_map(), F.lower(F.expr("__f[1]")))).otherwise(num(1))
     work = work.withColumns(
         {
-            "__y": F.when(F.length(F.expr("__f[0]")) == 2, F.lit(2000) + num("__f[0]")).otherwise(num("__f[0]")),
-            "__m": F.when(swap, num("__f[2]")).otherwise(month),
-            "__d": F.when(swap, num("__f[1]")).otherwise(num("__f[2]")),
-            "__doy": num("__f[3]"),
-            "__h": num("__f[4]"),
-            "__mi": num("__f[5]"),
-            "__s": F.coalesce(num("__f[6]"), F.lit(0)),
+            "__y": F.when(F.length(F.expr("__f[0]")) == 2, F.lit(2000) + num(0)).otherwise(num(0)),
+            "__m": F.when(swap, num(2)).otherwise(month),
+            "__d": F.when(swap, num(1)).otherwise(num(2)),
+            "__doy": num(3),
+            "__h": num(4),
+            "__mi": num(5),
+            "__s": F.coalesce(num(6), F.lit(0)),
             "__fr": F.coalesce(F.expr("__f[7]"), F.lit("")),
-            "__ap": F.lower(F.expr("__f[8]")),
+            "__ap": let(F.expr("__f[8]"), F.lower),
         }
     )
     leap = "((__y % 4 = 0 and __y % 100 <> 0) or __y % 400 = 0)"
@@ -161,7 +166,7 @@ def normalise_timestamps(df: DataFrame, text: str = "text", source_zone: str | N
     days = f"({yy} div 400) * 146097L + ({yy} % 400) * 365 + ({yy} % 400) div 4 - ({yy} % 400) div 100 + (153 * {mm} + 2) div 5 + __d - 1 - 719468 + coalesce(__doy, 1) - 1"
     secs = f"({days}) * 86400L + ({hour}) * 3600 + __mi * 60 + __s"
     scale = F.expr("case length(__t) when 10 then 1000000L when 13 then 1000L else 1L end")
-    off = F.regexp_replace(F.expr("__z[1]"), ":", "")
+    off = let(F.expr("__z[1]"), lambda x: F.replace(x, F.lit(":"), F.lit("")))
     off_h, off_m = F.expr("try_cast(substr(__o, 2, 2) as int)"), F.expr("coalesce(try_cast(substr(__o, 4, 2) as int), 0)")
     abbr = F.when(F.expr("__z[2]") != "", F.lit("Z")).otherwise(F.expr("__z[3]"))
     table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
@@ -185,8 +190,7 @@ def normalise_timestamps(df: DataFrame, text: str = "text", source_zone: str | N
     )
     work = work.withColumn("__year", F.when(F.col("__k") != "unix", F.col("__y") + F.when(F.expr(f"__h = 24 and ({'__doy'} >= 365 or (__m = 12 and __d = 31))"), 1).otherwise(0)))
     work = cut(work.select("__row", "__t", "__k", "__order", "__local", "__off", "__settled", "__zone", "__year", "__fr", "__a", "__o"))
-    known = work.select("__zone").where(F.col("__zone").isin(sorted(zoneinfo.available_timezones()))).distinct()
-    spans = zone_intervals(spark, [r[0] for r in known.collect()], years)  # at most the IANA names
+    spans = zone_intervals(work.where("__zone is not null").select(F.col("__zone").alias("zone"), F.col("__year").alias("local_year")), years)
     spans = spans.select(F.col("zone").alias("__zone"), F.col("local_year").alias("__year"), "spans")
     work = work.join(F.broadcast(spans), ["__zone", "__year"], "left")  # bounded by the IANA names times the years
     hits = F.filter("spans", lambda x: (x["since"] <= F.col("__local")) & (F.col("__local") < x["until"]))
