@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import unicodedata as ud
 
+import numpy as np
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -69,28 +72,73 @@ def test_languages_held_out(spark):
     assert all(0 <= s["confidence"] <= 1 for r in rows for s in r["segments"])
 
 
-def test_constant_paths_are_best_paths():
+def test_no_unstable_character_is_missed():
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000:
+            ch = chr(c)
+            once = lookalike.canonical_text(ch)
+            assert lookalike.canonical_text(once) == once
+            if ud.decomposition(ch)[:1] not in ("", "<"):  # canonical decompositions are always folded
+                assert once == lookalike.canonical_text(ud.normalize("NFD", ch))
+    assert lookalike.canonical_text("\U0002f81a") == "冬" and lookalike.canonical_text("ᎠᎬᏟ ꓡꓲꓢꓴ") == "DEC LISU"
+    assert len(set(lookalike.LOOKALIKES)) == len(lookalike.LOOKALIKES) and all(x.isascii() for x in lookalike.LOOKALIKES.values())
+
+
+def brute_path(scores, same):
+    """The best path of one text, by all paths."""
+    best = None
+    for path in itertools.product(range(len(scores[0])), repeat=len(scores)):
+        total = sum(row[i] for row, i in zip(scores, path, strict=True))
+        total -= sum(language.SWITCH if same[k] else language.SWITCH_AT_END for k in range(1, len(path)) if path[k] != path[k - 1])
+        best = max(best or (total, path), (total, path))
+    return best
+
+
+def test_paths_are_best_paths():
     rng = random.Random(9)
-    constant = 0
-    for _ in range(400):
-        main, words = rng.randrange(5), []
-        for k in range(rng.randrange(1, 25)):
-            score = tuple(rng.uniform(-2, 1) + (2.2 if i == main else 0) for i in range(5))
-            words.append((10 * k, 10 * k + 5, k // 6, score))
-        fast, slow = language._label_constant(words), language._label_path(words)
-        if fast is not None:
-            constant += 1
-            assert fast["lang"] == slow["lang"] and abs(fast["confidence"] - slow["confidence"]) < 1e-9
-            for name in ("segments", "sentences"):
-                drop = lambda x: [{k: round(v, 9) if isinstance(v, float) else v for k, v in y.items()} for y in x]
-                assert drop(fast[name]) == drop(slow[name])
-    assert constant > 50
+    texts = [[[rng.uniform(-9, 9) for _ in range(3)] for _ in range(rng.randrange(0, 7))] for _ in range(120)]
+    gain, same = [row for t in texts for row in t], [k % 3 > 0 for t in texts for k in range(len(t))]
+    counts = np.array([len(t) for t in texts])
+    labels, k, switched = language.best_paths(np.array(gain), np.array(same), counts), 0, 0
+    for n in counts:
+        if n:
+            scores, inside, got = gain[k : k + n], same[k : k + n], labels[k : k + n].tolist()
+            total = sum(row[i] for row, i in zip(scores, got, strict=True)) - sum(language.SWITCH if inside[j] else language.SWITCH_AT_END for j in range(1, n) if got[j] != got[j - 1])
+            assert math.isclose(total, brute_path(scores, inside)[0], abs_tol=1e-9)
+            switched += len(set(got)) > 1
+        k += n
+    assert switched > 20
+    assert language.best_paths(np.zeros((0, 3)), np.zeros(0, bool), np.zeros(4, int)).tolist() == []
 
 
 def test_two_leads_together_can_pay_for_one_switch():
-    scores = [(1.2, 0.0, -5.0, -5.0, -5.0)] * 2 + [(-5.0, 0.0, 1.2, -5.0, -5.0)] * 2
-    words = [(10 * k, 10 * k + 5, k // 2, score) for k, score in enumerate(scores)]
-    assert language._label_constant(words) is None and [s["lang"] for s in language._label_path(words)["segments"]] == ["de", "es"]
+    scores = np.array([(1.2, -3.0, 0.0, -3.0, -3.0)] * 2 + [(-3.0, 1.2, 0.0, -3.0, -3.0)] * 2)
+    assert language.best_paths(scores, np.array([False, True, False, True]), np.array([4])).tolist() == [0, 0, 1, 1]
+
+
+def test_segments_of_a_batch():
+    scores = {"ja": (2.0, -2.0), "yes": (-2.0, 2.0)}
+    model = language.Model(("de", "en"), scores, {}, {"Latin": (True, True), "Greek": (False, True)})
+    texts = ["Ja ja. Yes, yes yes!", "", "12 !!", "ja λόγος Ж ja", "Ja. ja"]
+    got = language.label_batch(texts, model).to_pylist()
+    assert [[(texts[i][s["start"] : s["end"]], s["lang"], s["words"]) for s in r["segments"]] for i, r in enumerate(got)] == [
+        [("Ja ja", "de", 2), ("Yes, yes yes", "en", 3)], [], [], [("ja λόγος", "de", 2), ("Ж", "und", 1), ("ja", "de", 1)], [("Ja. ja", "de", 2)],
+    ]
+    assert [r["lang"] for r in got] == ["en", "und", "und", "de", "de"] and got[1]["confidence"] == 0 and got[0]["confidence"] > 0.99
+    assert [(s["lang"], s["words"], s["share"]) for s in got[0]["sentences"]] == [("de", 2, 1.0), ("en", 3, 1.0)] and len(got[4]["sentences"]) == 2
+    assert language.label_batch([], model).to_pylist() == [] and language.label_batch(["ja"], language.Model()).to_pylist()[0]["lang"] == "und"
+
+
+def test_languages_and_scripts_come_from_the_labels(spark):
+    rng = random.Random(4)
+    words = {"en": "the house has a red door and seven windows".split(), "ru": "дом имеет красную дверь и семь окон на улице".split(), "el": "το σπίτι έχει κόκκινη πόρτα και επτά παράθυρα".split()}
+    rows = [(" ".join(rng.choice(words[x]) for _ in range(25)), x) for x in words for _ in range(30)]
+    rows += [(rows[0][0], "en")] * 500
+    df = spark.createDataFrame(rows, "text string, tag string")
+    model = language.fit_languages(df, "text", "tag", tags={x: x for x in words}, train_rows=20)
+    assert model.languages == ("el", "en", "ru") and model.scripts["Cyrillic"] == (False, False, True)
+    got = language.label_batch(["красная дверь", "red door. το σπίτι. красную дверь", "中文"], model).to_pylist()
+    assert [[s["lang"] for s in r["segments"]] for r in got] == [["ru"], ["en", "el", "ru"], ["und"]]
 
 
 def test_language_edges(spark):
