@@ -1,17 +1,19 @@
 """Text decoded with the wrong character encoding: affected records found, the original restored where possible.
 
-The records compared are the words of all texts that hold a character beyond ASCII, each with the number of different texts it is in; copies of a text only
-decide between forms that equally many texts have. A garbled word and its clean near-twin are the same once their non-ASCII characters are stripped, so they
-meet in an equi-join on what is left; the clean one is the form most texts have, of those that are not plainly UTF-8 read as something else. Aligned at
-their common ASCII characters, the two give pairs of garbled and clean runs. Each pair is explained by the encodings, right and wrong, that turn the clean
-run into the garbled one (also twice over); explanations that enough different pairs support are the learned mappings. Between single-byte encodings a pair
-could as well be the inverse mistake: it counts only if clearly more words have it than have it turned round, and what copies alone decided counts only if
-no texts support the inverse. The mappings are then applied to every word: where UTF-8 was read as something else, valid multi-byte sequences are decoded,
-and where a single-byte encoding was mistaken for another, the word is mapped if its restored form is more widespread than it is itself. Replacement
-characters and stray control characters mark damage whose original comes, if at all, from a clean near-twin.
+Records are compared at two grains. Whole texts that are the same once their non-ASCII characters are stripped meet the least odd of their kind, and
+differ from it in aligned words. And the words of all texts that hold a character beyond ASCII meet, each with the number of different texts it is in, in
+an equi-join on what is left of them without such characters; copies of a text only decide between forms that equally many texts have. The clean one of
+two words is the form more texts have, of those that are not plainly UTF-8 read as something else. Aligned at their common ASCII characters, the two give
+pairs of garbled and clean runs. Each pair is explained by the encodings, right and wrong, that turn the clean run into the garbled one (also twice over);
+explanations that enough different pairs support are the learned mappings. Between single-byte encodings a pair could as well be the inverse mistake: it
+counts only if clearly more words have it than have it turned round, and what copies alone decided counts only if no texts support the inverse. A run that
+no encoding explains is mapped by itself, if most of the words that hold it have near-twins with one and the same run in its place. The mappings are then
+applied to every word: where UTF-8 was read as something else, valid multi-byte sequences are decoded; where a single-byte encoding was mistaken for
+another, the word is mapped if its restored form is more widespread than it is itself; runs with a map of their own are replaced. Replacement characters
+and stray control characters mark damage whose original comes, if at all, from a clean near-twin.
 
 Defined results: NULL and plain ASCII texts are clean; a word is restored the same way in all texts; with no learned mapping only replacement and control
-characters are found; texts and words of any length are handled whole.
+characters are found; words that keep fewer than two ASCII characters are learned from through whole texts only, but mapped like any other; texts and words of any length are handled whole.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quadloom.session import cut
+from quadloom.session import BROADCAST_ROWS, cut
 
 # The encodings considered.
 WRONG = ("cp1252", "latin_1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_15", "mac_roman", "cp437", "cp850", "cp866", "koi8_r")
@@ -120,14 +122,17 @@ def _odd(text: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(f"({_TOKEN})"), 1), lambda w: F.regexp_replace(w, _EDGE, "")))
 
 
-def odd_words(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, word): the words with a character beyond ASCII, once per document, without ASCII punctuation around them."""
-    return df.select(F.col(id_col).alias("id"), F.explode(_odd(text)).alias("word"))
+def odd_texts(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, key, bare, words) of the documents with a character beyond ASCII: hashes of the text, and of the text without such characters, and the words
+    that hold one, once each, without ASCII punctuation around them."""
+    t = F.col(text)
+    rows = df.where(t.rlike(r"[^\x00-\x7f]"))
+    return rows.select(F.col(id_col).alias("id"), F.unhex(F.sha2(t, 256)).alias("key"), F.unhex(F.sha2(_bare(t), 256)).alias("bare"), _odd(text).alias("words"))
 
 
-def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(word, n_texts, n_docs): the words of odd_words with the number of different texts and of documents that have them."""
-    texts = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.unhex(F.sha2(text, 256)).alias("key"), _odd(text).alias("words")).groupBy("key", "words").agg(F.count(F.lit(1)).alias("copies"))
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n_texts, n_docs): the words of odd_texts with the number of different texts and of documents that have them."""
+    texts = texts.groupBy("key", "words").agg(F.count(F.lit(1)).alias("copies"))
     return texts.select(F.explode("words").alias("word"), "copies").groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("copies").alias("n_docs"))
 
 
@@ -135,15 +140,75 @@ def _bare(word: Column) -> Column:
     return F.regexp_replace(word, r"[^\x00-\x7f]+", "")
 
 
+def _sane(word: Column) -> Column:
+    return ~word.rlike("[\x80-\x9f�]") & ~word.rlike(_read_as_utf8())
+
+
+_SPREAD = ("n_texts", "n_docs")
+
+
 def _twins(words: DataFrame) -> DataFrame:
     """(word, clean, by_texts): words with the most widespread form that is the same without characters beyond ASCII, and if it is in more texts, not just more copies."""
     rows = words.withColumn("bare", _bare(F.col("word"))).where("length(bare) >= 2")
-    sane = ~F.col("word").rlike("[\x80-\x9f�]") & ~F.col("word").rlike(_read_as_utf8())
-    best = rows.where(sane).groupBy("bare").agg(F.max(F.struct("n_texts", "n_docs", "word")).alias("top")).where("top.n_docs >= 2").select("bare", "top")
-    fewer = F.struct("n_texts", "n_docs") < F.struct("top.n_texts", "top.n_docs")
+    best = rows.where(_sane(F.col("word"))).groupBy("bare").agg(F.max(F.struct(*_SPREAD, "word")).alias("top")).where("top.n_docs >= 2").select("bare", "top")
+    fewer = F.struct(*_SPREAD) < F.struct("top.n_texts", "top.n_docs")
     return rows.join(best, "bare").where(F.expr("word <> top.word") & fewer).select("word", F.col("top.word").alias("clean"), F.expr("n_texts < top.n_texts").alias("by_texts"))
 
 
+def _text_twins(df: DataFrame, id_col: str, text: str, texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, clean, by_texts): the words in which whole texts that are the same without characters beyond ASCII differ; each text meets one of its kind, the least odd."""
+    several = texts.groupBy("bare").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select("bare")
+    rows = cut(texts.join(several, "bare", "left_semi").groupBy("key", "bare").agg(F.min("id").alias("id")))  # one of each group of copies
+    small = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = cut(df.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(rows) if small else rows, "id").dropDuplicates(["key"]))
+    odd = F.size(F.regexp_extract_all("t", F.lit(f"({_read_as_utf8()}|[\x80-\x9f�])"), 1))
+    best = rows.groupBy("bare").agg(F.min(F.struct(odd.alias("odd"), "key")).alias("best")).select("bare", F.col("best.key").alias("best"))
+    rows = rows.join(best, "bare")
+    tokens = lambda c: F.transform(F.split(c, r"\s+"), lambda w: F.regexp_replace(w, _EDGE, ""))
+    clean = rows.where("key = best").select(F.col("bare").alias("b2"), tokens(F.col("t")).alias("clean"))
+    both = rows.where("key <> best").select("bare", tokens(F.col("t")).alias("own")).join(clean, F.col("bare") == F.col("b2")).where("size(own) = size(clean)")
+    pairs = both.select(F.explode(F.arrays_zip("own", "clean")).alias("x")).where("x.own <> x.clean").select("x.own", "x.clean").distinct()
+    spread = lambda name: words.select(F.col("word").alias(name), F.struct(*_SPREAD).alias(f"{name}_spread"))
+    pairs = pairs.join(spread("own"), "own").join(spread("clean"), "clean")
+    turned = F.col("own_spread") > F.col("clean_spread")
+    pairs = pairs.where("own_spread <> clean_spread").select(
+        F.when(turned, F.col("clean")).otherwise(F.col("own")).alias("word"), F.when(turned, F.col("own")).otherwise(F.col("clean")).alias("clean"), F.expr("own_spread.n_texts <> clean_spread.n_texts").alias("by_texts")
+    )
+    return pairs.where(_sane(F.col("clean")) & (_bare(F.col("word")) == _bare(F.col("clean")))).distinct()
+
+
+_PIECES = r"([^\x00-\x7f]+|[\x00-\x7f]+)"
+
+
+def learn_runs(twins: DataFrame, words: DataFrame, min_words: int = 5, min_share: float = 0.8) -> DataFrame:
+    """(run, restored): runs beyond ASCII that no chain of encodings explains, of which at least min_words words and min_share of all words that hold them
+    have a near-twin with one and the same run in their place."""
+    known = chains()
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(w, g, c) for w, t in zip(batch["word"], batch["clean"], strict=True) for g, c in align(w, t)]
+            yield pd.DataFrame(rows, columns=["word", "run", "restored"])
+
+    def unexplained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[not any(garble(c, *k) == g or garble(g, *k) == c for k in known) for g, c in zip(batch["run"], batch["restored"], strict=True)]]
+
+    runs = twins.where("by_texts").mapInPandas(pairs, "word string, run string, restored string").distinct().groupBy("run", "restored").agg(F.count(F.lit(1)).alias("n"))
+    best = runs.groupBy("run").agg(F.max(F.struct("n", "restored")).alias("b")).select("run", "b.n", "b.restored").where(F.col("n") >= min_words)
+    held = words.select(F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(r"([^\x00-\x7f]+)"), 1))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("held"))
+    best = best.join(held, "run").where(F.col("n") >= min_share * F.col("held"))
+    return best.select("run", "restored").mapInPandas(unexplained, "run string, restored string")
+
+
+def map_runs(words: DataFrame, runs: DataFrame) -> DataFrame:
+    """(word, restored): the words that hold a mapped run, with all such runs replaced."""
+    pieces = words.select("word", F.posexplode(F.regexp_extract_all("word", F.lit(_PIECES), 1)).alias("at", "run")).join(runs, "run", "left")
+    order = F.array_sort(F.collect_list(F.struct("at", F.coalesce("restored", "run").alias("piece"))))  # the pieces of one word
+    out = pieces.groupBy("word").agg(F.max(F.col("restored").isNotNull()).alias("hit"), F.array_join(F.transform(order, lambda x: x["piece"]), "").alias("restored"))
+    return out.where("hit").drop("hit")
+
+
 def learn_mappings(twins: DataFrame, min_pairs: int = 2, min_words: int = 3) -> list[tuple[str, str, int]]:
     """The chains (right, wrong, times) that enough pairs of runs support; a pair counts for the chains of fewest steps that explain it."""
     known = chains()
@@ -183,10 +248,11 @@ def learn_mappings(twins: DataFrame, min_pairs: int = 2, min_words: int = 3) ->
 
 def garbled_words(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(word, restored, mapping) of every garbled word, restored NULL where its original is not known; and the (id, word) rows they were found in."""
-    rows = odd_words(df, id_col, text)
-    words = cut(word_counts(df, text))
-    twins = cut(_twins(words))
+    texts = cut(odd_texts(df, id_col, text))
+    words = cut(word_counts(texts))
+    twins = cut(_twins(words).unionByName(_text_twins(df, id_col, text, texts, words)).groupBy("word", "clean").agg(F.max("by_texts").alias("by_texts")))
     learned = learn_mappings(twins)
+    runs = cut(learn_runs(twins, words))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,10 +271,14 @@ def garbled_words(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, Dat
     lexicon = words.select(F.col("word").alias("lex"), F.struct("n_texts", "n_docs").alias("spread"))
     found = found.join(lexicon, F.col("restored") == F.col("lex"), "left").withColumn("known", F.coalesce(F.col("spread") > F.struct("n_texts", "n_docs"), F.lit(False)))
     best = F.max(F.struct("known", "rank", "spread", "restored", "mapping"))
-    found = found.where("sure or known").groupBy("word").agg(best.alias("b"))
-    clean = twins.select("word", "clean")
+    found = found.where("sure or known").select("word", "known", "rank", "spread", "restored", "mapping")
+    if not runs.isEmpty():
+        mapped = map_runs(words, runs).select("word", F.lit(False).alias("known"), F.lit(-2).alias("rank"), F.lit(None).cast(found.schema["spread"].dataType).alias("spread"), "restored", F.lit("runs").alias("mapping"))
+        found = found.unionByName(mapped)  # only where no chain of encodings applies
+    found = found.groupBy("word").agg(best.alias("b"))
+    clean = twins.where(_sane(F.col("clean"))).groupBy("word").agg(F.max("clean").alias("clean"))
     found = found.join(clean, "word", "left").select("word", F.coalesce("b.restored", F.when(F.col("b.mapping") == "lost", F.col("clean"))).alias("restored"), F.col("b.mapping").alias("mapping"))
-    return found, rows
+    return found, texts.select("id", F.explode("words").alias("word"))
 
 
 def repair(df: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -202,3 +202,23 @@ def test_encoding_edges(spark):
     assert encoding.affected(empty, "doc_id", "text").count() == 0 and encoding.repair(empty, "doc_id", "text").count() == 0
     assert encoding.align("SeÃ±or", "Señor") == [("Ã±", "ñ")]
     assert encoding.restore("Â«Ã©", "utf_8", "cp1252", 1) == "«é" and encoding.restore("’é", "utf_8", "cp1252", 1) is None
+
+
+def test_garblings_beyond_the_known_encodings(spark):
+    odd = str.maketrans({"é": "ŧ¤", "ü": "ŧ¼", "ñ": "ŧ±"})
+    clean = [f"{a}{c}{b}{d}" for a in "bdfgkl" for c, bs in zip("éüñ", ("lmn", "rst", "vwz"), strict=True) for b in bs for d in "ao"]
+    rows = [(i, f"{w} plain {i}") for i, w in enumerate(clean * 3)]
+    bad = {len(rows) + k: w for k, w in enumerate(clean[::2])} | {len(rows) + 500 + k: w for k, w in enumerate(("zéro", "müde", "moño"))}
+    rows += [(i, w.translate(odd)) for i, w in bad.items()]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r[0] for r in encoding.affected(df, "doc_id", "text").collect()} == set(bad)  # the last three have no near-twin
+    assert {r["doc_id"]: r["text"] for r in encoding.repair(df, "doc_id", "text").collect()} == bad
+
+
+def test_whole_texts_are_near_twins(spark):
+    texts = ["où à – çà et là", "plain", "où est-il ? à la – fin"]
+    pairs = [(t, encoding.garble(t, "cp1252", "mac_roman")) for t in texts[::2]]
+    df = spark.createDataFrame(list(enumerate([x for p in pairs for x in (p[0], f"{p[0]} a", p[1])] + texts[1:2] + [None, ""])), "doc_id int, text string")
+    odd = encoding.odd_texts(df, "doc_id", "text")
+    twins = encoding._text_twins(df, "doc_id", "text", odd, encoding.word_counts(odd)).collect()
+    assert {("où", encoding.garble("où", "cp1252", "mac_roman")), ("à", encoding.garble("à", "cp1252", "mac_roman"))} <= {(r["clean"], r["word"]) for r in twins}
