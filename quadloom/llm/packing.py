@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quadloom.session import cut
+from quadloom.session import BROADCAST_ROWS, cut
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int) -> list[int]:
@@ -74,13 +74,13 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> list[int]:
 def pack(sized: DataFrame, specs: DataFrame, id_col: str, size_col: str, spec_col: str, capacity_col: str, shard_rows: int = 20_000) -> DataFrame:
     """(spec, id, piece, first_token, tokens, container, container_tokens): every item once per spec, pieces of split items in order.
 
-    specs is a table of a few container kinds; each item is packed once for each.
+    specs is a table of container kinds; each item is packed once for each. It is copied to the executors up to BROADCAST_ROWS kinds.
     """
     items = cut(sized.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint").alias("size")))
-    kinds = [(r[0], int(r[1])) for r in specs.select(spec_col, capacity_col).where(f"{capacity_col} > 0").orderBy(spec_col).collect()]
-    spark, shards = sized.sparkSession, max(1, -(-items.count() // shard_rows))
-    kinds_df = spark.createDataFrame(kinds, f"spec {specs.schema[spec_col].dataType.simpleString()}, capacity bigint")
-    each = items.join(F.broadcast(kinds_df))  # a row per item and kind; the kinds are a fixed small table
+    shards = max(1, -(-items.count() // shard_rows))
+    kinds = specs.where(F.col(capacity_col) > 0).select(F.col(spec_col).alias("spec"), F.col(capacity_col).cast("bigint").alias("capacity"))
+    small = kinds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    each = items.join(F.broadcast(kinds) if small else kinds)  # the result has a row per item and kind
     full = each.where("size > capacity").select("spec", "capacity", "id", F.explode(F.sequence(F.lit(1), F.expr("(size - 1) div capacity").cast("int"))).alias("piece"))
     full = full.select("spec", "id", "piece", ((F.col("piece") - 1) * F.col("capacity")).alias("first_token"), F.col("capacity").alias("tokens"), F.concat_ws("-", "spec", F.lit("full"), "id", "piece").alias("container"), F.col("capacity").alias("container_tokens"))
     before = F.expr("cast(if(size > capacity, (size - 1) div capacity, 0) as int)")

@@ -1,4 +1,4 @@
-"""Token counts of texts under a public byte-level tokenizer, whose vocabulary file is named by path."""
+"""Token counts of texts under a public byte-level tokenizer, whose vocabulary file is named by path and sent to executors that lack it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import os
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession, functions as F
 
 DEFAULT_VOCABULARY = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 # Fixed value: the pre-tokenization pattern that belongs to the vocabulary.
@@ -19,6 +20,9 @@ def encoder(path: str):
     """The tokenizer of a vocabulary file, loaded once per worker."""
     import tiktoken
 
+    if not os.path.exists(path):
+        path = SparkFiles.get(os.path.basename(path))
+
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -43,6 +47,9 @@ def count_tokens(text: str, path: str = DEFAULT_VOCABULARY) -> int:
 
 def token_count(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     """BIGINT token count of a text column; NULL and empty texts have 0 tokens."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and os.path.exists(path):
+        spark.sparkContext.addFile(path)
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:

@@ -110,6 +110,17 @@ def test_mix(spark):
     assert 2800 <= some <= 3000
 
 
+def test_mix_by_shuffle_and_small_blocks(spark, monkeypatch):
+    rows = [(i, "a" if i % 3 else "b", 1 + i % 7) for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, src string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 2_000_000_000)], "src string, w double, r int")
+    run = lambda: sorted(tuple(r) for r in mixing.mix(df, targets, "id", "src", "tokens", "w", "r").collect())
+    want = run()
+    for name, value in (("MAX_TARGETS", 0), ("BUCKET_ROWS", 20), ("BLOCK_BUCKETS", 3)):
+        monkeypatch.setattr(mixing, name, value)
+    assert run() == want and len(want) > 900
+
+
 def test_tokens(spark):
     e = tokens.encoder(tokens.DEFAULT_VOCABULARY)
     long = "Madam President, the café isn't 42 open. " * 20_000
