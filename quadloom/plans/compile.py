@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import fields, is_dataclass
 from functools import reduce
 from typing import Any
 
@@ -30,6 +31,33 @@ def conjuncts(e: Any) -> list[Any]:
     return conjuncts(e[2]) + conjuncts(e[3]) if isinstance(e, tuple) and e[0] == "op" and e[1] == "&&" else [e]
 
 
+def deep_vars(x: Any) -> set[str]:
+    """All variables that a pattern or expression names, at any depth."""
+    if isinstance(x, Var):
+        return {x.name}
+    if isinstance(x, (tuple, list)):
+        return set().union(*map(deep_vars, x)) if x else set()
+    if isinstance(x, Extend):
+        return deep_vars(x.inner) | deep_vars(x.expr) | {x.var}
+    if isinstance(x, Values):
+        return set(x.vars)
+    if isinstance(x, Query):
+        return set(pattern_vars(x))
+    return set().union(*(deep_vars(getattr(x, f.name)) for f in fields(x))) if is_dataclass(x) and not isinstance(x, (Term, type)) else set()
+
+
+def outer_uses(n: Any, bound: frozenset[str]) -> frozenset[str]:
+    """The variables bound outside that a pattern uses where they are not in scope: in conditions, in bindings, and on the right of OPTIONAL and MINUS."""
+    if isinstance(n, (Filter, Extend)):
+        return ((frozenset(deep_vars(n.expr)) & bound) - frozenset(pattern_vars(n.inner))) | outer_uses(n.inner, bound)
+    if isinstance(n, (LeftJoin, Minus)):
+        alone = frozenset(deep_vars(n.right)) | frozenset(deep_vars(getattr(n, "expr", None)))
+        return ((alone & bound) - frozenset(pattern_vars(n.left))) | outer_uses(n.left, bound) | outer_uses(n.right, bound)
+    if isinstance(n, (Join, Union)):
+        return outer_uses(n.left, bound) | outer_uses(n.right, bound)
+    return outer_uses(n.inner, bound) if isinstance(n, Graph) else frozenset()
+
+
 class Compiler:
     """Compiles one query against a store."""
 
@@ -203,7 +231,7 @@ class Compiler:
         return isinstance(e, (tuple, list)) and ((isinstance(e, tuple) and bool(e) and e[0] == "exists") or any(self._has_exists(x) for x in e))
 
     def exists(self, r: Rel, pattern: Any, negated: bool, active: Active) -> Rel:
-        """EXISTS by semi join; conditions of the pattern on variables from outside move into the join."""
+        """EXISTS by semi join; conditions of the pattern on variables from outside move into the join, deeper ones meet the outer bindings where they stand."""
         outer, inner = [], pattern
         while isinstance(inner, Filter):
             own = set(pattern_vars(inner.inner))
@@ -215,10 +243,52 @@ class Compiler:
             if keep:
                 break
             inner = inner.inner
+        bound = frozenset(v for v in r.vars if not v.startswith("?"))
+        if used := outer_uses(inner, bound):
+            return self._correlated_exists(r, pattern, used, negated, active)
         b = self.pattern(inner, active)
         cond = None if not outer else lambda m: reduce(lambda x, y: x & y, [self.boolean(c, m, active) for c in outer])
         return R.semi(r, b, negated, cond)
 
+    def _correlated_exists(self, r: Rel, pattern: Any, used: frozenset[str], negated: bool, active: Active) -> Rel:
+        """EXISTS over the distinct bindings of the outer variables that the pattern names: they join in where the pattern uses them, under a key that stays."""
+        self.fresh += 1
+        key, names = f"?outer{self.fresh}", [v for v in r.vars if v in deep_vars(pattern)]
+        bindings = F.struct(*[C(v).alias(str(i)) for i, v in enumerate(names)])  # structs with unbound fields are equal where all fields are
+        distinct = r.df.select(*[C(v) for v in names], bindings.alias(key)).distinct()
+        seeds = Rel(distinct, {v: r.reprs[v] for v in names} | {key: Repr("key")}, r.maybe & set(names))
+        b = self._seeded(self.correlate(pattern, seeds, key, active), seeds, key)
+        marked = Rel(r.df.withColumn(key, bindings), r.reprs | {key: Repr("key")}, r.maybe)
+        return R.semi(marked, b.only([key]), negated).only(r.vars)
+
+    def _seeded(self, r: Rel, seeds: Rel, key: str) -> Rel:
+        return r if key in r.reprs else R.join(r, seeds)
+
+    def correlate(self, n: Any, seeds: Rel, key: str, active: Active) -> Rel:
+        """The solutions of a pattern for each of the outer bindings in seeds; parts that use none of them stay as they are."""
+        bound = frozenset(v for v in seeds.vars if v != key)
+        if not outer_uses(n, bound):
+            return self.pattern(n, active)
+        sub = lambda x: self.correlate(x, seeds, key, active)
+        full = lambda x: self._seeded(sub(x), seeds, key)
+        if isinstance(n, Join):
+            return R.join(sub(n.left), sub(n.right))
+        if isinstance(n, Union):
+            return R.union(full(n.left), full(n.right))
+        if isinstance(n, LeftJoin):
+            return R.left_join(full(n.left), sub(n.right), None if n.expr is None else lambda m: self.boolean(n.expr, m, active))
+        if isinstance(n, Minus):
+            return R.minus(full(n.left), sub(n.right), bound | {key})
+        if isinstance(n, Filter):
+            return self.filter(full(n.inner), n.expr, active)
+        if isinstance(n, Extend):
+            return self.extend(full(n.inner), n.var, n.expr, active)
+        if isinstance(n, Graph) and isinstance(n.name, Term):
+            return self.correlate(n.inner, seeds, key, Active("iri", n.name.v))
+        if isinstance(n, Graph) and not isinstance(n.inner, Unit):
+            return self.correlate(n.inner, seeds, key, Active("var", n.name.name))
+        return self.pattern(n, active)
+
     # expressions
 
     def boolean(self, e: Any, r: Rel, active: Active) -> Column:
@@ -440,17 +510,17 @@ class Compiler:
             elif n not in r.reprs:
                 r = Rel(r.df.withColumn(n, F.lit(None).cast(TERM)), r.reprs | {n: TERM_REPR}, r.maybe | {n})
         names = names if names is not None else [n for n, _ in q.project]
-        order = []
+        keys: list[tuple[Column, bool]] = []
         for e, up in q.order:
             r, v = self.value_in(e, r, active)
-            order += [c.asc_nulls_first() if up else c.desc_nulls_last() for c in order_key(v)]
+            keys += [(c, up) for c in order_key(v)]
+        order = [c.asc_nulls_first() if up else c.desc_nulls_last() for c, up in keys]
         if q.distinct:
             r2 = r.only(names)
             if order and all(isinstance(e, Var) and e.name in names for e, _ in q.order):
                 r = Rel(r2.df.distinct().orderBy(*order), r2.reprs, r2.maybe)
             elif order:  # ordered by what is not projected: the first of each solution counts
-                first = r.df.withColumn("?n", F.row_number().over(_window(order))).groupBy(*[C(n) for n in names]).agg(F.min("?n").alias("?n"))
-                r = Rel(first.orderBy("?n").drop("?n"), r2.reprs, r2.maybe)
+                r = Rel(_first_of_each(r.df, names, keys), r2.reprs, r2.maybe)
             else:
                 r = Rel(r2.df.distinct(), r2.reprs, r2.maybe)
         else:
@@ -503,5 +573,17 @@ def _freeze(e: Any) -> Any:
     return tuple(_freeze(x) for x in e) if isinstance(e, (tuple, list)) else e
 
 
-def _window(order):
-    return Window.orderBy(*order)
+def _first_of_each(df: DataFrame, names: list[str], keys: list[tuple[Column, bool]]) -> DataFrame:
+    """The distinct rows of the named columns, in the order of the least keys that each has."""
+    cols = [C(n) for n in names]
+    ranked = df.select(*cols, *[c.alias(f"?k{i}") for i, (c, _) in enumerate(keys)])
+    directions = {up for _, up in keys}
+    made = [C(f"?k{i}") for i in range(len(keys))]
+    order = [c.asc_nulls_first() if up else c.desc_nulls_last() for c, (_, up) in zip(made, keys, strict=True)]
+    if len(directions) == 1:  # one direction: a partial aggregate, NULL being the least
+        best = (F.min if directions == {True} else F.max)(F.struct(*made)).alias("?k")
+        first = ranked.groupBy(*cols).agg(best).select(*cols, *[C("?k")[f"?k{i}"].alias(f"?k{i}") for i in range(len(keys))])
+    else:
+        own = Window.partitionBy(*cols).orderBy(*order)
+        first = ranked.distinct().withColumn("?n", F.row_number().over(own)).where(C("?n") == 1)
+    return first.orderBy(*order).select(*cols)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -111,9 +112,32 @@ def join(a: Rel, b: Rel) -> Rel:
     return Rel(out.select(*cols), reprs, maybe)
 
 
-def _condition(a: Rel, b: Rel, shared: list[str]) -> Column:
-    rc = lambda v: C(f"?r:{v}")
-    return _all([C(v) == rc(v) if v not in a.maybe | b.maybe else C(v).isNull() | rc(v).isNull() | (C(v) == rc(v)) for v in shared])
+def _rc(v: str) -> Column:
+    return C(f"?r:{v}")
+
+
+def _compatible(a: Rel, b: Rel, shared: list[str]) -> Column:
+    return _all([C(v) == _rc(v) if v not in a.maybe | b.maybe else C(v).isNull() | _rc(v).isNull() | (C(v) == _rc(v)) for v in shared])
+
+
+def _split(a: Rel, right: DataFrame, b: Rel, shared: list[str]) -> list[tuple[DataFrame, list[tuple[DataFrame, Column]]]]:
+    """The rows of a in parts, each with the parts of right that can match them and the condition under which they do.
+
+    Where some shared variable is bound on both sides it is the key, and there is one part. Otherwise rows with all shared variables bound on both sides
+    meet by key, and only rows with an unbound one are compared with all. The parts of a row's right side are disjoint."""
+    open_ = [v for v in shared if v in a.maybe | b.maybe]
+    if not open_ or len(open_) < len(shared):
+        return [(a.df, [(right, _compatible(a, b, shared))])]
+    keys, loose = _all([C(v) == _rc(v) for v in shared]), _compatible(a, b, shared)
+    full_a, full_b = _all([C(v).isNotNull() for v in shared]), _all([_rc(v).isNotNull() for v in shared])
+    with_a, with_b = any(v in a.maybe for v in shared), any(v in b.maybe for v in shared)
+    parts = [(right.where(full_b) if with_b else right, keys)] + ([(right.where(~full_b), loose)] if with_b else [])
+    out = [(a.df.where(full_a) if with_a else a.df, parts)]
+    return out + ([(a.df.where(~full_a), [(right, loose)])] if with_a else [])
+
+
+def _unite(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def left_join(a: Rel, b: Rel, condition=None) -> Rel:
@@ -121,17 +145,44 @@ def left_join(a: Rel, b: Rel, condition=None) -> Rel:
     shared = [v for v in a.vars if v in b.reprs]
     a, b = _align(a, b, shared)
     right = _renamed(b, shared).withColumn("?hit", F.lit(True))
-    on = _condition(a, b, shared)
     own = {v: r for v, r in b.reprs.items() if v not in shared}
+    more = F.lit(True)
     if condition is not None:
-        merged = Rel(a.df, a.reprs | own, a.maybe | b.maybe)
-        on = on & F.coalesce(condition(merged), F.lit(False))
-    out = a.df.join(right, on, "left")
-    cols = [(F.coalesce(C(v), C(f"?r:{v}")) if v in shared and v in a.maybe else C(v)).alias(v) for v in a.reprs | own] or [F.lit(1).alias("?unit")]
+        more = F.coalesce(condition(Rel(a.df, a.reprs | own, a.maybe | b.maybe)), F.lit(False))
+    split = _split(a, right, b, shared)
+    if len(split) == 1 and len(split[0][1]) == 1:
+        out = a.df.join(right, split[0][1][0][1] & more, "left")
+    else:  # the matches of each part, and the rows that no part matches
+        rows, lone = [], []
+        for left, parts in split:
+            rest = left
+            for part, on in parts:
+                rows.append(left.join(part, on & more))
+                rest = rest.join(part, on & more, "left_anti")
+            lone.append(rest)
+        rows = _unite(rows)
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema]
+        out = rows.unionByName(_unite(lone).select("*", *empty))
+    cols = [(F.coalesce(C(v), _rc(v)) if v in shared and v in a.maybe else C(v)).alias(v) for v in a.reprs | own] or [F.lit(1).alias("?unit")]
     maybe = {v for v in a.maybe if not (v in shared and v not in b.maybe)} | {v for v in a.maybe if v in shared} | set(own)
     return Rel(out.select(*cols), a.reprs | own, maybe)
 
 
+def _semi(a: Rel, right: DataFrame, b: Rel, shared: list[str], anti: bool, more: Column) -> DataFrame:
+    """Rows of a with (without) a compatible row of right; the rows that a keyed part matches are not compared with the rest."""
+    out = []
+    for left, parts in _split(a, right, b, shared):
+        rest = left
+        for part, on in parts:
+            if not anti:
+                out.append(rest.join(part, on & more, "left_semi"))
+            if anti or len(parts) > 1:
+                rest = rest.join(part, on & more, "left_anti")
+        if anti:
+            out.append(rest)
+    return _unite(out)
+
+
 def semi(a: Rel, b: Rel, anti: bool = False, condition=None) -> Rel:
     """Rows of a with (without) a compatible row of b; condition as for left_join."""
     shared = [v for v in a.vars if v in b.reprs]
@@ -141,28 +192,29 @@ def semi(a: Rel, b: Rel, anti: bool = False, condition=None) -> Rel:
         own = {}
     b2 = b2.only(shared + list(own))
     right = _renamed(b2, shared)
-    on = _condition(a2, b2, shared)
+    more = F.lit(True)
     if condition is not None:
-        on = on & F.coalesce(condition(Rel(a2.df, a2.reprs | own, a2.maybe | b2.maybe)), F.lit(False))
+        more = F.coalesce(condition(Rel(a2.df, a2.reprs | own, a2.maybe | b2.maybe)), F.lit(False))
     elif not shared:
         right = right.limit(1)
-    return Rel(a2.df.join(right, on, "left_anti" if anti else "left_semi"), a2.reprs, a2.maybe)
+    return Rel(_semi(a2, right, b2, shared, anti, more), a2.reprs, a2.maybe)
 
 
-def minus(a: Rel, b: Rel) -> Rel:
-    """MINUS: drop rows with a compatible row of b that shares a bound variable."""
+def minus(a: Rel, b: Rel, fixed: frozenset[str] = frozenset()) -> Rel:
+    """MINUS: drop rows with a compatible row of b that shares a bound variable. Variables in fixed stand for constants: they must agree but are not shared."""
     shared = [v for v in a.vars if v in b.reprs]
-    if not shared:
+    free = [v for v in shared if v not in fixed]
+    if not free:
         return a
     a2, b2 = _align(a, b, shared)
     right = _renamed(b2.only(shared), shared)
-    on = _condition(a2, b2, shared)
-    if all(v in a2.maybe | b2.maybe for v in shared):
-        some = F.lit(False)
-        for v in shared:
-            some = some | (C(v).isNotNull() & C(f"?r:{v}").isNotNull())
-        on = on & some
-    return Rel(a2.df.join(right, on, "left_anti"), a2.reprs, a2.maybe)
+    some = F.lit(True)
+    if all(v in a2.maybe | b2.maybe for v in free):
+        some = reduce(lambda x, y: x | y, [C(v).isNotNull() & _rc(v).isNotNull() for v in free])
+    if len(shared) == 1 and shared[0] in a2.maybe | b2.maybe:  # rows with the one variable unbound share nothing
+        v = shared[0]
+        return Rel(a2.df.join(right.where(_rc(v).isNotNull()), C(v) == _rc(v), "left_anti"), a2.reprs, a2.maybe)
+    return Rel(_semi(a2, right, b2, shared, True, some), a2.reprs, a2.maybe)
 
 
 def union(a: Rel, b: Rel) -> Rel:

@@ -172,3 +172,86 @@ def test_random_patterns_any_order(engine):
         for order in list(itertools.permutations(pattern))[:2]:
             got = rows(e, f"SELECT {' '.join(seen)} {{ {' . '.join(' '.join(t) for t in order)} }}")
             assert [tuple(r) for r in got] == sorted(want, key=str)
+
+
+NESTED = ":a :p 1 ; :q 5 ; :t :x . :b :p 9 ; :q 5 . :c :p 5 ; :q 5 , 7 . :d :p 7 ."
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        ("{ ?s :q ?m FILTER(?m > ?n) } UNION { ?s :zz ?m }", "ac"),
+        ("{ ?s :q ?m FILTER(?m > ?n) }", "ac"),
+        ("{ { ?s :q ?m FILTER(?m = ?n) } } UNION { ?s :t ?x FILTER(?n < 2) }", "ac"),
+        ("{ ?other :q ?m FILTER(?m = ?n && ?other != ?s) } ?other :p ?k", "cd"),
+        ("?s :q ?m { BIND(?n + 2 AS ?m) }", "c"),
+        ("?z :t ?x OPTIONAL { ?y :q ?m FILTER(?m = ?n) } FILTER(BOUND(?m))", "cd"),
+        ("?z :t ?x OPTIONAL { ?s :q ?m } FILTER(!BOUND(?m))", "d"),
+        ("?y :q ?m MINUS { ?y :q ?k FILTER(?k = ?n) } ", "abd"),
+        ("?y :q ?m . ?y :p ?n MINUS { ?y :q ?k FILTER(?k = ?n) } ", "ab"),
+        ("{ ?s :q ?m FILTER EXISTS { { ?z :p ?m FILTER(?m = ?n) } } }", "c"),
+        ("{ SELECT ?s { ?s :q ?m FILTER(?m > 5) } }", "c"),
+    ],
+)
+def test_exists_sees_outer_variables_at_any_depth(engine, pattern, want):
+    e = engine(NESTED)
+    rows = lambda how: "".join(sorted(r["s"][-1] for r in e.select(f"SELECT ?s {{ ?s :p ?n FILTER {how} {{ {pattern} }} }}").collect()))
+    assert rows("EXISTS") == want and rows("NOT EXISTS") == "".join(sorted(set("abcd") - set(want)))
+    flag = {r["s"][-1]: r["f"] for r in e.select(f"SELECT ?s ?f {{ ?s :p ?n BIND(EXISTS {{ {pattern} }} AS ?f) }}").collect()}
+    assert flag == {x: x in want for x in "abcd"}
+
+
+def test_exists_with_unbound_outer_variables(engine):
+    e = engine(NESTED)
+    got = e.select("SELECT ?s { ?s :p ?n OPTIONAL { ?s :t ?x } FILTER EXISTS { { ?z :t ?x FILTER(?n < 6) } UNION { ?z :none ?x } } }").collect()
+    assert sorted(r["s"][-1] for r in got) == ["a", "c"]
+
+
+def test_maybe_unbound_keys_against_nested_loops(spark):
+    import itertools
+
+    from quadloom.plans import rel as R
+
+    rng = random.Random(7)
+    for n_vars in (1, 2, 3):
+        names = ["x", "y", "z"][:n_vars]
+        pick = lambda: tuple(rng.choice([None, "1", "2", "3"]) for _ in names)  # noqa: E731, B023
+        for open_a, open_b in itertools.product((True, False), repeat=2):
+            a = [(i, *(pick() if open_a else [x or "1" for x in pick()])) for i in range(12)]
+            b = [(10 + j, *(pick() if open_b else [x or "1" for x in pick()])) for j in range(7)]
+            frame = lambda rows, own, maybe: R.Rel(spark.createDataFrame(rows, ", ".join(f"{c} string" if c in names else f"{c} int" for c in [own, *names])), {own: R.Repr("int")} | {v: R.IRI_REPR for v in names}, set(names) if maybe else set())  # noqa: E731, B023
+            ra, rb = frame(a, "i", open_a), frame(b, "j", open_b)
+            fits = lambda s, t: all(p is None or q is None or p == q for p, q in zip(s[1:], t[1:], strict=True))
+            more = lambda s, t: (s[0] + t[0]) % 3 != 0
+            cond = lambda m: (R.C("i") + R.C("j")) % 3 != 0
+            shares = lambda s, t: any(p is not None and q is not None for p, q in zip(s[1:], t[1:], strict=True))
+            ids = lambda r, *cs: sorted((tuple(x[c] for c in cs) for x in r.df.collect()), key=str)
+            for c, m in ((None, lambda s, t: True), (cond, more)):
+                pairs = [(s[0], t[0]) for s in a for t in b if fits(s, t) and m(s, t)]
+                hit = {p[0] for p in pairs}
+                assert ids(R.left_join(ra, rb, c), "i", "j") == sorted(pairs + [(s[0], None) for s in a if s[0] not in hit], key=str)
+                assert ids(R.semi(ra, rb, False, c), "i") == sorted(((s[0],) for s in a if s[0] in hit), key=str)
+                assert ids(R.semi(ra, rb, True, c), "i") == sorted(((s[0],) for s in a if s[0] not in hit), key=str)
+            assert ids(R.minus(ra, rb.only(names)), "i") == sorted(((s[0],) for s in a if not any(fits(s, t) and shares(s, t) for t in b)), key=str)
+
+
+@pytest.mark.parametrize("query", ["?s :p ?n OPTIONAL { ?s :t ?x } OPTIONAL { ?y :u ?x }", "?s :p ?n OPTIONAL { ?s :t ?x } MINUS { ?y :u ?x }", "?s :p ?n OPTIONAL { ?s :t ?x } FILTER EXISTS { ?y :u ?x }"])
+def test_bound_rows_never_meet_in_a_nested_loop(spark, engine, query):
+    e = engine(":a :p 1 ; :t :x . :y :u :x .")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = e.select(f"SELECT * {{ {query} }}")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for line in (x for x in plan.split("\n") if " Join " in x or "Join " in x.strip(" :+-")):
+        if "Join" in line and "x" in line and "OR" in line:
+            assert "isnull" in line
+    assert any("Join" in x and " = " in x and " OR " not in x for x in plan.split("\n"))
+
+
+def test_distinct_ordered_by_what_is_not_projected(engine):
+    e = engine(":a :p 3 , 1 ; :q 2 . :b :p 2 ; :q 9 . :c :p 0 ; :q 9 . :d :q 1 .")
+    rows = lambda order: "".join(r["s"][-1] for r in e.select(f"SELECT DISTINCT ?s {{ ?s :q ?m OPTIONAL {{ ?s :p ?n }} }} ORDER BY {order}").collect())
+    assert rows("?n ?s") == "dcab" and rows("DESC(?n) DESC(?s)") == "abcd" and rows("?m DESC(?n)") == "dabc"
+    df = e.select("SELECT DISTINCT ?s { ?s :q ?m OPTIONAL { ?s :p ?n } } ORDER BY ?n")
+    assert "SinglePartition" not in df._jdf.queryExecution().toString()
