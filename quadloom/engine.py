@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,8 +14,8 @@ from quadloom.plans.compile import Compiler
 from quadloom.plans.parser import parse_query
 from quadloom.plans.rel import C, Rel, Repr
 from quadloom.session import ship_code
-from quadloom.store import Active
-from quadloom.terms import IRI, NAMESPACES, TERM
+from quadloom.store import Active, QuadStore
+from quadloom.terms import IRI, NAMESPACES, TERM, term_col
 
 
 @dataclass
@@ -68,8 +69,10 @@ class Solutions:
 class Engine:
     """Queries over one store. functions maps IRIs to Python callables from value columns to a value (see register_function)."""
 
-    def __init__(self, spark: SparkSession, store, base: str | None = None, prefixes: dict[str, str] | None = None, transport=None):
+    def __init__(self, spark: SparkSession, store, base: str | None = None, prefixes: dict[str, str] | None = None, transport=None, load_files: bool = False):
+        """load_files lets FROM and FROM NAMED read graphs from file: IRIs."""
         ship_code(spark)
+        self.load_files = load_files
         self.spark, self.store, self.base, self.transport = spark, store, base, transport
         self.prefixes = NAMESPACES | (prefixes or {})
         self.functions: dict = {}
@@ -81,11 +84,20 @@ class Engine:
     def parse(self, text: str) -> Query:
         return parse_query(text, self.base, self.prefixes)
 
+    def _with_files(self, files: list[str]) -> QuadStore:
+        from quadloom.sources.io import read_graph
+
+        parts = [read_graph(self.spark, x).withColumn("g", term_col(IRI, F.lit(x)).cast(TERM)) for x in files]
+        return QuadStore(reduce(DataFrame.unionByName, parts, self.store.quads))
+
     def _compiler(self, q: Query) -> Compiler:
         from quadloom.sources.remote import service_join
 
-        store = self.store.dataset(q.default_graphs, q.named_graphs) if q.default_graphs or q.named_graphs else self.store
-        service = None if self.transport is None else lambda c, n, a: service_join(c, n, a, self.transport)
+        store = self.store
+        if q.default_graphs or q.named_graphs:
+            files = [x for x in dict.fromkeys([*q.default_graphs, *q.named_graphs]) if self.load_files and x.startswith("file:")]
+            store = (self._with_files(files) if files else store).dataset(q.default_graphs, q.named_graphs)
+        service = None if self.transport is None else lambda c, n, a, left=None: service_join(c, n, a, self.transport, left)
         return Compiler(self.spark, store, self.functions, service, q.base or self.base)
 
     def sparql(self, text: str):

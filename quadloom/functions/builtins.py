@@ -197,6 +197,17 @@ def _tag(t: Column) -> Column:
     return F.when(t["k"] == LITERAL, F.coalesce(t["lang"], F.lit("")))
 
 
+def _without_dots(iri: Column) -> Column:
+    """An absolute IRI with the steps '.' and '..' of its path taken."""
+    part = lambda i: F.regexp_extract(iri, r"^([^:]*:(?://[^/?#]*)?)([^?#]*)(.*)$", i)
+    steps = F.split(F.regexp_replace(part(2), r"/\.{1,2}$", "$0/"), "/", -1)  # a last step leaves its slash
+
+    def walk(path: Column, step: Column) -> Column:
+        return F.when(step == ".", path).when(step == "..", F.when(F.size(path) > 1, F.slice(path, 1, F.size(path) - 1)).otherwise(path)).otherwise(F.concat(path, F.array(step)))
+
+    return F.concat(part(1), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/"), part(3))
+
+
 def _iri(v: Val, base: str | None, const_text: str | None) -> Val:
     if v.kind == "iri":
         return v
@@ -207,7 +218,7 @@ def _iri(v: Val, base: str | None, const_text: str | None) -> Val:
     if base:
         root = base[: base.rfind("/") + 1] if "/" in base[8:] else base + "/"
         simple = F.when(text.startswith("#"), F.concat(F.lit(base.split("#")[0]), text)).otherwise(F.concat(F.lit(root), text))
-        text = F.when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), text).otherwise(simple)
+        text = F.when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), text).otherwise(F.when(text.rlike(r"(?:^|/)\.\.?(?:/|$)"), _without_dots(simple)).otherwise(simple))
     return Val("iri", text)
 
 

@@ -100,6 +100,17 @@ def isomorphic(a: DataFrame, b: DataFrame) -> bool:
     return _match(a, b, {}, {})
 
 
+def isomorphic_datasets(a: DataFrame, b: DataFrame) -> bool:
+    """isomorphic for (g, s, p, o), whose graph names may be blank nodes too: each quad is described by a node of its own."""
+
+    def described(q: DataFrame) -> DataFrame:
+        own = term_col(BNODE, F.concat(F.lit("q"), F.sha1(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in "gspo"]))))
+        rows = [F.struct(own.cast(TERM).alias("s"), F.lit(f"q:{c}").alias("p"), (term_col(IRI, F.col(c)) if c == "p" else F.col(c)).cast(TERM).alias("o")) for c in "gspo"]
+        return q.select("g", "s", "p", "o").distinct().select(F.explode(F.array(*rows)).alias("x")).select("x.s", "x.p", "x.o").where("o is not null")
+
+    return isomorphic(described(a), described(b))
+
+
 def _match(a: DataFrame, b: DataFrame, fa: dict[str, str], fb: dict[str, str]) -> bool:
     ca, cb = _colours(a, fa), _colours(b, fb)
     sizes = lambda c: c.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
@@ -162,6 +173,27 @@ def indexed_triples(triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     return out.select("s_id", "p_id", "o_id"), nodes, predicates
 
 
+def match_ids(ids: DataFrame, s: int | None = None, p: int | None = None, o: int | None = None) -> DataFrame:
+    """The rows of (s_id, p_id, o_id) that fit the given ids; None is a wildcard, and 0, the id of no term, fits nothing."""
+    for c, x in (("s_id", s), ("p_id", p), ("o_id", o)):
+        if x is not None:
+            ids = ids.where(F.col(c) == x)
+    return ids
+
+
+def each_id(ids: DataFrame) -> DataFrame:
+    """All rows of (s_id, p_id, o_id) in the order of subject, predicate and object."""
+    return ids.orderBy("s_id", "p_id", "o_id")
+
+
+def id_of(terms: DataFrame, t: Term | str) -> int:
+    """The id of a term (an IRI's text in the table of predicates), or 0 where there is none."""
+    from quadloom.store import equals
+
+    row = terms.where(F.col("t") == t if isinstance(t, str) else equals(F.col("t"), t)).select("id").first()
+    return row[0] if row else 0
+
+
 def edge_predicates(triples: DataFrame) -> DataFrame:
     """(src, dst, predicates) of each pair of connected resources."""
     return triples.where(F.col("o.k").isin(IRI, BNODE)).groupBy(F.col("s").alias("src"), F.col("o").alias("dst")).agg(F.array_sort(F.collect_set("p")).alias("predicates"))

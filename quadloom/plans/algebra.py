@@ -12,6 +12,9 @@ from quadloom.terms import Term
 class Var:
     name: str
 
+    def __str__(self) -> str:
+        return f"?{self.name}"
+
 
 @dataclass(frozen=True)
 class TriplePattern:
@@ -21,6 +24,9 @@ class TriplePattern:
     p: Any
     o: Any
 
+    def __str__(self) -> str:
+        return f"<<( {self.s} {self.p} {self.o} )>>"
+
 
 @dataclass(frozen=True)
 class Path:

@@ -74,7 +74,13 @@ class Compiler:
         if isinstance(n, BGP):
             return self.bgp(n.triples, active)
         if isinstance(n, Join):
+            if isinstance(n.right, Service) and self.service is not None:
+                return self.service(self, n.right, active, self.pattern(n.left, active))
             return R.join(self.pattern(n.left, active), self.pattern(n.right, active))
+        if isinstance(n, LeftJoin) and isinstance(n.right, Service) and self.service is not None:  # the matches, and the rows without one
+            left, right = self.pattern(n.left, active), self.service(self, n.right, active, self.pattern(n.left, active).only(pattern_vars(n.right)))
+            right = Rel(right.df.distinct(), right.reprs, right.maybe)
+            return R.left_join(left, right, None if n.expr is None else lambda m: self.boolean(n.expr, m, active))
         if isinstance(n, LeftJoin):
             left, right = self.pattern(n.left, active), self.pattern(n.right, active)
             return R.left_join(left, right, None if n.expr is None else lambda m: self.boolean(n.expr, m, active))

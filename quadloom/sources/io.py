@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quadloom.errors import GraphError
 from quadloom.session import ship_code
 from quadloom.sources.formats import HAS_GRAPHS, LINES, format_name
-from quadloom.sources.jsonld import JsonLdParser, to_jsonld
+from quadloom.sources.jsonld import JsonLdParser, compact_iris, to_jsonld
 from quadloom.sources.ntriples import parse_lines, read_lines, write_lines
 from quadloom.sources.rdfxml import RdfXmlParser
-from quadloom.sources.turtle import TurtleParser, trig_chunks, turtle_chunks
+from quadloom.sources.turtle import TurtleParser, document_parts, trig_chunks, turtle_chunks
 from quadloom.store import QuadStore
 from quadloom.terms import QUAD, TERM, Term
 
@@ -48,14 +48,14 @@ def _documents(batches: Iterator[pd.DataFrame], fmt: str, base: str | None, opti
             yield pd.DataFrame(rows, columns=["g", "s", "p", "o"])
 
 
-def read_graph(spark: SparkSession, path: str, format: str | None = None, base: str | None = None, faults: str = "raise", **options: Any) -> DataFrame:
-    """(g, s, p, o) of all files under path; blank nodes are scoped by document, and statements are a set within each."""
+def read_graph(spark: SparkSession, path: str, format: str | None = None, base: str | None = None, faults: str = "raise", shared_labels: bool = False, **options: Any) -> DataFrame:
+    """(g, s, p, o) of all files under path; blank nodes are scoped by document, or all together with shared_labels, and statements are a set within each."""
     fmt = format_name(format, path)
     if fmt in LINES:
         return read_lines(spark, path, fmt == "nquads", faults).distinct()
     ship_code(spark)
     docs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    docs = docs.withColumn("scope", F.concat(F.lit("d"), F.hex(F.xxhash64("path")), F.lit("_")))
+    docs = docs.withColumn("scope", F.lit("") if shared_labels else F.concat(F.lit("d"), F.hex(F.xxhash64("path")), F.lit("_")))
     return docs.mapInPandas(partial(_documents, fmt=fmt, base=base, options=options), QUAD).distinct()
 
 
@@ -73,8 +73,43 @@ def read_store(spark: SparkSession, path: str, format: str | None = None, **opti
     return QuadStore(read_graph(spark, path, format, **options), distinct=False)
 
 
-def write_graph(df: DataFrame, path: str, format: str | None = None, prefixes: dict[str, str] | None = None, mode: str = "error", native: bool = False) -> None:
-    """Write (g, s, p, o) rows: a folder of line files, or one document streamed through the driver; formats without graphs refuse named ones."""
+def _json_lines(batches: Iterator[pd.DataFrame], native: bool, direction: str | None, context: dict | None) -> Iterator[pd.DataFrame]:
+    term = lambda x: None if x is None else Term(*(x[k] for k in ("k", "v", "dt", "lang", "dir")))
+    rows = [(term(g), term(s), p, term(o)) for b in batches for g, s, p, o in zip(b["g"], b["s"], b["p"], b["o"], strict=True)]
+    doc = to_jsonld(rows, native, direction)
+    yield pd.DataFrame({"value": [json.dumps(compact_iris(doc, context) if context else doc, ensure_ascii=False)]})
+
+
+def write_parts(df: DataFrame, path: str, format: str | None = None, prefixes: dict[str, str] | None = None, mode: str = "error", native: bool = False, direction: str | None = None, context: dict[str, str] | None = None) -> None:
+    """Write (g, s, p, o) rows as a folder of whole documents, each made by the task that holds its statements; no row passes through the driver.
+
+    A blank node keeps its label in all documents of the folder: read them with `shared_labels`. JSON-LD lists stay statements where a list's nodes lie
+    in different partitions."""
+    fmt = format_name(format, path)
+    if "g" not in df.columns:
+        df = df.withColumn("g", F.lit(None).cast(TERM))
+    if fmt in LINES:
+        write_lines(df, path, fmt == "nquads", mode)
+        return
+    if fmt == "rdfxml":
+        raise GraphError("RDF/XML is read only")
+    if fmt not in HAS_GRAPHS and not df.where("g is not null").limit(1).isEmpty():
+        raise GraphError(f"{fmt} has no named graphs")
+    ship_code(df.sparkSession)
+    if fmt == "jsonld":
+        rows = df.select("g", "s", "p", "o").repartition("g", "s").mapInPandas(partial(_json_lines, native=native, direction=direction, context=context), "value string")
+    else:
+        rows = document_parts(df, prefixes, fmt == "trig")
+    rows.write.mode(mode).text(path)
+
+
+def write_graph(
+    df: DataFrame, path: str, format: str | None = None, prefixes: dict[str, str] | None = None, mode: str = "error", native: bool = False, direction: str | None = None, context: dict[str, str] | None = None
+) -> None:
+    """Write (g, s, p, o) rows: a folder of line files, or one document streamed through the driver; formats without graphs refuse named ones. Without a
+    format and a known extension, N-Quads are written where there are named graphs, else N-Triples."""
+    if format is None and "." not in path.rsplit("/", 1)[-1]:
+        format = "nquads" if "g" in df.columns and not df.where("g is not null").limit(1).isEmpty() else "ntriples"
     fmt = format_name(format, path)
     if fmt == "rdfxml":
         raise GraphError("RDF/XML is read only")
@@ -89,6 +124,7 @@ def write_graph(df: DataFrame, path: str, format: str | None = None, prefixes: d
         if fmt == "jsonld":
             term = lambda x: None if x is None else Term(*x)
             rows = [(term(r["g"]), term(r["s"]), r["p"], term(r["o"])) for r in df.toLocalIterator()]
-            json.dump(to_jsonld(rows, native), out, ensure_ascii=False, indent=1)
+            doc = to_jsonld(rows, native, direction)
+            json.dump(compact_iris(doc, context) if context else doc, out, ensure_ascii=False, indent=1)
         else:
             out.writelines(trig_chunks(df, prefixes) if fmt == "trig" else turtle_chunks(df.select("s", "p", "o"), prefixes))

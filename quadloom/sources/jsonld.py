@@ -452,9 +452,15 @@ class JsonLdParser:
 # writing
 
 
-def _object(t: Term, native: bool) -> dict:
+I18N = "https://www.w3.org/ns/i18n#"
+
+
+def _object(t: Term, native: bool, direction: str | None = None) -> dict:
     if t.k in (IRI, BNODE):
         return {"@id": t.v if t.k == IRI else f"_:{t.v}"}
+    if direction == "i18n-datatype" and (t.dt or "").startswith(I18N):
+        lang, _, way = t.dt[len(I18N) :].partition("_")
+        return {"@value": t.v} | ({"@language": lang} if lang else {}) | ({"@direction": way} if way else {})
     if t.lang:
         out = {"@value": t.v, "@language": t.lang}
         return out | ({"@direction": t.dir} if t.dir else {})
@@ -467,8 +473,36 @@ def _object(t: Term, native: bool) -> dict:
     return {"@value": t.v} | ({} if t.dt in (None, "xsd:string") else {"@type": full_dt(t.dt)})
 
 
-def to_jsonld(quads: list[tuple[Term | None, Term, str, Term]], native: bool = False) -> list[dict]:
-    """Expanded JSON-LD of the statements of one document; lists in one place become @list."""
+def compact_iris(doc: Any, context: dict[str, str]) -> dict:
+    """A document of expanded nodes under a context of terms and prefixes: IRIs in their shortest form there, single values without brackets."""
+    terms = {v: k for k, v in context.items() if not k.startswith("@")}
+    vocab = context.get("@vocab")
+
+    def short(iri: str, key: bool) -> str:
+        if key and iri in terms:
+            return terms[iri]
+        if key and vocab and iri.startswith(vocab) and len(iri) > len(vocab) and iri[len(vocab) :] not in context and ":" not in iri[len(vocab) :]:
+            return iri[len(vocab) :]
+        fits = [(len(ns), f"{k}:{iri[len(ns) :]}") for ns, k in terms.items() if ns[-1:] in "/#:" and iri.startswith(ns) and len(iri) > len(ns) and not iri[len(ns) :].startswith("//")]
+        return max(fits)[1] if fits else iri
+
+    def walk(x: Any, key: str | None = None) -> Any:
+        if isinstance(x, list):
+            got = [walk(y, key) for y in x]
+            return got[0] if len(got) == 1 and key not in ("@graph", "@list") else got
+        if isinstance(x, dict):
+            if set(x) == {"@value"} and "@language" not in context:
+                return x["@value"]
+            return {(k if k.startswith("@") else short(k, True)): walk(v, k) for k, v in x.items()}
+        return short(x, key == "@type") if key in ("@id", "@type") and isinstance(x, str) and not x.startswith(("_:", "@")) else x
+
+    return {"@context": context, "@graph": walk(doc, "@graph")}
+
+
+def to_jsonld(quads: list[tuple[Term | None, Term, str, Term]], native: bool = False, direction: str | None = None) -> list[dict]:
+    """Expanded JSON-LD of the statements of one document; lists in one place become @list.
+
+    direction 'i18n-datatype' reads directions from datatypes, 'compound-literal' from blank nodes with a value and a direction; both become values."""
     graphs: dict[Term | None, dict[Term, dict[str, list[Term]]]] = {None: {}}
     uses: dict[Term, int] = {}
     for g, s, p, o in quads:
@@ -488,6 +522,16 @@ def to_jsonld(quads: list[tuple[Term | None, Term, str, Term]], native: bool = F
                 t = props[_REST.v][0]
             return items
 
+        def compound(t: Term) -> dict | None:
+            props = nodes.get(t, {})
+            if direction != "compound-literal" or t.k != BNODE or uses.get(t) != 1 or not {RDF + "value", RDF + "direction"} <= set(props) <= {RDF + "value", RDF + "direction", RDF + "language"}:
+                return None
+            if any(len(x) != 1 for x in props.values()):
+                return None
+            used.add(t)
+            names = (("value", "@value"), ("language", "@language"), ("direction", "@direction"))
+            return {k: props[RDF + n][0].v for n, k in names if RDF + n in props}
+
         used: set[Term] = set()
         out = {}
         for s, props in nodes.items():
@@ -502,7 +546,7 @@ def to_jsonld(quads: list[tuple[Term | None, Term, str, Term]], native: bool = F
                     items = list_of(o) if (o.k == BNODE or o == _NIL) and p != _REST.v else None
                     if items is None:
                         used = before
-                    values.append(_object(o, native) if items is None else {"@list": [_object(x, native) for x in items]})
+                    values.append(compound(o) or _object(o, native, direction) if items is None else {"@list": [compound(x) or _object(x, native, direction) for x in items]})
                 node[p] = values
             out[s] = node
         return [n for s, n in sorted(out.items(), key=lambda x: (x[0].k, x[0].v)) if s not in used]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import time
 import urllib.error
 import urllib.parse
@@ -16,6 +17,7 @@ from quadloom.errors import EndpointError, QueryError
 from quadloom.plans import rel as R
 from quadloom.plans.algebra import Var, pattern_vars
 from quadloom.plans.rel import C, Rel, Repr
+from quadloom.plans.render import group_text
 from quadloom.sources.results import read_json
 from quadloom.terms import BNODE, TERM, TRIPLE, Term
 
@@ -23,11 +25,18 @@ from quadloom.terms import BNODE, TERM, TRIPLE, Term
 Transport = Callable[[str, str], str]
 
 
-def http_transport(timeout: float = 60, retries: int = 2, headers: dict[str, str] | None = None, default_graph: str | None = None, method: str = "auto") -> Transport:
-    """GET for short queries, POST for others; server errors are tried again after a pause, client errors are not."""
+def http_transport(
+    timeout: float = 60, retries: int = 2, headers: dict[str, str] | None = None, default_graph: str | None = None, method: str = "auto",
+    auth: tuple[str, str] | str | None = None, named_graphs: tuple[str, ...] = (), prefixes: dict[str, str] | None = None,
+) -> Transport:
+    """GET for short queries, POST for others; server errors are tried again after a pause, client errors are not. auth is a name and password, or a token."""
+    if auth is not None:
+        text = auth if isinstance(auth, str) else base64.b64encode(":".join(auth).encode()).decode()
+        headers = (headers or {}) | {"Authorization": f"{'Bearer' if isinstance(auth, str) else 'Basic'} {text}"}
+    declared = "".join(f"PREFIX {k}: <{v}> " for k, v in (prefixes or {}).items())
 
     def send(url: str, query: str) -> str:
-        form = {"query": query} | ({"default-graph-uri": default_graph} if default_graph else {})
+        form = [("query", declared + query), *([("default-graph-uri", default_graph)] if default_graph else []), *[("named-graph-uri", x) for x in named_graphs]]
         data = urllib.parse.urlencode(form)
         full = f"{url}{'&' if '?' in url else '?'}{data}"
         get = method == "get" or (method == "auto" and len(full) <= 2048)
@@ -63,28 +72,29 @@ def _frame(spark, names: list[str], rows: list[dict[str, Term]]) -> DataFrame:
     return spark.createDataFrame(data, ", ".join(f"`{n}` {TERM.simpleString()}" for n in names) or "`?unit` int")
 
 
-def service_join(compiler, node, active, transport: Transport, batch: int = 200) -> Rel:
-    """SERVICE: the pattern's text sent as it stands; its solutions join with the rest of the query."""
+def service_join(compiler, node, active, transport: Transport, left: Rel | None = None, batch: int = 200) -> Rel:
+    """SERVICE: joined with the solutions before it by shipping their keys; sent as it stands only where they share no variable."""
     if isinstance(node.name, Var):
         raise QueryError("SERVICE with a variable endpoint")
-    names = pattern_vars(node.inner)
+    names, text = pattern_vars(node.inner), group_text(node.inner)
+    if left is not None and any(n in left.reprs for n in names):
+        return bind_join(compiler.spark, left, node.name.v, text, names, transport, batch, node.silent)
     try:
-        out = read_json(transport(node.name.v, f"SELECT * {node.text}"))
+        out = read_json(transport(node.name.v, f"SELECT * {text}"))
         assert not isinstance(out, bool)
-        rows = out[1]
     except EndpointError:
         if not node.silent:
             raise
-        return compiler.unit(active)
-    df = _frame(compiler.spark, names, rows)
-    return Rel(df, {n: Repr("term") for n in names}, {n for n in names if any(n not in r for r in rows)})
+        return compiler.unit(active) if left is None else left
+    got = Rel(_frame(compiler.spark, names, out[1]), {n: Repr("term") for n in names}, {n for n in names if any(n not in r for r in out[1])})
+    return got if left is None else R.join(left, got)
 
 
 def bind_join(spark, left: Rel, url: str, pattern: str, names: list[str], transport: Transport, batch: int = 200, silent: bool = False) -> Rel:
-    """Join with a remote pattern by shipping the distinct bound keys of left in batches of VALUES.
+    """Join with a remote pattern by shipping the distinct bound keys of left in batches of VALUES, grouped by which of them are bound.
 
     Keys are streamed to the driver partition by partition, never gathered; blank nodes and triple terms, which mean nothing remotely, are not sent.
-    A silent batch that fails leaves its rows out.
+    The rows of a silent batch that fails pass without being joined.
     """
     shared = [n for n in names if n in left.reprs]
     left = left.as_terms(shared)
@@ -92,6 +102,7 @@ def bind_join(spark, left: Rel, url: str, pattern: str, names: list[str], transp
     for n in shared:
         keys = keys.where(C(n).isNull() | ~C(n)["k"].isin(BNODE, TRIPLE))
     parts: list[DataFrame] = []
+    failed: list[dict[str, Term]] = []
 
     def flush(bound: tuple[str, ...], rows: list[tuple[Term, ...]]) -> None:
         values = " ".join("(" + " ".join(t.nt() for t in row) + ")" for row in rows)
@@ -99,9 +110,10 @@ def bind_join(spark, left: Rel, url: str, pattern: str, names: list[str], transp
         try:
             out = read_json(transport(url, f"SELECT {' '.join('?' + n for n in names)} WHERE {{ {head} {pattern} }}"))
         except EndpointError:
-            if silent:
-                return
-            raise
+            if not silent:
+                raise
+            failed.extend(dict(zip(bound, row, strict=True)) for row in rows)
+            return
         parts.append(_frame(spark, names, out[1]))
 
     groups: dict[tuple[str, ...], list] = {}
@@ -114,7 +126,13 @@ def bind_join(spark, left: Rel, url: str, pattern: str, names: list[str], transp
     for bound, rows in groups.items():
         flush(bound, rows)
     got = reduce(DataFrame.unionByName, parts) if parts else _frame(spark, names, [])
-    return R.join(left, Rel(got.distinct(), {n: Repr("term") for n in names}, set(names) - set(shared)))
+    right = Rel(got.distinct(), {n: Repr("term") for n in names}, set(names) - set(shared))
+    if not failed:
+        return R.join(left, right)
+    lost = _frame(spark, shared, failed).select(*[C(n).alias(f"?l:{n}") for n in shared])
+    on = reduce(lambda x, y: x & y, [C(n).eqNullSafe(C(f"?l:{n}")) for n in shared])
+    sent, passed = (Rel(left.df.join(lost, on, how), left.reprs, left.maybe) for how in ("left_anti", "left_semi"))
+    return R.union(R.join(sent, right), passed)
 
 
 class RemoteGraph:

@@ -1,6 +1,6 @@
 """Query results as JSON, XML, CSV and TSV, and JSON results read back.
 
-Writers stream solutions through the driver row by row; write_results_dir writes CSV or TSV in parallel.
+write_results streams solutions through the driver row by row; write_results_dir writes whole results by partition.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ import csv
 import io
 import json
 import re
+from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape as xml_escape, quoteattr
 
-from pyspark.sql import functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from quadloom.engine import Solutions
 from quadloom.errors import ParseError, QueryError
@@ -101,16 +103,8 @@ def write_results(out: io.TextIOBase, result: Solutions | bool, format: str) ->
             raise QueryError(f"ASK has no {fmt.upper()} form")
         return
     names = result.vars
-    if fmt == "json":
-        out.write(json.dumps({"head": {"vars": names}})[:-1] + ', "results": {"bindings": [')
-        for i, row in enumerate(_rows(result)):
-            out.write((",\n" if i else "\n") + json.dumps({n: _json_term(t) for n, t in zip(names, row, strict=True) if t is not None}, ensure_ascii=False))
-        out.write("\n]}}\n")
-    elif fmt == "xml":
-        out.write('<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#">\n<head>' + "".join(f"<variable name={quoteattr(n)}/>" for n in names) + "</head>\n<results>\n")
-        for row in _rows(result):
-            out.write("<result>" + "".join(f"<binding name={quoteattr(n)}>{_xml_term(t)}</binding>" for n, t in zip(names, row, strict=True) if t is not None) + "</result>\n")
-        out.write("</results>\n</sparql>\n")
+    if fmt in ("json", "xml"):
+        out.writelines(_pieces(names, _rows(result), fmt))
     elif fmt == "csv":
         w = csv.writer(out, lineterminator="\r\n")
         w.writerow(names)
@@ -122,8 +116,41 @@ def write_results(out: io.TextIOBase, result: Solutions | bool, format: str) ->
             out.write("\t".join("" if t is None else t.nt() for t in row) + "\n")
 
 
+def _documents(result: Solutions, fmt: str) -> DataFrame:
+    """(value): the lines of one whole JSON or XML result per partition."""
+    names = result.vars
+    rows = result.terms.select(F.array(*[F.col(f"`{n}`") for n in names]).alias("row"))
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = io.StringIO()
+        for i, text in enumerate(_pieces(names, ([None if x is None else Term(*(x[k] for k in ("k", "v", "dt", "lang", "dir"))) for x in row] for b in batches for row in b["row"]), fmt)):
+            out.write(text)
+            if i % 10_000 == 9_999:
+                yield pd.DataFrame({"value": [out.getvalue().rstrip("\n")]})
+                out = io.StringIO()
+        yield pd.DataFrame({"value": [out.getvalue().rstrip("\n")]})
+
+    return rows.mapInPandas(lines, "value string")
+
+
+def _pieces(names: list[str], rows: Iterable[list[Term | None]], fmt: str) -> Iterator[str]:
+    """A JSON or XML result in pieces that end in line breaks."""
+    if fmt == "json":
+        yield json.dumps({"head": {"vars": names}})[:-1] + ', "results": {"bindings": [\n'
+        comma = ""
+        for row in rows:
+            yield comma + json.dumps({n: _json_term(t) for n, t in zip(names, row, strict=True) if t is not None}, ensure_ascii=False) + "\n"
+            comma = ","
+        yield "]}}\n"
+    else:
+        yield '<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#">\n<head>' + "".join(f"<variable name={quoteattr(n)}/>" for n in names) + "</head>\n<results>\n"
+        for row in rows:
+            yield "<result>" + "".join(f"<binding name={quoteattr(n)}>{_xml_term(t)}</binding>" for n, t in zip(names, row, strict=True) if t is not None) + "</result>\n"
+        yield "</results>\n</sparql>\n"
+
+
 def write_results_dir(result: Solutions, path: str, format: str, mode: str = "error") -> None:
-    """CSV or TSV files written by all executors, a header in each."""
+    """Files written by all executors, each a whole result with its own header."""
     fmt = FORMATS.get(format)
     terms = result.terms
     if fmt == "csv":
@@ -131,8 +158,10 @@ def write_results_dir(result: Solutions, path: str, format: str, mode: str = "er
     elif fmt == "tsv":
         lines = F.concat_ws("\t", *[F.coalesce(F.when(F.col(f"`{n}`").isNotNull(), nt_text(F.col(f"`{n}`"))), F.lit("")) for n in result.vars])
         terms.select(lines.alias("value")).write.mode(mode).text(path)
+    elif fmt:
+        _documents(result, fmt).write.mode(mode).text(path)
     else:
-        raise QueryError(f"{format!r} has no parallel writer")
+        raise QueryError(f"unknown result format {format!r}")
 
 
 def _term(x: dict) -> Term:

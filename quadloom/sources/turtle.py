@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadloom.errors import ParseError
@@ -353,3 +354,19 @@ def trig_chunks(quads: DataFrame, prefixes: dict[str, str] | None = None) -> Ite
         yield ("    " if now is not None else "") + r["text"] + "\n"
     if now is not None:
         yield "}\n"
+
+
+def document_parts(quads: DataFrame, prefixes: dict[str, str] | None = None, graphs: bool = False) -> DataFrame:
+    """(value): the lines of one whole Turtle or TriG document per partition, made where the statements are."""
+    top = header(prefixes or {})
+    if graphs:
+        name = turtle_text(F.col("g"), prefixes or {})
+        blocks = subject_blocks(quads, prefixes, ("g", "s")).select(F.when(F.col("g").isNull(), F.col("text")).otherwise(F.concat(name, F.lit(" { "), F.col("text"), F.lit(" }"))).alias("value"))
+    else:
+        blocks = subject_blocks(quads.select("s", "p", "o"), prefixes).select(F.col("text").alias("value"))
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": top.splitlines()}, dtype=object)
+        yield from batches
+
+    return blocks.mapInPandas(lines, "value string")

@@ -35,6 +35,16 @@ def equals(c: Column, t: Term) -> Column:
     return out
 
 
+def show(quads: DataFrame, rows: int = 10) -> str:
+    """A text of the first statements, as N-Quads, and of the number of all."""
+    from quadloom.sources.ntriples import line_text
+
+    named = "g" in quads.columns
+    lines = [r[0] for r in quads.select(line_text(named).alias("x")).orderBy("x").limit(rows).collect()]
+    n = quads.count()
+    return "\n".join([f"{n} statement{'' if n == 1 else 's'}", *lines, *(["..."] if n > len(lines) else [])])
+
+
 class QuadStore:
     """Quads (g, s, p, o) with g NULL for the default graph.
 
@@ -47,6 +57,9 @@ class QuadStore:
         self.distinct, self.short = distinct, short
         self.prefixes = {ns: name for name, ns in (NAMESPACES | (prefixes or {})).items()}
 
+    def __str__(self) -> str:
+        return show(self.quads)
+
     def const(self, t: Term) -> Term:
         if self.short and t.k == IRI:
             for ns, name in self.prefixes.items():

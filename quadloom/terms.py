@@ -60,6 +60,9 @@ class Term:
     lang: str | None = None
     dir: str | None = None
 
+    def __str__(self) -> str:
+        return self.nt()
+
     def col(self) -> Column:
         return term_col(self.k, F.lit(self.v), F.lit(self.dt), F.lit(self.lang), F.lit(self.dir))
 

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import urllib.request
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quadloom.sources.io import graph_of_text, read_graph
 from quadloom.terms import IRI, RDFS
 
 
+def load_vocabulary(spark: SparkSession, source: str, base: str, format: str | None = None) -> Vocabulary:
+    """The vocabulary below base of a file, or of a document behind an http address."""
+    if source.startswith(("http://", "https://")):
+        request = urllib.request.Request(source, headers={"Accept": "text/turtle, application/n-triples, application/rdf+xml"})
+        with urllib.request.urlopen(request, timeout=60) as answer:
+            kind = format or answer.headers.get_content_type()
+            triples = graph_of_text(spark, answer.read().decode(), kind, source)
+    else:
+        triples = read_graph(spark, source, format)
+    return Vocabulary(triples.select("s", "p", "o"), base)
+
+
 class Vocabulary:
     """Terms below a base IRI that a graph describes; a vocabulary is small, so its index is held by the driver up to `limit` terms."""
 

@@ -7,6 +7,8 @@ import json
 
 import pytest
 
+from quadloom.errors import EndpointError
+
 from quadloom.engine import Engine
 from quadloom.errors import GraphError, ParseError
 from quadloom.operators.graphs import isomorphic
@@ -161,9 +163,23 @@ def test_remote(spark, engine):
     local.transport = transport
     rows = local.sparql("SELECT ?n ?l { ?s :name ?n SERVICE <http://r/> { ?s :likes ?l } }").terms.collect()
     assert sorted(r["l"]["v"] for r in rows) == ["http://e/x", "http://e/y"]
+    assert len(sent) == 1 and "VALUES ( ?s )".replace("( ", "(").replace(" )", ")") in sent[0] and "_:" not in sent[0]  # keys are shipped, the bare pattern is not
+    maybe = local.sparql("SELECT ?n ?l { ?s :name ?n OPTIONAL { SERVICE <http://r/> { ?s :likes ?l } } }").terms.collect()
+    assert sorted((r["n"]["v"], r["l"] and r["l"]["v"]) for r in maybe) == [("A", "http://e/x"), ("B", "http://e/y"), ("N", None)]
+    sent.clear()
     left = local.sparql("SELECT ?s ?n { ?s :name ?n }").rel
     got = bind_join(spark, left, "http://r/", "?s <http://e/likes> ?l", ["s", "l"], transport, batch=1)
     assert sorted(r["l"]["v"] for r in got.df.collect()) == ["http://e/x", "http://e/y"] and sum("VALUES" in q for q in sent) == 2
+
+    def failing(url, query):
+        if "http://e/a" in query:
+            raise EndpointError("down")
+        return transport(url, query)
+
+    got = bind_join(spark, left, "http://r/", "?s <http://e/likes> ?l", ["s", "l"], failing, batch=1, silent=True)
+    assert sorted((r["n"], r["l"] and r["l"]["v"]) for r in got.df.select("n.v", "l").toDF("n", "l").collect()) == [("A", None), ("B", "http://e/y")]
+    with pytest.raises(EndpointError):
+        bind_join(spark, left, "http://r/", "?s <http://e/likes> ?l", ["s", "l"], failing, batch=1)
     g = RemoteGraph(spark, "http://r/", transport)
     assert len(g) == 3 and (iri("http://e/a"), iri("http://e/likes"), iri("http://e/x")) in g and g.match(subject=iri("http://e/a")).count() == 1 and len(list(g)) == 3
     with pytest.raises(Exception, match="read-only"):
