@@ -173,7 +173,7 @@ def _timezone(v: Val) -> Val:
     h, m = F.substr(z, F.lit(2), F.lit(2)).try_cast("int"), F.substr(z, F.lit(5), F.lit(2)).try_cast("int")
     sign = F.when(z.startswith("-"), "-").otherwise("")
     text = F.concat(sign, F.lit("PT"), F.when(h > 0, F.concat(h.cast("string"), F.lit("H"))).otherwise(""), F.when(m > 0, F.concat(m.cast("string"), F.lit("M"))).otherwise(""))
-    return Val("term", term_col(LITERAL, F.when(z == "", None).when((z == "Z") | ((h == 0) & (m == 0)), "PT0S").otherwise(text), F.lit("xsd:dayTimeDuration")))
+    return Val("term", term_col(LITERAL, F.when(F.coalesce(z, F.lit("")) == "", None).when((z == "Z") | ((h == 0) & (m == 0)), "PT0S").otherwise(text), F.lit("xsd:dayTimeDuration")))
 
 
 def _seconds(v: Val) -> Val:

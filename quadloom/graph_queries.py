@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadloom.catalog import BASE, PREFIXES, mapped_engine, quad_engine, quad_store
+from quadloom.engine import Engine
+from quadloom.errors import QueryError
+from quadloom.functions.values import Val
 from quadloom.operators import context as C, graphs as G, inference as I, shacl, validation as V
 from quadloom.plans.update import Dataset
-from quadloom.session import table
-from quadloom.sources.io import graph_of_text
+from quadloom.session import scratch, table
+from quadloom.sources.io import graph_of_text, read_graph, write_graph
 from quadloom.sources.turtle import subject_blocks
-from quadloom.store import Active
+from quadloom.store import Active, QuadStore
 from quadloom.streaming import session_counts, windowed_counts
-from quadloom.terms import TERM, iri
+from quadloom.terms import IRI, TERM, Term, iri, literal, term_col
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -273,7 +277,7 @@ def session_windows(spark, d):
     return s.groupBy("key").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-@register()
+@register(f"""SELECT '<{BASE}customer/' || c_custkey || '> a :Customer ;' || chr(10) || '    :name "' || c_name || '" ;' || chr(10) || '    :nation <{BASE}nation/' || c_nationkey || '> .' AS text FROM customer""")
 def turtle_blocks(spark, d):
     return subject_blocks(mapped_engine(spark, d).sparql("CONSTRUCT { ?c a :Customer ; :name ?m ; :nation ?n } WHERE { ?c a :Customer ; :name ?m ; :nation ?n }"), {"": f"{BASE}v#"}).select("text")
 
@@ -282,3 +286,285 @@ def turtle_blocks(spark, d):
 def path_neg_filter(spark, d):
     return quad_engine(spark, d).select("SELECT ?s ?o { ?s parl:inSitting ?o FILTER(?s != <http://parl.example/speech/1>) }")
 
+
+
+# parts of matches, term ids, membership
+
+_DEFAULT = "(SELECT DISTINCT s, p, o FROM quads WHERE g IS NULL)"
+SPEECH = "http://parl.example/speech/1"
+
+
+@register(f"SELECT 'p' AS part, p AS v, count(*) AS n FROM {_DEFAULT} WHERE o.k = 1 AND o.v = 'http://parl.example/member/1' GROUP BY 2 UNION ALL SELECT 'o', o.v, count(*) FROM {_DEFAULT} WHERE p = 'rdf:type' GROUP BY 2")
+def match_parts(spark, d):
+    store = quad_store(spark, d)
+    p = store.predicates(object=iri("http://parl.example/member/1")).select(F.lit("p").alias("part"), F.col("p").alias("v"))
+    o = store.objects(predicate=iri(RDF_TYPE)).select(F.lit("o").alias("part"), F.col("o.v").alias("v"))
+    return p.unionByName(o).groupBy("part", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"SELECT 'keyword' AS pattern, count(*) AS n FROM {_DEFAULT} WHERE p = 'parl:keyword' UNION ALL SELECT 'object', count(*) FROM {_DEFAULT} WHERE o.k = 1 AND o.v = 'http://parl.example/member/1' UNION ALL SELECT 'absent', 0")
+def match_by_ids(spark, d):
+    ids, nodes, predicates = G.indexed_triples(quad_store(spark, d).triples())
+    member, absent = (G.id_of(nodes, iri(f"http://parl.example/{x}")) for x in ("member/1", "no/such"))
+    asked = {"keyword": G.match_ids(ids, p=G.id_of(predicates, "parl:keyword")), "object": G.match_ids(ids, o=member), "absent": G.match_ids(ids, s=absent)}
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("pattern"), "n") for name, df in asked.items()])
+
+
+@register(f"SELECT count(*) AS n, true AS ordered FROM {_DEFAULT}")
+def each_id_in_order(spark, d):
+    """The scan by ids, with whether each row's subject is at least that of any row of an earlier partition."""
+    ids = G.each_id(G.indexed_triples(quad_store(spark, d).triples())[0])
+    parts = ids.groupBy(F.spark_partition_id().alias("part")).agg(F.min("s_id").alias("lo"), F.max("s_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    pairs = parts.join(parts.select(F.col("part").alias("p2"), F.col("hi").alias("h2")), F.col("p2") == F.col("part") - 1, "left")  # a row a partition
+    return pairs.agg(F.sum("n").alias("n"), F.min(F.coalesce(F.col("h2") <= F.col("lo"), F.lit(True))).alias("ordered"))
+
+
+@register(f"SELECT true AS has, false AS lacks, (SELECT count(*) FROM {_DEFAULT}) AS size, false AS empty")
+def membership(spark, d):
+    store = quad_store(spark, d)
+    one = store.triples().where("o.k = 1").orderBy("s.v", "p", "o.v").first()
+    has = store.contains(Term(*one["s"]), iri(one["p"]), Term(*one["o"]))
+    lacks = store.contains(iri("http://parl.example/none"), iri(one["p"]), Term(*one["o"]))
+    return store.match().agg(F.lit(has).alias("has"), F.lit(lacks).alias("lacks"), F.count(F.lit(1)).alias("size"), (F.count(F.lit(1)) == 0).alias("empty"))
+
+
+# whole graphs
+
+
+@register(f"SELECT count(*) AS n FROM (SELECT s, p, o FROM quads WHERE g.v = '{WEST}' UNION SELECT s, p, o FROM quads WHERE g.v = '{PRESS}')")
+def merge_graphs(spark, d):
+    ds = Dataset(spark, _graph(spark, d, WEST).withColumn("g", F.lit(None).cast(TERM)), short=True)
+    ds.add(_graph(spark, d, PRESS).withColumn("g", F.lit(None).cast(TERM)))
+    return ds.quads.agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"SELECT true AS part, false AS whole, true AS same, (SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM quads WHERE g.v = '{WEST}')) AS n")
+def compare_graphs(spark, d):
+    west, few = _graph(spark, d, WEST), _graph(spark, d, WEST).where("p = 'parl:keyword'")
+    return west.agg(F.lit(G.is_subgraph(few, west)).alias("part"), F.lit(G.equal(few, west)).alias("whole"), F.lit(G.equal(west, west)).alias("same"), F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT true AS renamed, false AS changed, true AS datasets")
+def isomorphic_graphs(spark, d):
+    """Graphs that differ in the names of their blank nodes, or also in one statement."""
+    quads = table(spark, d, "quads").select("g", "s", "p", "o")
+    blank = quads.where("s.k = 0 or o.k = 0").distinct()
+    other = blank.withColumn("o", F.when(F.col("p") == "parl:rel001", iri("http://parl.example/other").col().cast(TERM)).otherwise(F.col("o")))
+    same = G.isomorphic(blank, G.relabel(blank, "x"))
+    return spark.createDataFrame([(same, G.isomorphic(blank, other), G.isomorphic_datasets(blank, G.relabel(blank, "y")))], "renamed boolean, changed boolean, datasets boolean")
+
+
+@register("SELECT count(*) AS n, (SELECT count(DISTINCT o) FROM quads WHERE o.k = 0) AS blank, 0 AS after, count(*) AS back FROM (SELECT DISTINCT g, s, p, o FROM quads)")
+def skolem_round_trip(spark, d):
+    quads = table(spark, d, "quads").select("g", "s", "p", "o").distinct()
+    named = G.skolemize(quads)
+    back = G.deskolemize(named).intersect(quads).agg(F.count(F.lit(1)).alias("back"))
+    counts = quads.agg(F.count(F.lit(1)).alias("n")).crossJoin(G.blank_nodes(quads).agg(F.count(F.lit(1)).alias("blank")))
+    return counts.crossJoin(G.blank_nodes(named).agg(F.count(F.lit(1)).alias("after"))).crossJoin(back)  # one row each
+
+
+# updates
+
+
+def _dataset(spark, d) -> Dataset:
+    return Dataset(spark, table(spark, d, "quads"), short=True, prefixes=PREFIXES | {"dcterms": "http://purl.org/dc/terms/"})
+
+
+_COUNTS = "SELECT g.v AS g, count(*) AS n FROM (SELECT DISTINCT g, s, p, o FROM quads) GROUP BY 1"
+
+
+@register(f"SELECT g, CASE WHEN g IS NULL THEN n + 2 WHEN g = '{WEST}' THEN n + 1 ELSE n END AS n FROM ({_COUNTS})")
+def update_data(spark, d):
+    ds = _dataset(spark, d)
+    ds.update(f"INSERT DATA {{ <{BASE}new/1> parl:keyword 'a' , 'b' , 'c' . GRAPH <{WEST}> {{ <{BASE}new/1> parl:keyword 'a' , 'd' }} }}")
+    ds.update(f"INSERT DATA {{ <{BASE}new/1> parl:keyword 'a' }} ; DELETE DATA {{ <{BASE}new/1> parl:keyword 'c' , 'never' . GRAPH <{WEST}> {{ <{BASE}new/1> parl:keyword 'd' }} }}")
+    return _by_graph(ds.quads)
+
+
+@register(f"SELECT g, n FROM ({_COUNTS}) UNION ALL SELECT 'http://data.example/loaded', count(*) FROM (SELECT DISTINCT s, p, o FROM quads WHERE g.v = '{PRESS}')")
+def update_load(spark, d):
+    path = scratch(spark, "load") + ".nt"
+    write_graph(table(spark, d, "quads").where(F.col("g.v") == PRESS).select("s", "p", "o"), path)
+    at = path if path.startswith("file:") else f"file://{path}"
+    ds = _dataset(spark, d)
+    ds.loader = lambda source: read_graph(spark, source, "nt").select("s", "p", "o")
+    return _by_graph(ds.update(f"LOAD <{at}> INTO GRAPH d:loaded ; LOAD SILENT <file:///none> INTO GRAPH d:none").quads)
+
+
+@register("SELECT 'created' AS what, true AS ok UNION ALL SELECT 'again', false UNION ALL SELECT 'silent', true UNION ALL SELECT 'existing', false")
+def update_create(spark, d):
+    rows, ds = [], _dataset(spark, d)
+    for what, text in (("created", "CREATE GRAPH d:fresh"), ("again", "CREATE GRAPH d:fresh"), ("silent", "CREATE SILENT GRAPH d:fresh"), ("existing", f"CREATE GRAPH <{WEST}>")):
+        try:
+            ds.update(text)
+            rows.append((what, True))
+        except QueryError:
+            rows.append((what, False))
+    return spark.createDataFrame(rows, "what string, ok boolean")
+
+
+@register(f"SELECT CASE WHEN g IS NULL THEN 'default' WHEN g = '{COPY}' THEN 'copy' ELSE 'other' END AS kind, sum(n)::BIGINT AS n FROM (SELECT '{COPY}' AS g, count(*) AS n FROM (SELECT s, p, o FROM quads WHERE g.v = '{WEST}' UNION SELECT s, p, o FROM quads WHERE g.v = '{PRESS}') UNION ALL SELECT g, n FROM ({_COUNTS}) WHERE coalesce(g, '') NOT IN ('{WEST}', '')) GROUP BY 1")
+def update_move_add_clear(spark, d):
+    q = _dataset(spark, d).update(f"MOVE <{WEST}> TO <{COPY}> ; ADD <{PRESS}> TO <{COPY}> ; CLEAR DEFAULT").quads
+    kind = F.when(F.col("g").isNull(), "default").when(F.col("g.v") == COPY, "copy").otherwise("other")
+    return q.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(_COUNTS)
+def dataset_add_remove(spark, d):
+    """Half of the quads added to the others, some of them removed and added again."""
+    quads = table(spark, d, "quads")
+    ds = Dataset(spark, quads.where("quad_id % 2 = 0"), short=True)
+    ds.add(quads)
+    some = quads.where("p = 'parl:keyword'")
+    ds.remove(some)
+    ds.add(some)
+    return _by_graph(ds.quads)
+
+
+# inference, shapes
+
+
+@register(f"SELECT '{BASE}nation/' || n_regionkey AS s, '{BASE}customer/' || n_nationkey AS o FROM nation")
+def container_members(spark, d):
+    n = table(spark, d, "nation")
+    number = F.concat(F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#_"), (F.col("n_nationkey") + 1).cast("string"))
+    data = n.select(term_col(IRI, F.concat(F.lit(f"{BASE}nation/"), "n_regionkey")).cast(TERM).alias("s"), number.alias("p"), term_col(IRI, F.concat(F.lit(f"{BASE}customer/"), "n_nationkey")).cast(TERM).alias("o"))
+    out = I.infer_rdfs(data, ("container",))
+    return out.where(F.col("p") == I.MEMBER).select(F.col("s.v").alias("s"), F.col("o.v").alias("o"))
+
+
+@register("SELECT true AS stated, false AS simple, true AS inferred, false AS never")
+def entailment(spark, d):
+    schema = graph_of_text(spark, _CUSTOMER_SCHEMA, "turtle").select("s", "p", "o")
+    data = mapped_engine(spark, d).sparql("CONSTRUCT { ?c a :Customer ; :nation ?n } WHERE { ?c a :Customer ; :nation ?n }").unionByName(schema)
+    ask = lambda o, regime: I.entails(data, iri(f"{BASE}customer/1"), iri(RDF_TYPE), iri(f"{BASE}v#{o}"), regime)
+    return spark.createDataFrame([(ask("Customer", "simple"), ask("Agent", "simple"), ask("Agent", "rdfs"), ask("Place", "rdfs"))], "stated boolean, simple boolean, inferred boolean, never boolean")
+
+
+_SH = "@prefix : <http://data.example/v#> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix d: <http://data.example/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . "
+
+
+def _orders(spark, d) -> DataFrame:
+    return mapped_engine(spark, d).sparql("CONSTRUCT { ?c a :Customer ; :name ?n ; :balance ?b ; :segment ?s ; :nation ?t . ?o :customer ?c ; :status ?st ; :priority ?p } WHERE { ?c a :Customer ; :name ?n ; :balance ?b ; :segment ?s ; :nation ?t OPTIONAL { ?o a :Order ; :customer ?c ; :status ?st ; :priority ?p } }")
+
+
+def _report(spark, d, shapes: str, data=_orders) -> DataFrame:
+    report = shacl.validate_shapes(spark, data(spark, d), graph_of_text(spark, _SH + shapes, "turtle"))
+    return report.groupBy("component", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _expected(**counts: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM (SELECT '{name}ConstraintComponent' AS component, 'Violation' AS severity, ({sql}) AS n) WHERE n > 0" for name, sql in counts.items())
+
+
+_N_ORDERS = "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"
+
+
+@register(_expected(
+    MinCount=f"SELECT count(*) FROM ({_N_ORDERS}) WHERE n < 5", MaxCount=f"SELECT count(*) FROM ({_N_ORDERS}) WHERE n > 12", Datatype="SELECT count(*) FROM customer",
+    Class="SELECT count(*) FROM customer", NodeKind="SELECT count(*) FROM customer",
+))
+def shacl_counts_and_kinds(spark, d):
+    return _report(spark, d, ":S a sh:NodeShape ; sh:targetClass :Customer ; sh:property [ sh:path [ sh:inversePath :customer ] ; sh:minCount 5 ; sh:maxCount 12 ] , [ sh:path :balance ; sh:datatype xsd:integer ] , [ sh:path :nation ; sh:class :Nation ; sh:nodeKind sh:Literal ] .")
+
+
+@register(_expected(
+    MinExclusive="SELECT count(*) FROM customer WHERE NOT (c_acctbal > 0)", MaxInclusive="SELECT count(*) FROM customer WHERE c_acctbal > 9000", MaxExclusive="SELECT count(*) FROM customer WHERE NOT (c_acctbal < 9500)", MinInclusive="SELECT count(*) FROM customer WHERE c_acctbal < -500",
+    MinLength="SELECT count(*) FROM customer WHERE length(c_mktsegment) < 9", MaxLength="SELECT count(*) FROM customer WHERE length(c_mktsegment) > 9", Pattern="SELECT count(*) FROM customer WHERE NOT regexp_matches(c_mktsegment, '^b|y$', 'i')",
+    HasValue="SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING'", LanguageIn="SELECT count(*) FROM customer",
+))
+def shacl_values(spark, d):
+    return _report(spark, d, ':S a sh:NodeShape ; sh:targetClass :Customer ; sh:property [ sh:path :balance ; sh:minExclusive 0.0 ; sh:maxInclusive 9000.0 ; sh:maxExclusive 9500.0 ; sh:minInclusive -500.0 ] , [ sh:path :segment ; sh:minLength 9 ; sh:maxLength 9 ; sh:pattern "^b|y$" ; sh:flags "i" ; sh:hasValue "BUILDING" ] , [ sh:path :name ; sh:languageIn ( "en" ) ] .')
+
+
+@register(_expected(
+    Not="SELECT count(*) FROM customer WHERE c_acctbal > 5000", And="SELECT count(*) FROM customer WHERE NOT (c_acctbal > 0 AND c_mktsegment = 'BUILDING')", Or="SELECT count(*) FROM customer WHERE NOT (c_acctbal > 0 OR c_mktsegment = 'BUILDING')",
+    Xone="SELECT count(*) FROM customer WHERE (c_acctbal > 0) = (c_mktsegment = 'BUILDING')", Node="SELECT count(*) FROM customer WHERE NOT (c_acctbal > 0)",
+    QualifiedMinCount="SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')", Closed="SELECT 2 * count(*) FROM customer",
+))
+def shacl_logic(spark, d):
+    return _report(spark, d, (
+        ':Positive a sh:NodeShape ; sh:property [ sh:path :balance ; sh:minExclusive 0.0 ] . :Building a sh:NodeShape ; sh:property [ sh:path :segment ; sh:in ( "BUILDING" ) ] . :Final a sh:NodeShape ; sh:property [ sh:path :status ; sh:in ( "F" ) ; sh:minCount 1 ] . '
+        ":S a sh:NodeShape ; sh:targetClass :Customer ; sh:not [ sh:property [ sh:path :balance ; sh:minExclusive 5000.0 ] ] ; sh:and ( :Positive :Building ) ; sh:or ( :Positive :Building ) ; sh:xone ( :Positive :Building ) ; sh:node :Positive ; "
+        "sh:property [ sh:path [ sh:inversePath :customer ] ; sh:qualifiedValueShape :Final ; sh:qualifiedMinCount 1 ] ; sh:closed true ; sh:ignoredProperties ( rdf:type :name :balance ) ."
+    ).replace(" rdf:type", " <http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"))
+
+
+@register(_expected(
+    Equals="SELECT 2 * count(*) FROM customer", Disjoint="SELECT 0", LessThan="SELECT count(*) FROM customer WHERE NOT (c_acctbal < 2 * c_acctbal)", LessThanOrEquals="SELECT count(*) FROM customer WHERE NOT (c_acctbal <= 2 * c_acctbal)",
+))
+def shacl_pairs(spark, d):
+    data = lambda spark, d: mapped_engine(spark, d).sparql("CONSTRUCT { ?c a :Customer ; :low ?b ; :high ?h ; :name ?n ; :segment ?s } WHERE { ?c a :Customer ; :balance ?b ; :name ?n ; :segment ?s BIND(2 * ?b AS ?h) }")
+    return _report(spark, d, ":S a sh:NodeShape ; sh:targetClass :Customer ; sh:property [ sh:path :low ; sh:lessThan :high ; sh:lessThanOrEquals :high ] , [ sh:path :name ; sh:equals :segment ; sh:disjoint :segment ] .", data)
+
+
+@register("SELECT severity, message, path, count(*) AS n FROM (SELECT 'Warning' AS severity, 'poor' AS message, 'http://data.example/v#balance' AS path FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'Info', 'urgent', 'http://data.example/v#priority' FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'Violation', 'one', 'http://data.example/v#name' FROM customer WHERE c_custkey = 1) GROUP BY 1, 2, 3")
+def shacl_targets_and_reports(spark, d):
+    """Targets by object, by subject and by node; severities and messages; a deactivated shape."""
+    shapes = (
+        ':A a sh:NodeShape ; sh:targetObjectsOf :customer , :none ; sh:property [ sh:path :balance ; sh:minInclusive 0.0 ; sh:severity sh:Warning ; sh:message "poor" ] . '
+        ':B a sh:NodeShape ; sh:targetSubjectsOf :customer ; sh:property [ sh:path :priority ; sh:not [ sh:in ( "1-URGENT" ) ] ; sh:severity sh:Info ; sh:message "urgent" ] . '
+        ':C a sh:NodeShape ; sh:targetNode d:customer\\/1 ; sh:property [ sh:path :name ; sh:maxCount 0 ; sh:message "one" ] . :D a sh:NodeShape ; sh:deactivated true ; sh:targetClass :Customer ; sh:property [ sh:path :name ; sh:maxCount 0 ] .'
+    )
+    data = mapped_engine(spark, d).sparql("CONSTRUCT { ?c a :Customer ; :name ?n ; :balance ?b . ?o :customer ?c ; :priority ?p . ?x :none ?c } WHERE { ?c a :Customer ; :name ?n ; :balance ?b BIND(?c AS ?x) OPTIONAL { ?o a :Order ; :customer ?c ; :priority ?p } }")
+    report = shacl.validate_shapes(spark, data, graph_of_text(spark, _SH + shapes, "turtle"))
+    return report.groupBy("severity", "message", F.regexp_replace("path", "^<|>$", "").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT count(*) AS conforming, 'conforms' AS nothing, 7 AS lines FROM customer WHERE c_acctbal >= 0")
+def shacl_prompt(spark, d):
+    shapes = graph_of_text(spark, _SH + ":S a sh:NodeShape ; sh:targetClass :Customer ; sh:property [ sh:path :balance ; sh:minInclusive 0.0 ] .", "turtle")
+    data = _customer_triples(spark, d)
+    text, none = shacl.report_prompt(shacl.validate_shapes(spark, data, shapes), 6), shacl.report_prompt(shacl.validate_shapes(spark, data.where("false"), shapes))
+    return shacl.conforming(spark, data, shapes).agg(F.count(F.lit(1)).alias("conforming"), F.lit(none).alias("nothing"), F.lit(len(text.split("\n"))).alias("lines"))
+
+
+def _customer_triples(spark, d) -> DataFrame:
+    return mapped_engine(spark, d).sparql("CONSTRUCT { ?c a :Customer ; :name ?n ; :balance ?b ; :nation ?t } WHERE { ?c a :Customer ; :name ?n ; :balance ?b ; :nation ?t }")
+
+
+# projections, annotations, context
+
+
+@register("SELECT s.v AS src, o.v AS dst, CAST(length(o.v) AS DOUBLE) AS weight FROM (SELECT DISTINCT s, o FROM quads WHERE p = 'parl:inSitting' AND o.k IN (0, 1))")
+def weighted_edge_list(spark, d):
+    e = G.edges(table(spark, d, "quads"), "parl:inSitting", F.length("o.v").cast("double"))
+    return e.select(F.col("src.v").alias("src"), F.col("dst.v").alias("dst"), "weight")
+
+
+@register("SELECT predicates, count(*) AS n FROM (SELECT s, o, string_agg(p, ',' ORDER BY p) AS predicates FROM (SELECT DISTINCT s, p, o FROM quads WHERE o.k IN (0, 1)) GROUP BY 1, 2) GROUP BY 1")
+def predicates_of_edges(spark, d):
+    return G.edge_predicates(table(spark, d, "quads")).groupBy(F.array_join("predicates", ",").alias("predicates")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"SELECT p, o FROM (VALUES ('{BASE}v#by', 'ann'), ('{BASE}v#on', '2024'), ('{BASE}v#by', 'bob')) t(p, o)")
+def annotated_statement(spark, d):
+    """Three statements about one; its reifier is made once."""
+    data = _customer_triples(spark, d)
+    statement = iri(f"{BASE}customer/1"), iri(f"{BASE}v#nation"), Term(*data.where((F.col("s.v") == f"{BASE}customer/1") & (F.col("p") == f"{BASE}v#nation")).first()["o"])
+    for p, o in (("by", "ann"), ("on", "2024"), ("by", "bob")):
+        data = G.annotate(data, *statement, f"{BASE}v#{p}", literal(o))
+    return G.annotations(data, *statement).select("p", F.col("o.v").alias("o"))
+
+
+@register("SELECT n_name AS a, r_name AS b, CAST(n_nationkey AS BIGINT) AS w FROM nation JOIN region ON n_regionkey = r_regionkey")
+def triple_term_pattern(spark, d):
+    """Statements about statements, written by CONSTRUCT and matched with variables inside."""
+    made = mapped_engine(spark, d).sparql("CONSTRUCT { ?n :name ?a . ?r :name ?b . _:x rdf:reifies <<( ?n :region ?r )>> ; :weight ?w } WHERE { ?n a :Nation ; :name ?a ; :region ?r . ?r :name ?b BIND(xsd:integer(STRAFTER(STR(?n), 'nation/')) AS ?w) }")
+    engine = Engine(spark, QuadStore(made.withColumn("g", F.lit(None).cast(TERM)), distinct=False), BASE, PREFIXES)
+    return engine.select("SELECT ?a ?b (xsd:integer(?w) AS ?k) { << ?n :region ?r >> :weight ?w . ?n :name ?a . ?r :name ?b }").withColumnRenamed("k", "w").withColumn("w", F.col("w").cast("bigint"))
+
+
+@register("SELECT true AS fits, true AS whole, count(*) > 0 AS has FROM customer")
+def context_text(spark, d):
+    text = C.to_context(_customer_triples(spark, d), 500, {"": f"{BASE}v#"})
+    body = text.split("\n", 1)[1]
+    return spark.createDataFrame([(len(text.encode()) <= 2000, all(b.rstrip().endswith(".") for b in body.split(" .\n<") if b.strip()) or body.rstrip().endswith("."), f"<{BASE}" in body)], "fits boolean, whole boolean, has boolean")
+
+
+@register("SELECT c_name AS n, 'x' || c_mktsegment AS v FROM customer")
+def registered_function(spark, d):
+    engine = mapped_engine(spark, d)
+    engine.register_function(f"{BASE}f#mark", lambda v: Val("str", F.concat(F.lit("x"), v.col)))
+    return engine.select(f"SELECT ?n (<{BASE}f#mark>(?s) AS ?v) {{ ?c a :Customer ; :name ?n ; :segment ?s }}")

@@ -64,7 +64,7 @@ class Compiler:
     def __init__(self, spark: SparkSession, store, functions: dict | None = None, service=None, base: str | None = None):
         self.spark, self.store = spark, store
         self.functions, self.service, self.base = functions or {}, service, base
-        self.fresh = 0
+        self.fresh, self.made = 0, set()
 
     # patterns
 
@@ -79,11 +79,9 @@ class Compiler:
             return R.join(self.pattern(n.left, active), self.pattern(n.right, active))
         if isinstance(n, LeftJoin) and isinstance(n.right, Service) and self.service is not None:  # the matches, and the rows without one
             left, right = self.pattern(n.left, active), self.service(self, n.right, active, self.pattern(n.left, active).only(pattern_vars(n.right)))
-            right = Rel(right.df.distinct(), right.reprs, right.maybe)
-            return R.left_join(left, right, None if n.expr is None else lambda m: self.boolean(n.expr, m, active))
+            return self.optional(left, Rel(right.df.distinct(), right.reprs, right.maybe), n.expr, active)
         if isinstance(n, LeftJoin):
-            left, right = self.pattern(n.left, active), self.pattern(n.right, active)
-            return R.left_join(left, right, None if n.expr is None else lambda m: self.boolean(n.expr, m, active))
+            return self.optional(self.pattern(n.left, active), self.pattern(n.right, active), n.expr, active)
         if isinstance(n, Filter):
             return self.filter(self.pattern(n.inner, active), n.expr, active)
         if isinstance(n, Union):
@@ -104,6 +102,16 @@ class Compiler:
             return self.service(self, n, active)
         raise QueryError(f"unknown pattern {type(n).__name__}")
 
+    def optional(self, left: Rel, right: Rel, expr: Any, active: Active) -> Rel:
+        """OPTIONAL under a condition; one with EXISTS in it is a filter of the joined rows, to which come the rows of left that it leaves without a match."""
+        if expr is None or not self._has_exists(expr):
+            return R.left_join(left, right, None if expr is None else lambda m: self.boolean(expr, m, active))
+        self.fresh += 1
+        key = f"?left{self.fresh}"
+        marked = Rel(left.df.withColumn(key, F.struct(F.lit(0).alias("_"), *[C(v).alias(str(i)) for i, v in enumerate(left.vars)])), left.reprs | {key: Repr("key")}, left.maybe)
+        hit = self.filter(R.join(marked, right), expr, active)
+        return R.union(hit, R.semi(marked, Rel(hit.df.select(C(key)).distinct(), {key: Repr("key")}), True)).only([*left.vars, *[v for v in right.vars if v not in left.reprs]])
+
     def unit(self, active: Active) -> Rel:
         return Rel(self.spark.range(1).select(F.lit(1).alias("?unit")), {})
 
@@ -210,6 +218,7 @@ class Compiler:
 
     def extend(self, r: Rel, name: str, e: Any, active: Active) -> Rel:
         r, v = self.value_in(e, r, active)
+        self.made.add(name)
         if isinstance(e, Var) and e.name in r.reprs:
             return Rel(r.df.withColumn(name, C(e.name)), r.reprs | {name: r.reprs[e.name]}, r.maybe | ({name} if e.name in r.maybe else set()))
         kind = IRI_REPR if v.kind == "iri" else Repr(v.kind)
@@ -282,7 +291,7 @@ class Compiler:
         if isinstance(n, Union):
             return R.union(full(n.left), full(n.right))
         if isinstance(n, LeftJoin):
-            return R.left_join(full(n.left), sub(n.right), None if n.expr is None else lambda m: self.boolean(n.expr, m, active))
+            return self.optional(full(n.left), sub(n.right), n.expr, active)
         if isinstance(n, Minus):
             return R.minus(full(n.left), sub(n.right), bound | {key})
         if isinstance(n, Filter):
@@ -376,7 +385,8 @@ class Compiler:
         if name == "DATATYPE" and getattr(self.store, "short", False):
             full = fn.call(name, vals, consts, self.base)
             return Val("iri", F.regexp_replace(F.regexp_replace(full.col, "^http://www.w3.org/2001/XMLSchema#", "xsd:"), "^http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdf:"))
-        key = F.concat_ws("|", *[r.reprs[v].term(C(v)).cast("string") for v in r.vars]) if r.vars else None
+        own = [v for v in r.vars if v not in self.made and r.reprs[v].kind != "key"]  # what BIND adds does not make another solution
+        key = F.concat_ws("|", *[r.reprs[v].term(C(v)).cast("string") for v in own]) if own else None
         return fn.call(name, vals, consts, self.base, key)
 
     def _merge(self, vals: list[Val], f) -> Val:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadloom.catalog import BASE, mapped_engine, quad_engine
+from quadloom.errors import ParseError, QueryError
+from quadloom.plans.render import query_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,7 +59,7 @@ _add("cartesian_product", "SELECT ?a ?b { ?x a :Region ; :name ?a . ?y a :Region
 _add("theta_join", "SELECT ?a ?b { ?x a :Supplier ; :balance ?p ; :name ?a . ?y a :Supplier ; :balance ?q ; :name ?b FILTER(?p > 9000 && ?q < -500) }", "SELECT a.s_name AS a, b.s_name AS b FROM supplier a, supplier b WHERE a.s_acctbal > 9000 AND b.s_acctbal < -500")
 # filters and expressions
 _add("filter_numeric", "SELECT ?s ?b { ?c a :Customer ; :segment ?s ; :balance ?b FILTER(?b > 5000 && ?b <= 6000) }", "SELECT c_mktsegment AS s, c_acctbal AS b FROM customer WHERE c_acctbal > 5000 AND c_acctbal <= 6000")
-_add("filter_string", "SELECT ?n { ?p a :Part ; :name ?n FILTER(CONTAINS(?n, '1') && STRSTARTS(LCASE(?n), 'p') && STRENDS(?n, '7') || CONTAINS(?n, 'a') && STRENDS(?n, '2')) }", "SELECT p_name AS n FROM part WHERE contains(p_name, '1') AND starts_with(lower(p_name), 'p') AND ends_with(p_name, '7') OR contains(p_name, 'a') AND ends_with(p_name, '2')")
+_add("filter_string", "SELECT ?n { ?p a :Part ; :name ?n FILTER(CONTAINS(?n, 'l r') && STRSTARTS(LCASE(UCASE(?n)), 's') && STRENDS(?n, 'ing') || CONTAINS(?n, 'blue') && STRENDS(?n, 'bolt')) }", "SELECT p_name AS n FROM part WHERE contains(p_name, 'l r') AND starts_with(lower(upper(p_name)), 's') AND ends_with(p_name, 'ing') OR contains(p_name, 'blue') AND ends_with(p_name, 'bolt')")
 _add("filter_regex", "SELECT ?n { ?c a :Customer ; :name ?n FILTER(REGEX(?n, '0[13]$', 'i')) }", "SELECT c_name AS n FROM customer WHERE regexp_matches(c_name, '0[13]$', 'i')")
 _add("filter_in", "SELECT ?s (COUNT(*) AS ?n) { ?c a :Customer ; :segment ?s FILTER(?s IN ('BUILDING', 'MACHINERY')) } GROUP BY ?s", "SELECT c_mktsegment AS s, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1")
 _add("filter_not_in", "SELECT ?s (COUNT(*) AS ?n) { ?c a :Customer ; :segment ?s FILTER(?s NOT IN ('BUILDING', 'MACHINERY')) } GROUP BY ?s", "SELECT c_mktsegment AS s, count(*) AS n FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') GROUP BY 1")
@@ -109,6 +111,29 @@ _add("math_round", "SELECT ?b (ABS(?b) AS ?a) (CEIL(?b) AS ?c) (FLOOR(?b) AS ?f)
 _add("casts", "SELECT ?k (xsd:integer(?b) AS ?i) (xsd:string(?z) AS ?s) (xsd:double(?z) AS ?d) (xsd:boolean(?z) AS ?t) { ?p a :Part ; :name ?k ; :price ?b ; :size ?z }", "SELECT p_name AS k, CAST(trunc(p_retailprice) AS BIGINT) AS i, CAST(p_size AS VARCHAR) AS s, CAST(p_size AS DOUBLE) AS d, p_size <> 0 AS t FROM part")
 _add("term_tests", "SELECT (COUNT(*) AS ?n) { ?p a :Part ; :name ?m ; :size ?s FILTER(isIRI(?p) && isLiteral(?m) && !isBlank(?p) && isNumeric(?s) && !isNumeric(?m) && sameTerm(?m, ?m)) }", "SELECT count(*) AS n FROM part")
 _add("datatype_lang", "SELECT ?t (COUNT(*) AS ?n) { ?p a :Part ; :size ?s ; :name ?m BIND(CONCAT(STR(DATATYPE(?s)), LANG(?m)) AS ?t) } GROUP BY ?t", "SELECT 'http://www.w3.org/2001/XMLSchema#integer' AS t, count(*) AS n FROM part")
+_add(
+    "lang_dir",
+    "SELECT ?n (LANG(?x) AS ?l) (LANGDIR(?x) AS ?d) (hasLANG(?x) AS ?h) (hasLANGDIR(?y) AS ?k) (STR(?x) AS ?t) (STR(DATATYPE(?z)) AS ?u) (isLiteral(?y) && LANG(?y) = 'de' AS ?v) { ?c a :Customer ; :name ?n BIND(STRLANGDIR(?n, 'ar', 'rtl') AS ?x) BIND(STRLANG(?n, 'de') AS ?y) BIND(STRDT(?n, xsd:token) AS ?z) }",
+    "SELECT c_name AS n, 'ar' AS l, 'rtl' AS d, true AS h, false AS k, c_name AS t, 'http://www.w3.org/2001/XMLSchema#token' AS u, true AS v FROM customer",
+)
+_add("iri_func", "BASE <http://e.example/a/b/c> SELECT ?n (STR(IRI(CONCAT('../', ENCODE_FOR_URI(?n)))) AS ?i) (STR(URI(CONCAT('./x/../', ENCODE_FOR_URI(?n), '/.'))) AS ?j) (STR(IRI('d')) AS ?k) { ?c a :Customer ; :name ?n }", "SELECT c_name AS n, 'http://e.example/a/' || url_encode(c_name) AS i, 'http://e.example/a/b/' || url_encode(c_name) || '/' AS j, 'http://e.example/a/b/d' AS k FROM customer")
+_add("bnode_func", "SELECT (COUNT(*) AS ?n) (COUNT(DISTINCT ?z) AS ?m) { ?c a :Customer ; :name ?k BIND(BNODE(?k) AS ?x) BIND(BNODE(?k) AS ?y) BIND(BNODE() AS ?z) FILTER(?x = ?y && isBlank(?x) && ?z != ?x) }", "SELECT count(*) AS n, count(*) AS m FROM customer")
+_add("triple_func", "SELECT (STR(SUBJECT(?t)) AS ?s) (STR(PREDICATE(?t)) AS ?p) (STR(OBJECT(?t)) AS ?o) (isTRIPLE(?t) AS ?k) { ?c a :Customer ; :name ?n BIND(TRIPLE(?c, :name, ?n) AS ?t) }", f"SELECT '{BASE}customer/' || c_custkey AS s, '{BASE}v#name' AS p, c_name AS o, true AS k FROM customer")
+_add("random_funcs", "SELECT (COUNT(*) AS ?n) (COUNT(DISTINCT ?u) AS ?m) { ?c a :Customer BIND(RAND() AS ?r) BIND(STRUUID() AS ?u) BIND(UUID() AS ?v) FILTER(?r >= 0 && ?r < 1 && STRLEN(?u) = 36 && isIRI(?v) && STRSTARTS(STR(?v), 'urn:uuid:')) }", "SELECT count(*) AS n, count(*) AS m FROM customer")
+_add("now_func", "SELECT (COUNT(*) AS ?n) { ?o a :Order ; :date ?d FILTER(NOW() > ?d && NOW() = NOW()) }", "SELECT count(*) AS n FROM orders WHERE o_orderdate < now()::TIMESTAMP")
+_add("casts_more", "SELECT ?k (xsd:decimal(?b) AS ?d) (xsd:float(?z) AS ?f) (STR(xsd:date(?t)) AS ?y) (STR(xsd:dateTime(CONCAT(STR(xsd:date(?t)), 'T00:00:00'))) AS ?m) { ?o a :Order ; :total ?b ; :date ?t ; :priority ?k BIND(YEAR(?t) AS ?z) }", "SELECT o_orderpriority AS k, round(o_totalprice, 2) AS d, CAST(year(o_orderdate) AS DOUBLE) AS f, strftime(o_orderdate, '%Y-%m-%d') AS y, strftime(o_orderdate, '%Y-%m-%dT00:00:00') AS m FROM orders", rounds={"d": 2, "f": 2})
+# syntax
+_add("nested_group", "SELECT ?n { ?c a :Customer ; :name ?n { ?c :segment ?s FILTER(?s = 'BUILDING' && !BOUND(?n)) } }", "SELECT c_name AS n FROM customer WHERE c_mktsegment = 'BUILDING'")
+_add("prologue", f"VERSION '1.2' BASE <{BASE}> PREFIX w: <v#> SELECT ?n {{ ?x w:region <region/2> ; w:name ?n }}", "SELECT n_name AS n FROM nation WHERE n_regionkey = 2")
+_add("bnode_pattern", "SELECT ?n (COUNT(*) AS ?k) { _:c a :Customer ; :nation [ :name ?n ] } GROUP BY ?n", "SELECT n_name AS n, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+_add("property_lists", "SELECT ?a ?b ?s { ?c a :Customer ; :name ?a ; :segment ?s , 'BUILDING' ; :nation [ a :Nation ; :region [ :name ?b ] ] }", "SELECT c_name AS a, r_name AS b, c_mktsegment AS s FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING'")
+_add("escapes", f"PREFIX n: <{BASE}nation\u002F> SELECT ?n {{ ?c a :Customer ; :nation n:\u0033 ; :n\u0061me ?n FILTER(STRSTARTS(?n, \"\\u0043ust\") && !CONTAINS(?n, '\\t')) }}", "SELECT c_name AS n FROM customer WHERE c_nationkey = 3")
+# conditions on outer variables, keys that can be unbound, hidden order
+_add("exists_nested_union", "SELECT ?n { ?c a :Customer ; :name ?n ; :balance ?b FILTER EXISTS { { ?o :customer ?c ; :total ?t FILTER(?t > 40 * ?b) } UNION { ?o :customer ?c ; :status 'P' } } }", "SELECT c_name AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND (o_totalprice > 40 * c_acctbal OR o_orderstatus = 'P'))")
+_add("exists_nested_group", "SELECT ?n { ?c a :Customer ; :name ?n ; :nation ?m ; :balance ?b FILTER NOT EXISTS { ?m :region ?r { ?s a :Supplier ; :nation ?m ; :balance ?x FILTER(?x > ?b) } } }", "SELECT c_name AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > c_acctbal)")
+_add("optional_unbound_key", "SELECT (COUNT(*) AS ?n) (COUNT(?k) AS ?m) (SUM(?k) AS ?t) { ?d a :Document OPTIONAL { ?d :party ?p } OPTIONAL { SELECT ?p (COUNT(*) AS ?k) { ?e a :Document ; :party ?p ; :agenda ?a } GROUP BY ?p } }", "WITH k AS (SELECT party, count(*) AS k FROM documents WHERE party IS NOT NULL AND agenda_item IS NOT NULL GROUP BY 1) SELECT count(*) AS n, count(k) AS m, CAST(coalesce(sum(k), 0) AS BIGINT) AS t FROM documents d LEFT JOIN k ON d.party IS NULL OR d.party = k.party")
+_add("minus_unbound_key", "SELECT ?s (COUNT(*) AS ?n) { ?d a :Document ; :source ?s OPTIONAL { ?d :party ?p } MINUS { SELECT ?p { ?e :party ?p } GROUP BY ?p HAVING(COUNT(*) > 60) } } GROUP BY ?s", "SELECT source AS s, count(*) AS n FROM documents WHERE party IS NULL OR party NOT IN (SELECT party FROM documents WHERE party IS NOT NULL GROUP BY 1 HAVING count(*) > 60) GROUP BY 1")
+_add("distinct_hidden_order", "SELECT DISTINCT ?s { ?o a :Order ; :status ?s ; :total ?t } ORDER BY DESC(?t) LIMIT 2", "SELECT s FROM (SELECT o_orderstatus AS s, max(o_totalprice) AS t FROM orders GROUP BY 1 ORDER BY 2 DESC LIMIT 2)")
 # paths
 _add("path_seq", "SELECT ?n (COUNT(*) AS ?k) { ?o a :Order ; :customer/:nation/:name ?n } GROUP BY ?n", "SELECT n_name AS n, count(*) AS k FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 _add("path_alt", "SELECT ?v (COUNT(*) AS ?k) { ?x a :Nation ; (:name|:region/:name) ?v } GROUP BY ?v", "SELECT v, count(*) AS k FROM (SELECT n_name AS v FROM nation UNION ALL SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY 1")
@@ -118,6 +143,7 @@ _add("path_plus", "SELECT ?a ?b { ?a :reissueOf+ ?b }", f"{_REISSUES} SELECT '{B
 _add("path_star", "SELECT ?a (COUNT(?b) AS ?n) { ?a :reissueOf ?x . ?a :reissueOf* ?b } GROUP BY ?a", f"{_REISSUES} SELECT '{BASE}doc/' || s AS a, count(*) + 1 AS n FROM p GROUP BY s")
 _add("path_opt", f"SELECT ?b {{ <{BASE}nation/3> :region? ?b }}", f"SELECT '{BASE}nation/3' AS b UNION ALL SELECT '{BASE}region/' || n_regionkey FROM nation WHERE n_nationkey = 3")
 _add("path_range", "SELECT ?a ?b { ?a :reissueOf{1,2} ?b }", "WITH e AS (SELECT doc_id AS s, reissue_of AS o FROM documents WHERE reissue_of IS NOT NULL) " + f"SELECT '{BASE}doc/' || s AS a, '{BASE}doc/' || o AS b FROM (SELECT s, o FROM e UNION SELECT x.s, y.o FROM e x JOIN e y ON x.o = y.s)")
+_add("path_neg_inverse", f"SELECT ?v {{ <{BASE}region/1> !(:name|^:name|rdf:type|^rdf:type) ?v }}", f"SELECT '{BASE}nation/' || n_nationkey AS v FROM nation WHERE n_regionkey = 1")
 _add("path_neg", f"SELECT ?v {{ <{BASE}nation/3> !(:name|rdf:type) ?v }}", f"SELECT '{BASE}region/' || n_regionkey AS v FROM nation WHERE n_nationkey = 3")
 
 # stored quads: graphs, dynamic terms
@@ -133,3 +159,43 @@ _add("dynamic_numeric_filter", "SELECT ?s ?o { GRAPH ?g { ?s parl:termsServed ?o
 _add("lang_filter", "SELECT ?l (COUNT(*) AS ?n) { GRAPH ?g { ?s rdfs:label ?o } FILTER(LANGMATCHES(LANG(?o), '*')) BIND(LANG(?o) AS ?l) } GROUP BY ?l", f"SELECT o.lang AS l, count(*) AS n FROM {_SET} WHERE p = 'rdfs:label' AND g IS NOT NULL AND o.k = 2 AND coalesce(o.lang, '') <> '' GROUP BY 1", quads=True)
 _add("kind_counts", "SELECT ?k (COUNT(*) AS ?n) { ?s ?p ?o BIND(IF(isIRI(?o), 'iri', IF(isBlank(?o), 'blank', 'literal')) AS ?k) } GROUP BY ?k", f"SELECT CASE o.k WHEN 1 THEN 'iri' WHEN 0 THEN 'blank' ELSE 'literal' END AS k, count(*) AS n FROM {_SET} WHERE g IS NULL GROUP BY 1", quads=True)
 _add("quad_star", "SELECT (COUNT(*) AS ?n) { ?s a parl:Speech ; parl:inSitting ?t ; parl:keyword ?k }", f"SELECT count(*) AS n FROM {_SET} a JOIN {_SET} b ON a.s = b.s JOIN {_SET} c ON a.s = c.s WHERE a.g IS NULL AND b.g IS NULL AND c.g IS NULL AND a.p = 'rdf:type' AND a.o.v = 'parl:Speech' AND b.p = 'parl:inSitting' AND c.p = 'parl:keyword'", quads=True)
+_ZONED = "^[0-9]{4}-[0-9]{2}-[012][0-8]T[01][0-9]:[0-9]{2}:[0-9]{2}([+-][0-9]{2}:[0-9]{2}|Z)$"
+_add(
+    "time_parts",
+    f"SELECT ?s (STR(?o) AS ?v) (HOURS(?o) AS ?h) (MINUTES(?o) AS ?m) (SECONDS(?o) AS ?c) (TZ(?o) AS ?z) (STR(TIMEZONE(?o)) AS ?t) {{ GRAPH ?g {{ ?s parl:startedAt ?o }} FILTER(DATATYPE(?o) = xsd:dateTime && REGEX(STR(?o), '{_ZONED}') && YEAR(?o) > 0) }}",
+    "WITH t AS (SELECT DISTINCT g, s.v AS s, o.v AS v FROM quads WHERE g IS NOT NULL AND p = 'parl:startedAt' AND o.dt = 'xsd:dateTime' AND regexp_matches(o.v, '" + _ZONED + "') AND substr(o.v, 9, 2) <> '00' AND substr(o.v, 6, 2) BETWEEN '01' AND '12' AND substr(o.v, 15, 2) < '60' AND substr(o.v, 18, 2) < '60') "
+    "SELECT s, v, CAST(substr(v, 12, 2) AS BIGINT) AS h, CAST(substr(v, 15, 2) AS BIGINT) AS m, CAST(substr(v, 18, 2) AS DOUBLE) AS c, substr(v, 20) AS z, "
+    "CASE WHEN substr(v, 20) IN ('Z', '+00:00', '-00:00') THEN 'PT0S' ELSE CASE WHEN substr(v, 20, 1) = '-' THEN '-' ELSE '' END || 'PT' || CASE WHEN substr(v, 21, 2) = '00' THEN '' ELSE CAST(CAST(substr(v, 21, 2) AS INT) AS VARCHAR) || 'H' END || CASE WHEN substr(v, 24, 2) = '00' THEN '' ELSE CAST(CAST(substr(v, 24, 2) AS INT) AS VARCHAR) || 'M' END END AS t FROM t",
+    rounds={"c": 6}, casts={"h": "bigint", "m": "bigint"}, quads=True,
+)
+
+
+def rejected_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that are refused before anything runs."""
+    engine, rows = mapped_engine(spark, d), []
+    for text in _REFUSED:
+        try:
+            engine.parse(text)
+            rows.append((text, False))
+        except (ParseError, QueryError):
+            rows.append((text, True))
+    return spark.createDataFrame(rows, "query string, refused boolean")
+
+
+_REFUSED = [
+    "SELECT (SUM(COUNT(?x)) AS ?n) { ?x :p ?y }", "SELECT ?y (COUNT(?x) AS ?n) { ?x :p ?y }", "SELECT * { ?x :p ?y } GROUP BY ?y", "SELECT (1 AS ?x) { ?x :p ?y }",
+    "SELECT ?x { ?x :p _:b OPTIONAL { ?x :q _:b } }", "SELECT ?x { BIND(1 AS ?x) ?x :p ?y BIND(2 AS ?y) }", "INSERT DATA { :a :b :c }",
+]
+QUERIES["rejected_queries"] = rejected_queries
+ORACLES["rejected_queries"] = " UNION ALL ".join("SELECT '" + q.replace("'", "''") + "' AS query, true AS refused" for q in _REFUSED)
+
+
+def rendered_query(spark: SparkSession, d: str) -> DataFrame:
+    """A query parsed, written as text again, and that text run."""
+    engine = mapped_engine(spark, d)
+    text = "SELECT ?s (COUNT(*) AS ?n) { { ?c a :Customer ; :segment ?s ; :balance ?b FILTER(?b * 2 > 5000 || !(?b < 9)) } UNION { ?c a :Customer ; :segment ?s MINUS { ?o :customer/:nation ?z ; :customer ?c } } OPTIONAL { ?c :nation ?m FILTER EXISTS { ?m :region ?r } } } GROUP BY ?s HAVING(COUNT(*) > 3)"
+    return engine.select(query_text(engine.parse(text)))
+
+
+QUERIES["rendered_query"] = rendered_query
+ORACLES["rendered_query"] = "SELECT s, count(*) AS n FROM (SELECT c_mktsegment AS s FROM customer WHERE c_acctbal * 2 > 5000 OR NOT (c_acctbal < 9) UNION ALL SELECT c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) GROUP BY 1 HAVING count(*) > 3"
