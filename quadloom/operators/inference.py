@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quadloom.session import cut
+from quadloom.session import BROADCAST_ROWS, cut
 from quadloom.terms import BNODE, IRI, RDF, RDFS, Term, term_col
 
 TYPE, SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, MEMBER = RDF + "type", RDFS + "subClassOf", RDFS + "subPropertyOf", RDFS + "domain", RDFS + "range", RDFS + "member"
@@ -42,41 +42,62 @@ def _new(rows: DataFrame, *known: DataFrame) -> DataFrame:
     return rows
 
 
+SCHEMA = (SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be copied to the executors up to a checked size."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _schema(known: DataFrame) -> dict[str, DataFrame]:
+    """(a, b) of each relation of the schema: closed for classes and properties."""
+    rows = cut(known.where(F.col("p").isin(*SCHEMA)))
+    out = {p: transitive(_pairs(rows, p)) for p in (SUBCLASS, SUBPROPERTY)}
+    return out | {p: cut(_pairs(rows, p)) for p in (DOMAIN, RANGE)}
+
+
 def infer_rdfs(triples: DataFrame, rules: tuple[str, ...] = RULES, reflexive: bool = False) -> DataFrame:
     """The statements that follow from triples under the rules, without those already there.
 
-    Schema closures come first; then property, domain, range and type rules add in one pass each until nothing new comes, joining only the statements
-    of the last round. reflexive adds `C subClassOf C` for each class.
+    The closures of the schema are made once, and again only when a round finds schema statements beyond them; then the rules go over all statements once
+    more. Otherwise a round joins only the statements that the last one found. What is known is a list of parts, none of which is written twice.
+    reflexive adds `C subClassOf C` for each class.
     """
     empty = triples.select("s", "p", "o").limit(0)
-    known = cut(triples.select("s", "p", "o").distinct())
-    out, delta = [], known
+    delta = cut(triples.select("s", "p", "o").distinct())
+    parts, out, schema = [delta], [], None
     while True:
+        if schema is None or any(not _pairs(delta, p).join(schema[p], ["a", "b"], "left_anti").isEmpty() for p in SCHEMA):
+            schema, rows, fresh = _schema(reduce(DataFrame.unionByName, parts)), reduce(DataFrame.unionByName, parts), True
+        else:
+            rows, fresh = delta, False
+        classes, props = schema[SUBCLASS], schema[SUBPROPERTY]
+        link = lambda pairs, p: pairs.select(_iri(F.col("a")).alias("s"), F.lit(p).alias("p"), _iri(F.col("b")).alias("o"))
         got: list[DataFrame] = []
         if "subclass" in rules:
-            classes = transitive(_pairs(known, SUBCLASS))
-            got.append(classes.select(_iri(F.col("a")).alias("s"), F.lit(SUBCLASS).alias("p"), _iri(F.col("b")).alias("o")))
-            if reflexive:
-                names = classes.select("a").union(classes.select("b")).distinct()
-                got.append(names.select(_iri(F.col("a")).alias("s"), F.lit(SUBCLASS).alias("p"), _iri(F.col("a")).alias("o")))
-            types = known.where((F.col("p") == TYPE) & (F.col("o.k") == IRI))
-            got.append(types.join(classes, F.col("o.v") == F.col("a")).select("s", "p", _iri(F.col("b")).alias("o")))
+            if fresh:
+                got.append(link(classes, SUBCLASS))
+            if fresh and reflexive:
+                got.append(link(classes.select("a").union(classes.select("b")).distinct().select("a", F.col("a").alias("b")), SUBCLASS))
+            types = rows.where((F.col("p") == TYPE) & (F.col("o.k") == IRI))
+            got.append(types.join(_small(classes), F.col("o.v") == F.col("a")).select("s", "p", _iri(F.col("b")).alias("o")))
         if "subproperty" in rules:
-            props = transitive(_pairs(known, SUBPROPERTY))
-            got.append(props.select(_iri(F.col("a")).alias("s"), F.lit(SUBPROPERTY).alias("p"), _iri(F.col("b")).alias("o")))
-            got.append(delta.join(props, F.col("p") == F.col("a")).select("s", F.col("b").alias("p"), "o"))
+            if fresh:
+                got.append(link(props, SUBPROPERTY))
+            got.append(rows.join(_small(props), F.col("p") == F.col("a")).select("s", F.col("b").alias("p"), "o"))
         if "domain" in rules:
-            got.append(delta.join(_pairs(known, DOMAIN), F.col("p") == F.col("a")).select("s", F.lit(TYPE).alias("p"), _iri(F.col("b")).alias("o")))
+            got.append(rows.join(_small(schema[DOMAIN]), F.col("p") == F.col("a")).select("s", F.lit(TYPE).alias("p"), _iri(F.col("b")).alias("o")))
         if "range" in rules:
-            resources = delta.where(F.col("o.k").isin(IRI, BNODE))
-            got.append(resources.join(_pairs(known, RANGE), F.col("p") == F.col("a")).select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), _iri(F.col("b")).alias("o")))
+            resources = rows.where(F.col("o.k").isin(IRI, BNODE))
+            got.append(resources.join(_small(schema[RANGE]), F.col("p") == F.col("a")).select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), _iri(F.col("b")).alias("o")))
         if "container" in rules:
-            got.append(delta.where(F.col("p").rlike("^" + RDF.replace(".", r"\.") + r"_[1-9][0-9]*$")).select("s", F.lit(MEMBER).alias("p"), "o"))
-        delta = cut(_new(reduce(DataFrame.unionByName, got, empty).distinct(), known))
+            got.append(rows.where(F.col("p").rlike("^" + RDF.replace(".", r"\.") + r"_[1-9][0-9]*$")).select("s", F.lit(MEMBER).alias("p"), "o"))
+        delta = cut(_new(reduce(DataFrame.unionByName, got, empty).distinct(), reduce(DataFrame.unionByName, parts)))
         if delta.isEmpty():
             return reduce(DataFrame.unionByName, out, empty)
         out.append(delta)
-        known = cut(known.unionByName(delta))
+        parts.append(delta)
 
 
 def entails(triples: DataFrame, s: Term, p: Term, o: Term, regime: str = "rdfs") -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import fields, is_dataclass
 from functools import reduce
 from typing import Any
@@ -46,6 +48,35 @@ def deep_vars(x: Any) -> set[str]:
     return set().union(*(deep_vars(getattr(x, f.name)) for f in fields(x))) if is_dataclass(x) and not isinstance(x, (Term, type)) else set()
 
 
+def named(x: Any) -> Iterator[str | None]:
+    """Every mention of a variable in a query; None stands for what may depend on all of them: all columns, all of a solution, a node or number of its own."""
+    if isinstance(x, Var):
+        yield x.name
+    elif isinstance(x, (tuple, list)):
+        if isinstance(x, tuple) and x[:1] == ("agg",) and x[2] is None and x[3] or isinstance(x, tuple) and x[:1] == ("call",) and x[1] in ("BNODE", "RAND", "UUID", "STRUUID"):
+            yield None
+        for y in x:
+            yield from named(y)
+    elif isinstance(x, Query):
+        if x.project is None:
+            yield None
+        for n, e in x.project or []:
+            yield n
+            yield from named(e)
+        for n, e in x.group or []:
+            yield n
+            yield from named(e)
+        for y in (x.where, x.having, x.order, x.values, x.template, x.describe):
+            yield from named(y)
+    elif isinstance(x, Values):
+        yield from x.vars
+    elif is_dataclass(x) and not isinstance(x, (Term, type)):
+        if isinstance(x, Extend):
+            yield x.var
+        for f in fields(x):
+            yield from named(getattr(x, f.name))
+
+
 def outer_uses(n: Any, bound: frozenset[str]) -> frozenset[str]:
     """The variables bound outside that a pattern uses where they are not in scope: in conditions, in bindings, and on the right of OPTIONAL and MINUS."""
     if isinstance(n, (Filter, Extend)):
@@ -65,6 +96,7 @@ class Compiler:
         self.spark, self.store = spark, store
         self.functions, self.service, self.base = functions or {}, service, base
         self.fresh, self.made = 0, set()
+        self.mentions: Counter | None = None  # how often the query names each variable, where that tells which columns it can do without
 
     # patterns
 
@@ -141,7 +173,8 @@ class Compiler:
                 subjects.setdefault(t[0], []).append(t)
         allowed = self.store.restrict(subjects)
         for s, group in subjects.items():
-            if (got := self.store.star(s, [(p, o) for _, p, o in group], active, allowed)) is not None:
+            unused = isinstance(s, Var) and self.mentions is not None and self.mentions[s.name] == len(group)
+            if (got := self.store.star(s, [(p, o) for _, p, o in group], active, allowed, unused)) is not None:
                 rest = [t for t in rest if t not in group]
                 parts.append((sum(isinstance(o, Term) for _, _, o in group) + isinstance(s, Term), got.vars, got))
         for t in rest:
@@ -506,6 +539,9 @@ class Compiler:
     # queries
 
     def select(self, q: Query, active: Active) -> Rel:
+        if self.mentions is None:
+            names = Counter(named(q))
+            self.mentions = names if not names[None] else Counter()
         r = self.pattern(q.where, active)
         return self.modify(q, r, active)
 

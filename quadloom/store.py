@@ -123,7 +123,7 @@ class QuadStore:
                 reprs[active.name] = TERM_REPR
         return Rel(df.select(*cols) if cols else df.select(F.lit(1).alias("?unit")), reprs)
 
-    def star(self, s: Any, pos: list[tuple[Any, Any]], active: Active, allowed: dict[str, set[str]] | None = None) -> Rel | None:
+    def star(self, s: Any, pos: list[tuple[Any, Any]], active: Active, allowed: dict[str, set[str]] | None = None, unused: bool = False) -> Rel | None:
         return None
 
     def restrict(self, stars: dict[Any, list[tuple]]) -> dict[str, set[str]]:
@@ -275,19 +275,20 @@ class MappedStore:
             if allowed == before:
                 return allowed
 
-    def star(self, s: Any, pos: list[tuple[Any, Any]], active: Active, allowed: dict[str, set[str]] | None = None) -> Rel | None:
-        """One scan for all (predicate, object) of a subject; a union over the tables that have them all; None if a predicate is a variable."""
+    def star(self, s: Any, pos: list[tuple[Any, Any]], active: Active, allowed: dict[str, set[str]] | None = None, unused: bool = False) -> Rel | None:
+        """One scan for all (predicate, object) of a subject; a union over the tables that have them all; None if a predicate is a variable. The key of a
+        subject that nothing else names (unused) is left out."""
         if active.kind != "default" or any(not isinstance(p, Term) for p, _ in pos):
             return None
         fits = self._fits(s, pos, allowed or {}) or self._fits(s, pos, {})
-        rels = [self._one(t, s, pos) for t in fits]
+        rels = [self._one(t, s, pos, unused) for t in fits]
         if not rels:
             return None
         from quadloom.plans.rel import union
 
         return reduce(union, rels)
 
-    def _one(self, t: TableMap, s: Any, pos: list[tuple[Any, Any]]) -> Rel:
+    def _one(self, t: TableMap, s: Any, pos: list[tuple[Any, Any]], unused: bool = False) -> Rel:
         df, cols, reprs, conds = t.df, {}, {}, []
         key = F.expr(t.key)
 
@@ -299,7 +300,8 @@ class MappedStore:
                 cols[v.name], reprs[v.name] = c, r
 
         if isinstance(s, Var):
-            put(s, key, Repr("iri", t.template))
+            if not unused:
+                put(s, key, Repr("iri", t.template))
         else:
             conds.append(key.cast("string") == s.v[len(t.template) :])
         for p, o in pos:

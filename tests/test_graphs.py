@@ -214,3 +214,64 @@ def test_streams(spark, graph, tmp_path):
     assert spark.table("st").count() == 2 and spark.table("rj").collect()[0]["line"] == "bad" and spark.table("jn").count() == 2
     events = spark.createDataFrame([("2020-01-01 00:00:00", "a"), ("2020-01-01 00:20:00", "a"), ("2020-01-01 01:30:00", "a")], "t string, k string").withColumn("t", F.to_timestamp("t"))
     assert {r["n"] for r in windowed_counts(events, "t", "k", "1 hour").collect()} == {1, 2} and session_counts(events, "t", "k", "30 minutes").count() == 2
+
+
+def test_updates_against_a_set(spark, monkeypatch):
+    """Random updates of a Dataset and of a Python set; the base is not written again by them."""
+    import random
+
+    from quadloom.plans import update as U
+
+    rng, state = random.Random(3), set()
+    base = spark.createDataFrame([], "g struct<k:tinyint,v:string,dt:string,lang:string,dir:string>, s struct<k:tinyint,v:string,dt:string,lang:string,dir:string>, p string, o struct<k:tinyint,v:string,dt:string,lang:string,dir:string>")
+    ds = U.Dataset(spark, base)
+    written = []
+    real = U.Dataset.compact
+    monkeypatch.setattr(U.Dataset, "compact", lambda self: (written.append(1), real(self)))
+    name = lambda g: f"GRAPH <http://e/{g}>" if g else ""
+    for step in range(30):
+        if step == 20:
+            monkeypatch.setattr(U, "COMPACT_STEPS", 21)
+        kind = rng.choice(["insert", "insert", "delete", "modify", "clear", "copy", "move", "add"])
+        g, h = rng.choice(["", "a", "b"]), rng.choice(["", "a", "b"])
+        quads = {(g, rng.choice("xyz"), rng.choice("123")) for _ in range(4)}
+        body = " ".join(f"<http://e/{s}> <http://e/p> <http://e/{o}> ." for _, s, o in sorted(quads))
+        graph = f"<http://e/{g}>" if g else "DEFAULT"
+        target = f"<http://e/{h}>" if h else "DEFAULT"
+        wrap = lambda x, g=g: f"{name(g)} {{ {x} }}" if g else x
+        if kind == "insert":
+            ds.update(f"INSERT DATA {{ {wrap(body)} }}")
+            state |= quads
+        elif kind == "delete":
+            ds.update(f"DELETE DATA {{ {wrap(body)} }}")
+            state -= quads
+        elif kind == "modify":
+            ds.update(f"DELETE {{ {wrap('?s <http://e/p> <http://e/1>')} }} INSERT {{ {wrap('?s <http://e/p> <http://e/2>')} }} WHERE {{ {wrap('?s <http://e/p> <http://e/1>')} }}")
+            hit = {s for x, s, o in state if x == g and o == "1"}
+            state = {q for q in state if not (q[0] == g and q[1] in hit and q[2] == "1")} | {(g, s, "2") for s in hit}
+        elif kind == "clear":
+            ds.update(f"CLEAR SILENT {'GRAPH ' + graph if g else 'DEFAULT'}")
+            state = {q for q in state if q[0] != g}
+        elif g != h:
+            ds.update(f"{kind.upper()} SILENT {graph} TO {target}")
+            moved = {(h, s, o) for x, s, o in state if x == g}
+            state = {q for q in state if not (kind != "add" and q[0] == h) and not (kind == "move" and q[0] == g)} | moved
+        got = [(r["g"]["v"][-1] if r["g"] else "", r["s"]["v"][-1], r["o"]["v"][-1]) for r in ds.quads.collect()]
+        assert sorted(got) == sorted(state), (step, kind)
+    assert len(written) == 1
+
+
+def test_insert_data_leaves_the_base_alone(spark, graph):
+    ds = Dataset(spark, graph(" ".join(f":s{i} :p :o ." for i in range(50))).withColumn("g", F.lit(None).cast(TERM)))
+    ds.update("INSERT DATA { <http://e/new> <http://e/p> <http://e/o> }")
+    base = ds._base
+    ds.update("INSERT DATA { <http://e/new2> <http://e/p> <http://e/o> } ; DELETE DATA { <http://e/s1> <http://e/p> <http://e/o> }")
+    assert ds._base is base and ds.quads.count() == 51 and ds._added.count() == 2
+
+
+def test_schema_found_on_the_way(graph):
+    """Schema statements that rules bring to light act on what was there before."""
+    data = graph(":knows rdfs:subPropertyOf :likes . :isA rdfs:subPropertyOf rdfs:subClassOf . :Dog :isA :Animal . :Animal :isA :Thing . :rex a :Dog ; :knows :tom . :kind rdfs:subPropertyOf rdfs:domain . :likes :kind :Person . :A rdfs:subClassOf :B . :B rdfs:subClassOf :A .")
+    got = {(r["s"]["v"][9:], r["p"].rsplit("#", 1)[-1].rsplit("/", 1)[-1], r["o"]["v"].rsplit("/", 1)[-1]) for r in I.infer_rdfs(data).collect()}
+    assert {("rex", "type", "Animal"), ("rex", "type", "Thing"), ("rex", "likes", "tom"), ("rex", "type", "Person"), ("Dog", "subClassOf", "Thing"), ("A", "subClassOf", "A")} <= got
+    assert I.infer_rdfs(data.limit(0)).count() == 0
