@@ -76,7 +76,41 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repair(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_terms, p6_found, p6_labels, p7_found, p7_segments, p8_containers, p9_mixture, p9_shares, p10_found, p10_restored)}
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Of all long literals: their number, and those whose labels lie outside the text or whose confidence is none."""
+    said = _languages(spark, d).join(table(spark, d, "literals").select("literal_id", F.length("lexical_form").alias("size")), "literal_id")
+    bad = F.exists("said.segments", lambda s: (s["start"] < 0) | (s["end"] > F.col("size")) | (s["start"] >= s["end"]) | ~s["confidence"].between(0, 1))
+    return said.agg(F.count(F.lit(1)).alias("literals"), F.count_if(bad | ~F.col("said.confidence").between(0, 1)).alias("bad"))
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """For each kind of container: documents packed, those split without need, pieces that do not follow one another, containers over capacity or less than 99 % full together."""
+    out = p8_containers(spark, d).join(table(spark, d, "pack_specs"), "spec_id")
+    boxes = out.groupBy("spec_id", "container").agg(F.sum("tokens").alias("load"), F.max("container_tokens").alias("said"), F.max("capacity_tokens").alias("capacity"))
+    boxes = boxes.groupBy("spec_id").agg(F.count_if(F.expr("load > capacity or load <> said")).alias("wrong_containers"), (F.sum("load") >= 0.99 * F.sum("capacity") - F.max("capacity")).alias("full"))
+    docs = out.groupBy("spec_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("size"), F.max("capacity_tokens").alias("capacity"), F.max(F.expr("first_token + tokens")).alias("last"))
+    docs = docs.groupBy("spec_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.expr("pieces <> greatest(1, ceil(size / capacity)) or last <> size")).alias("wrong_documents"))
+    return docs.join(boxes, "spec_id")
+
+
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    """For each target whose source has records: whether its share is within a percentage point of its weight among these, and its repeats are within the cap."""
+    got = p9_shares(spark, d).where("records > 0")
+    total = got.agg(F.sum("target_weight").alias("w"))
+    caps = table(spark, d, "mix_targets").select("source", "max_repeats")
+    near = F.abs(F.col("share") - F.col("target_weight") / F.col("w")) <= 0.01 + F.lit(20_000) / F.greatest(F.lit(1), F.col("tokens") / F.col("share"))  # a document more or less
+    return got.crossJoin(total).join(caps, "source").select("source", near.alias("near"), (F.col("max_repeat") <= F.greatest("max_repeats", F.lit(1))).alias("capped"))
+
+
+def p10_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents restored, those among them that are not their table's, and those whose plain ASCII words changed."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("before"))
+    fixed = p10_restored(spark, d).join(docs, "doc_id", "left")
+    plain = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w.rlike(r"^[\x21-\x7e]+$"))
+    return fixed.agg(F.count_if(F.col("before").isNull()).alias("unknown"), F.count_if(F.size(F.array_except(plain("before"), plain("text"))) > 0).alias("changed"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_terms, p6_found, p6_labels, p7_found, p7_segments, p8_containers, p9_mixture, p9_shares, p10_found, p10_restored, p7_counts, p8_counts, p9_counts, p10_counts)}
 
 _TERMS = """SELECT p AS predicate, o.v AS o_v, coalesce(o.lang, '') AS o_lang, count(*) AS statements, count(DISTINCT s.v) AS speeches,
 CASE WHEN count(DISTINCT s.v) < 3 THEN 'rare' WHEN count(DISTINCT s.v) > 0.2 * any_value(n) THEN 'common' END AS mark
@@ -85,4 +119,8 @@ FROM quads JOIN (SELECT p AS pp, count(DISTINCT s.v) AS n FROM quads GROUP BY 1)
 ORACLES = {
     "p4_found": f"SELECT predicate, o_v, o_lang, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p4_terms": _TERMS,
+    "p7_counts": "SELECT count(*) AS literals, 0 AS bad FROM literals WHERE length(lexical_form) >= 80",
+    "p8_counts": "SELECT spec_id, (SELECT count(*) FROM documents) AS documents, 0 AS wrong_documents, 0 AS wrong_containers, true AS full FROM pack_specs WHERE capacity_tokens > 0",
+    "p9_counts": "SELECT source, true AS near, true AS capped FROM mix_targets WHERE target_weight > 0 AND source IN (SELECT source FROM documents WHERE text <> '')",
+    "p10_counts": "SELECT 0 AS unknown, 0 AS changed",
 }
