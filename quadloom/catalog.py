@@ -38,9 +38,15 @@ def _maps(spark: SparkSession, d: str) -> list[TableMap]:
     ]
 
 
+_STORES: dict[tuple[str, str], MappedStore] = {}
+
+
 def mapped_engine(spark: SparkSession, d: str) -> Engine:
-    """Queries over the relational tables."""
-    return Engine(spark, MappedStore(_maps(spark, d)), BASE, PREFIXES)
+    """Queries over the relational tables, which are opened once in an application."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _STORES:
+        _STORES[key] = MappedStore(_maps(spark, d))
+    return Engine(spark, _STORES[key], BASE, PREFIXES)
 
 
 def quad_store(spark: SparkSession, d: str) -> QuadStore:

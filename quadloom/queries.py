@@ -78,7 +78,24 @@ def p5_failures(spark: SparkSession, d: str) -> DataFrame:
     return cast_failures(*_member_rows(spark, d)).withColumnsRenamed({"entity": "subject", "attribute": "predicate"})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_times, p2_found, p2_loaded, p3_found, p3_predicates, p5_found, p5_members, p5_failures)}
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Quads of the timestamp predicates, and of plain forms with an offset how many are resolved and to which sum of seconds."""
+    t = _sitting_times(spark, d)
+    plain = F.col("lexical").rlike(_PLAIN_TIME) & (F.col("ts_status") == "resolved")
+    return t.agg(F.count(F.lit(1)).alias("quads"), F.count_if(plain).alias("plain"), F.sum(F.when(plain, (F.col("ts_instant_us") / 1_000_000).cast("bigint"))).alias("seconds"))
+
+
+_PLAIN_TIME = "^20[0-9]{2}-(0[1-9]|1[0-2])-(0[1-9]|1[0-9]|2[0-8])T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](Z|[+-](0[0-9]|1[0-3]):[0-5][0-9])$"
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with a statement: loaded and rejected ones together, and how many are both or neither."""
+    lines = table(spark, d, "nt_lines")
+    both = load_lines(lines).select("line_id").unionByName(reject_lines(lines).select("line_id")).groupBy("line_id").agg(F.count(F.lit(1)).alias("n"))
+    return both.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("n") != 1).alias("twice"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_times, p2_found, p2_loaded, p3_found, p3_predicates, p5_found, p5_members, p5_failures, p1_counts, p2_counts)}
 
 _DISTINCT = "count(distinct s.k || ' ' || s.v) AS subjects, count(distinct o) AS objects"
 _DELAY = "(epoch_us(loaded_at) - epoch_us(asserted_at))"
@@ -115,6 +132,8 @@ _CELLS = f"SELECT subject, predicate, min(c) AS val FROM ({_MEMBER_ROWS}) GROUP
 _NATIVE = {"string": "VARCHAR", "integer": "BIGINT", "decimal": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE"}
 
 ORACLES = {
+    "p1_counts": f"SELECT count(*) AS quads, count(*) FILTER (plain) AS plain, sum(CASE WHEN plain THEN epoch(try_cast(o.v AS TIMESTAMPTZ))::BIGINT END)::BIGINT AS seconds FROM (SELECT o, regexp_matches(o.v, '{_PLAIN_TIME}') AS plain FROM quads WHERE p IN ({', '.join(repr(p) for p in TIME_PREDICATES)}))",
+    "p2_counts": "SELECT count(*) AS lines, 0 AS twice FROM nt_lines WHERE NOT regexp_matches(line_text, '^[ \\t]*\\r?($|#)')",
     "p3_found": f"SELECT p AS predicate FROM quads GROUP BY p HAVING count(*) > {HOT_SHARE} * (SELECT count(*) FROM quads)",
     "p3_predicates": f"SELECT p AS predicate, count(*) AS statements, {_DISTINCT}, {_rank(0.5)} AS delay_p50, {_rank(0.9)} AS delay_p90, {_rank(0.99)} AS delay_p99 FROM quads GROUP BY p",
     "p5_found": f"{_CELLS} HAVING count(distinct c) = 1",

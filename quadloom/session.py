@@ -22,6 +22,7 @@ def local_session(cpus: int | str = 8, app: str = "quadloom", **conf: str) -> Sp
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # noting the place of every column call takes longer than compiling a query
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
