@@ -101,6 +101,13 @@ def predicate_statistics(spark, d):
     return quad_store(spark, d).statistics()
 
 
+@register("SELECT count(*) AS n FROM (SELECT DISTINCT s, o FROM quads WHERE g IS NULL AND p = 'parl:keyword') a JOIN (SELECT DISTINCT s FROM quads WHERE g IS NULL AND p = 'rdf:type' AND o.v = 'parl:Speech') b ON a.s = b.s JOIN (SELECT DISTINCT s, o FROM quads WHERE g IS NULL AND p = 'parl:inSitting') c ON a.s = c.s")
+def statistics_order(spark, d):
+    """A star whose patterns are ordered by the counts of their predicates."""
+    store = quad_store(spark, d).analyse()
+    return Engine(spark, store, BASE, PREFIXES).select("SELECT (COUNT(*) AS ?n) { ?s a parl:Speech ; parl:inSitting ?t ; parl:keyword ?k }")
+
+
 _SCHEMA = "@prefix : <http://data.example/v#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . :Nation rdfs:subClassOf :Place . :Region rdfs:subClassOf :Place . :Place rdfs:subClassOf :Thing . :region rdfs:domain :Member ; rdfs:range :Group ; rdfs:subPropertyOf :within ."
 
 

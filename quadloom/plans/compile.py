@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import fields, is_dataclass
@@ -165,7 +166,7 @@ class Compiler:
         if not triples:
             return self.unit(active)
         triples = [x for t in triples for x in self.steps(t)]
-        parts: list[tuple[int, list[str], Any]] = []
+        parts: list[tuple[float, list[str], Any]] = []
         rest = list(triples)
         subjects: dict[Any, list[tuple]] = {}
         for t in triples:
@@ -180,7 +181,8 @@ class Compiler:
         for t in rest:
             names = [v for x in t for v in term_vars(x)]
             bound = sum(isinstance(x, Term) for x in t) - (2 if isinstance(t[1], Path) else 0)
-            parts.append((bound, names, t))
+            rows = None if isinstance(t[1], Path) else self.store.estimate(*t)
+            parts.append((bound if rows is None else 3 - math.log10(1 + rows), names, t))  # counts, where the store has them, else the number of constants
         out: Rel | None = None
         while parts:
             have = set(out.reprs) if out else set()

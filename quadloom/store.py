@@ -55,6 +55,7 @@ class QuadStore:
     def __init__(self, quads: DataFrame, distinct: bool = True, short: bool = False, prefixes: dict[str, str] | None = None):
         self.quads = quads.select("g", "s", "p", "o")
         self.distinct, self.short = distinct, short
+        self.counts: dict[str, tuple[int, int, int]] = {}
         self.prefixes = {ns: name for name, ns in (NAMESPACES | (prefixes or {})).items()}
 
     def __str__(self) -> str:
@@ -67,9 +68,22 @@ class QuadStore:
                     return Term(IRI, f"{name}:{t.v[len(ns) :]}")
         return t
 
+    def analyse(self, limit: int = 100_000) -> QuadStore:
+        """The store with the counts of its predicates, by which queries order their patterns; the driver holds those of at most `limit` predicates."""
+        rows = self.statistics().orderBy(F.desc("n")).limit(limit).collect()
+        self.counts = {r["p"]: (r["n"], r["subjects"], r["objects"]) for r in rows}
+        return self
+
+    def estimate(self, s: Any, p: Any, o: Any) -> float | None:
+        """How many solutions a pattern has by the counts of its predicate, or None before `analyse`."""
+        if not self.counts:
+            return None
+        n, subjects, objects = self.counts.get(self.const(p).v, (1, 1, 1)) if isinstance(p, Term) else [sum(x) for x in zip(*self.counts.values(), strict=True)]
+        return n / (max(1, subjects) if isinstance(s, Term) else 1) / (max(1, objects) if isinstance(o, Term) else 1)
+
     def with_quads(self, quads: DataFrame, distinct: bool = True) -> QuadStore:
         out = QuadStore(quads, distinct, self.short)
-        out.prefixes = self.prefixes
+        out.prefixes, out.counts = self.prefixes, self.counts
         return out
 
     def _graph(self, active: Active) -> DataFrame:
@@ -225,6 +239,9 @@ class MappedStore:
     def const(self, t: Term) -> Term:
         return t
 
+    def estimate(self, s: Any, p: Any, o: Any) -> float | None:
+        return None
+
     def _has(self, t: TableMap, p: str, o: Any) -> bool:
         if p == TYPE:
             return isinstance(o, Var) or (o.k == IRI and o.v == t.cls)

@@ -255,3 +255,15 @@ def test_distinct_ordered_by_what_is_not_projected(engine):
     assert rows("?n ?s") == "dcab" and rows("DESC(?n) DESC(?s)") == "abcd" and rows("?m DESC(?n)") == "dabc"
     df = e.select("SELECT DISTINCT ?s { ?s :q ?m OPTIONAL { ?s :p ?n } } ORDER BY ?n")
     assert "SinglePartition" not in df._jdf.queryExecution().toString()
+
+
+def test_patterns_are_ordered_by_counts(engine):
+    from quadloom.plans.algebra import Var
+
+    e = engine(" ".join(f":s{i} :many :x{i} ; :few :y ." if i < 3 else f":s{i} :many :x{i} ." for i in range(40)))
+    assert e.store.estimate(Var("s"), Term(1, "http://e/many"), Var("o")) is None
+    e.store.analyse()
+    assert e.store.estimate(Var("s"), Term(1, "http://e/many"), Var("o")) == 40 and e.store.estimate(Var("s"), Term(1, "http://e/few"), Term(1, "http://e/y")) == 3
+    seen, scan = [], e.store.scan
+    e.store.scan = lambda s, p, o, a: (seen.append(p.v[-4:]), scan(s, p, o, a))[1]
+    assert len(e.select("SELECT * { ?s :many ?o . ?s :few ?p }").collect()) == 3 and seen == ["/few", "many"]
