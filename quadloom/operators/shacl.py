@@ -80,6 +80,20 @@ class Shapes:
             self.cache[t] = Shape(t, props, self.path(path[0]) if path else None, (path[0].v if path[0].k == IRI else _path_text(self.path(path[0]))) if path else None)
         return self.cache[t]
 
+    def recursive(self, t: Term) -> bool:
+        """Whether a shape refers to itself through others."""
+        seen: set[Term] = set()
+        todo = [t]
+        while todo:
+            props = self.by.get(todo.pop(), {})
+            refs = [x for n in ("node", "not", "property", "qualifiedValueShape") for x in props.get(sh[n], [])]
+            refs += [x for n in ("and", "or", "xone") for head in props.get(sh[n], []) for x in self.list_(head)]
+            if t in refs:
+                return True
+            todo += [x for x in refs if x not in seen]
+            seen |= set(refs)
+        return False
+
     def roots(self) -> list[Shape]:
         """Shapes with a target."""
         targets = [sh[x] for x in ("targetNode", "targetClass", "targetSubjectsOf", "targetObjectsOf")]
@@ -113,6 +127,7 @@ class Validator:
         self.shapes = Shapes(shapes)
         self._classes: DataFrame | None = None
         self.active: set[Term] = set()
+        self.assumed: dict[Term, DataFrame] = {}  # the nodes known, or in a round assumed, to fail a recursive shape
 
     def instances(self, cls: str) -> DataFrame:
         """(t): the instances of a class and of its subclasses."""
@@ -141,14 +156,18 @@ class Validator:
 
     def failing(self, t: Term, nodes: DataFrame) -> DataFrame:
         """(t): those of the nodes that do not conform to a shape."""
+        if t in self.assumed:
+            return nodes.join(self.assumed[t].withColumnRenamed("t", "f"), F.col("t") == F.col("f"), "left_semi")
         return self.check(self.shapes.shape(t), nodes).select(F.col("focus").alias("t")).distinct()
 
     def check(self, s: Shape, focus: DataFrame) -> DataFrame:
         """The results of a shape for focus nodes (t)."""
         if any(x.v in ("true", "1") for x in s.get("deactivated")):
             return self.empty()
-        if s.node in self.active:
-            raise QueryError(f"recursive shape {s.node.nt()}")
+        if s.node in self.active and s.node not in self.assumed:
+            raise QueryError(f"a shape that has itself as a property {s.node.nt()}")
+        if s.node not in self.assumed and s.node not in self.active and self.shapes.recursive(s.node):
+            self._settle(s)
         self.active.add(s.node)
         try:
             focus = focus.select("t").distinct()
@@ -162,6 +181,19 @@ class Validator:
             self.active.discard(s.node)
         return reduce(DataFrame.unionByName, parts) if parts else self.empty()
 
+    def _settle(self, s: Shape) -> None:
+        """Find the nodes that fail a recursive shape: none at first, then those that fail if the ones found do, until no more come. Nodes that refer to
+        each other in a circle conform if nothing else is against it."""
+        everything = cut(self.data.select(F.explode(F.array("s", "o")).alias("t")).distinct())
+        self.assumed[s.node], n = everything.limit(0), 0
+        while True:
+            found = cut(self.check(s, everything).select(F.col("focus").alias("t")).distinct())
+            if not self.assumed[s.node].join(found, "t", "left_anti").isEmpty():
+                raise QueryError(f"a shape that depends on its own negation {s.node.nt()}")
+            self.assumed[s.node], before = found, n
+            if (n := found.count()) == before:
+                return
+
     def _result(self, s: Shape, df: DataFrame, component: str, value: bool = True, path: Column | None = None) -> DataFrame:
         severity = s.one("severity")
         message = s.one("message")

@@ -19,6 +19,30 @@ def _name(tag: str) -> str:
     return tag[1:].replace("}", "", 1) if tag.startswith("{") else tag
 
 
+def _escaped(text: str, attribute: bool = False) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), ("\r", "&#xD;"), *((('"', "&quot;"), ("\t", "&#x9;"), ("\n", "&#xA;")) if attribute else ((">", "&gt;"),))):
+        text = text.replace(a, b)
+    return text
+
+
+def canonical_xml(e: ET.Element, prefixes: dict[str, str], shown: dict[str, str] | None = None) -> str:
+    """An element in exclusive canonical form: namespaces declared where they are first used, attributes in order, no empty-element tags."""
+    shown, used = shown or {}, {}
+
+    def qname(tag: str) -> tuple[str, str, str]:
+        uri, local = tag[1:].split("}", 1) if tag.startswith("{") else ("", tag)
+        prefix = prefixes.get(uri, "")
+        used[prefix] = uri
+        return uri, local, f"{prefix}:{local}" if prefix else local
+
+    name = qname(e.tag)[2]
+    attributes = sorted((*(qname(k) if k.startswith("{") else ("", k, k)), v) for k, v in e.attrib.items())
+    new = {p: u for p, u in used.items() if p != "xml" and shown.get(p, "") != u}
+    head = "".join(f' xmlns{":" if p else ""}{p}="{_escaped(u, True)}"' for p, u in sorted(new.items())) + "".join(f' {q}="{_escaped(v, True)}"' for _, _, q, v in attributes)
+    inner = _escaped(e.text or "") + "".join(canonical_xml(c, prefixes, shown | new) + _escaped(c.tail or "") for c in e)
+    return f"<{name}{head}>{inner}</{name}>"
+
+
 class RdfXmlParser:
     """Statements of one document; scope prefixes its blank node labels."""
 
@@ -26,8 +50,16 @@ class RdfXmlParser:
         self.base, self.scope, self.n, self.anon = base, scope, 0, unused_label(text)
         self.ids: set[str] = set()
         self.out: list[tuple[None, Term, Term, Term]] = []
+        self.prefixes: dict[str, str] = {XML: "xml"}
         try:
-            self.root = ET.fromstring(text)
+            reader = ET.XMLPullParser(["start-ns", "start"])
+            reader.feed(text)
+            reader.close()
+            events = list(reader.read_events())
+            self.root = next(x for kind, x in events if kind == "start")
+            for kind, x in events:
+                if kind == "start-ns":
+                    self.prefixes.setdefault(x[1], x[0])
         except ET.ParseError as e:
             raise ParseError(str(e), syntax="rdf/xml") from e
 
@@ -136,7 +168,7 @@ class RdfXmlParser:
                     self.add(c, _FIRST, item)
                     self.add(c, _REST, rest)
             else:
-                inner = (e.text or "") + "".join(ET.tostring(c, encoding="unicode") for c in e)
+                inner = _escaped(e.text or "") + "".join(canonical_xml(c, self.prefixes) + _escaped(c.tail or "") for c in e)
                 self._state(s, p, literal(inner, RDF + "XMLLiteral"), e, base)
             return
         children = list(e)

@@ -195,3 +195,12 @@ def test_store_api(spark, engine):
     twice = QuadStore(store.quads.unionByName(store.quads))
     assert twice.match().count() == 3 and Engine(spark, twice).sparql("SELECT * { ?s <http://e/p> ?o }").terms.count() == 2
     assert Namespace("http://e/").x == "http://e/x" and Namespace("http://e/")["y z"] == "http://e/y z" and Term(1, "http://e/x").nt() == "<http://e/x>"
+
+
+def test_xml_literals_are_canonical(spark):
+    from quadloom.sources.io import graph_of_text
+
+    doc = """<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/" xmlns:h="http://h/"><e:T r:about="http://e/a">
+<e:p r:parseType="Literal">x &lt; y <h:b z="1" h:k="2" a='"'/><i xmlns="http://i/"><j>&gt;</j></i><!-- c --></e:p></e:T></r:RDF>"""
+    got = [r["o"]["v"] for r in graph_of_text(spark, doc, "rdfxml").where("p = 'http://e/p'").collect()]
+    assert got == ['x &lt; y <h:b xmlns:h="http://h/" a="&quot;" z="1" h:k="2"></h:b><i xmlns="http://i/"><j>&gt;</j></i>']
