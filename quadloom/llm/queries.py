@@ -29,6 +29,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(labels, "literal_id", "lexical_form")
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "literals").where(F.length("lexical_form") < LABEL_CHARS)
+    return lookalike.lookalike_classes(labels, "literal_id", "lexical_form")
+
+
 def p6_labels(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "literals").where(F.length("lexical_form") < LABEL_CHARS)
     return labels.select("literal_id", lookalike.canonical_form(F.col("lexical_form")).alias("label"))
@@ -110,7 +115,7 @@ def p10_counts(spark: SparkSession, d: str) -> DataFrame:
     return fixed.agg(F.count_if(F.col("before").isNull()).alias("unknown"), F.count_if(F.size(F.array_except(plain("before"), plain("text"))) > 0).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_terms, p6_found, p6_labels, p7_found, p7_segments, p8_containers, p9_mixture, p9_shares, p10_found, p10_restored, p7_counts, p8_counts, p9_counts, p10_counts)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_terms, p6_found, p6_classes, p6_labels, p7_found, p7_segments, p8_containers, p9_mixture, p9_shares, p10_found, p10_restored, p7_counts, p8_counts, p9_counts, p10_counts)}
 
 _TERMS = """SELECT p AS predicate, o.v AS o_v, coalesce(o.lang, '') AS o_lang, count(*) AS statements, count(DISTINCT s.v) AS speeches,
 CASE WHEN count(DISTINCT s.v) < 3 THEN 'rare' WHEN count(DISTINCT s.v) > 0.2 * any_value(n) THEN 'common' END AS mark

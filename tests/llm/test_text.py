@@ -72,6 +72,18 @@ def test_languages_held_out(spark):
     assert all(0 <= s["confidence"] <= 1 for r in rows for s in r["segments"])
 
 
+def test_classes_hold_all_links(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, "", "a b", "a\u00a0b", "a\u200bb", "ab", "AB", "cafe\u0301", "café"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    pairs = [tuple(r) for r in lookalike.lookalike_pairs(df, "id", "t").collect()]
+    links = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i, _ in rows}
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in lookalike.lookalike_classes(df, "id", "t").collect()}
+    form = {i: lookalike.canonical_text(t) for i, t in rows if t is not None}
+    assert got == {i: (min(j for j in form if form[j] == form[i]), len(links[i])) for i in links if links[i]}
+    assert lookalike.lookalike_classes(df.limit(0), "id", "t").count() == 0
+
+
 def test_no_unstable_character_is_missed():
     for c in range(0x110000):
         if not 0xD800 <= c < 0xE000:
