@@ -231,3 +231,14 @@ def equal_instants(df: DataFrame, id_col: str, group: str, form: list[str]) -> D
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     on = (F.col(group) == F.col(f"__{group}")) & (F.col("ts_instant_us") == F.col("__ts_instant_us")) & (F.col("ts_sub_us") == F.col("__ts_sub_us"))
     return a.join(b, on & (F.col(id_col) < F.col(f"__{id_col}")) & ~same).select(F.col(id_col).alias(f"{id_col}_a"), F.col(f"__{id_col}").alias(f"{id_col}_b"))
+
+
+def instant_classes(df: DataFrame, id_col: str, group: str, form: list[str]) -> DataFrame:
+    """(id, class_id, n_links): the rows of equal_instants, each once, with the smallest id of its group at its instant and the number of its links, which
+    are the rows there with another form. Nothing grows with the square of a class."""
+    key = [group, "ts_instant_us", "ts_sub_us"]
+    rows = df.where((F.col("ts_status") == "resolved") & F.col(group).isNotNull()).select(F.col(id_col).alias("__id"), *key, F.struct(*form).alias("__form"))
+    forms = rows.groupBy(*key, "__form").agg(F.count(F.lit(1)).alias("own"), F.min("__id").alias("first"))
+    classes = forms.groupBy(*key).agg(F.sum("own").alias("n"), F.min("first").alias("class_id"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    links = forms.join(classes, key).select(*key, "__form", "class_id", (F.col("n") - F.col("own")).alias("n_links"))
+    return rows.join(links, [*key, "__form"]).select(F.col("__id").alias(id_col), "class_id", "n_links")

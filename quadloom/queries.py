@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quadloom.functions.xsd import LEXICAL
 from quadloom.operators.hotkeys import hot_key_report
 from quadloom.operators.quarantine import load_lines, reject_lines
-from quadloom.operators.timestamps import equal_instants, normalise_timestamps
+from quadloom.operators.timestamps import equal_instants, instant_classes, normalise_timestamps
 from quadloom.operators.wide import cast_failures, filled_cells, widen
 from quadloom.session import table
 
@@ -31,6 +31,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return equal_instants(_sitting_times(spark, d), "quad_id", "subject", ["lexical", "datatype"])
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return instant_classes(_sitting_times(spark, d), "quad_id", "subject", ["lexical", "datatype"])
+
+
 def p1_times(spark: SparkSession, d: str) -> DataFrame:
     return _sitting_times(spark, d).select("quad_id", "ts_status", F.timestamp_micros("ts_instant_us").cast("timestamp_ntz").alias("instant"))
 
@@ -95,7 +99,7 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("n") != 1).alias("twice"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_times, p2_found, p2_loaded, p3_found, p3_predicates, p5_found, p5_members, p5_failures, p1_counts, p2_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_times, p2_found, p2_loaded, p3_found, p3_predicates, p5_found, p5_members, p5_failures, p1_counts, p2_counts)}
 
 _DISTINCT = "count(distinct s.k || ' ' || s.v) AS subjects, count(distinct o) AS objects"
 _DELAY = "(epoch_us(loaded_at) - epoch_us(asserted_at))"

@@ -8,7 +8,7 @@ from zoneinfo import ZoneInfo
 
 import pytest
 
-from quadloom.operators.timestamps import equal_instants, normalise_timestamps
+from quadloom.operators.timestamps import equal_instants, instant_classes, normalise_timestamps
 
 SCHEMA = "id bigint, text string, zone string, `order` string"
 
@@ -102,3 +102,4 @@ def test_pairs(spark):
     df = normalise_timestamps(spark.createDataFrame(rows, "id bigint, s string, v string, dt string"), "v")
     got = {tuple(r) for r in equal_instants(df, "id", "s", ["v", "dt"]).collect()}
     assert got == {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)}
+    assert sorted(tuple(r) for r in instant_classes(df, "id", "s", ["v", "dt"]).collect()) == [(1, 1, 2), (2, 1, 3), (3, 1, 3), (4, 1, 2)]
