@@ -10,7 +10,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from quadloom.engine import Solutions, as_solutions
 from quadloom.errors import EndpointError, QueryError

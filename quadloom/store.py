@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quadloom.functions.builtins import triple_part
 from quadloom.plans.algebra import TriplePattern, Var
-from quadloom.plans.rel import IRI_REPR, TERM_REPR, C, Rel, Repr
+from quadloom.plans.rel import IRI_REPR, TERM_REPR, Rel, Repr
 from quadloom.terms import IRI, LITERAL, NAMESPACES, RDF, TRIPLE, Term, term_col
 
 TYPE = RDF + "type"
