@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from quadloom.errors import QueryError
-from quadloom.functions.values import DEC, INTEGERS, INTEGER_DT, NATIVE, RANK, Val, as_decimal, as_double, compare, const, decimal_lexical, double_lexical, is_numeric, number_term, rank_of
+from quadloom.functions.values import DEC, EXACT_DT, INTEGER_DT, INTEGERS, NATIVE, RANK, as_decimal, as_double, compare, const, decimal_lexical, double_lexical, is_numeric, lexical, number_term, rank_of, Val
 from quadloom.functions.xsd import LEXICAL, collapse
 from quadloom.plans.iris import resolve
 from quadloom.terms import BNODE, IRI, LITERAL, TRIPLE, XSD, Term, full_dt, nt_text, short_dt, term_col
@@ -242,12 +242,35 @@ def triple_part(t: Column, i: int) -> Column:
     return F.when(t["k"] == TRIPLE, decode_term(F.regexp_extract(t["v"], pattern, i + 1)))
 
 
+def _string_cast(v: Val) -> Column:
+    """The canonical text of a value: numbers without needless digits, doubles with an exponent only if very large or small."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+    def double(x: Column) -> Column:
+        usual = (F.abs(x) >= 1e-6) & (F.abs(x) < 1e6)
+        return F.when(x == 0, "0").when(usual, plain(x.cast("decimal(38,16)").cast("string"))).otherwise(double_lexical(x))
+
+    if v.kind in ("dbl", "flt"):
+        return double(v.col.cast("double"))
+    if v.kind == "dec":
+        return plain(lexical(v))
+    if v.kind != "term":
+        return str_of(v)
+    t, x = v.col, as_double(v.col)
+    return (
+        F.when((t["dt"] == "xsd:boolean") & t["v"].isin("true", "1", "false", "0"), F.when(t["v"].isin("true", "1"), "true").otherwise("false"))
+        .when(t["dt"].isin("xsd:double", "xsd:float") & x.isNotNull(), double(x))
+        .when(t["dt"].isin(*EXACT_DT) & x.isNotNull(), plain(as_decimal(t).cast("string")))
+        .otherwise(str_of(v))
+    )
+
+
 def cast(dt: str, v: Val) -> Val:
     """A constructor function of an XSD datatype (short name)."""
     name = dt.removeprefix("xsd:")
     text = collapse(str_of(v)) if v.kind != "term" else collapse(F.when(v.col["k"].isin(IRI, LITERAL), v.col["v"]))
     if name == "string":
-        return _plain(str_of(v))
+        return _plain(_string_cast(v))
     if name in INTEGERS:
         if v.kind == "int":
             return v
@@ -319,9 +342,9 @@ def call(name: str, args: list[Val], consts: list[str | None], base: str | None
             key = [row_key if row_key is not None else F.uuid()] + ([string_value(a)] if a else [F.lit(name)])
             return Val("term", term_col(BNODE, F.sha1(F.concat_ws("|", *key))))
         case "STRLANG":
-            return Val("term", term_col(LITERAL, _simple(a), F.lit("rdf:langString"), F.lower(_simple(b))))
+            return Val("term", term_col(LITERAL, F.when(_simple(b) != "", _simple(a)), F.lit("rdf:langString"), F.lower(_simple(b))))
         case "STRLANGDIR":
-            return Val("term", term_col(LITERAL, F.when(_simple(args[2]).isin("ltr", "rtl"), _simple(a)), F.lit("rdf:dirLangString"), F.lower(_simple(b)), _simple(args[2])))
+            return Val("term", term_col(LITERAL, F.when(_simple(args[2]).isin("ltr", "rtl") & (_simple(b) != ""), _simple(a)), F.lit("rdf:dirLangString"), F.lower(_simple(b)), _simple(args[2])))
         case "STRDT":
             dt = str_of(b)
             short = F.when(dt.startswith(XSD), F.concat(F.lit("xsd:"), F.substr(dt, F.lit(len(XSD) + 1)))).otherwise(dt)

@@ -200,7 +200,8 @@ def _dynamic(op: str, a: Column, b: Column) -> Column:
     truth = lambda t: F.when(t["v"].isin("true", "1"), 1).when(t["v"].isin("false", "0"), 0)
     ta, tb = instant(a["v"]), instant(b["v"])
     moment = F.when(has_zone(a["v"]) == has_zone(b["v"]), _cmp(op, ta, tb)).when(ta != tb, _cmp(op, ta, tb))
-    day = lambda t: F.when(t["v"].rlike(LEXICAL["date"]), F.regexp_extract(t["v"], r"^(-?\d+-\d\d-\d\d)", 1))
+    day = lambda t: F.when(t["v"].rlike(LEXICAL["date"]), F.regexp_replace(t["v"], r"(?:Z|[+-]\d\d:\d\d)$", ""))
+    dates = F.when(has_zone(a["v"]) == has_zone(b["v"]), _cmp(op, day(a), day(b))).when(day(a) != day(b), _cmp(op, day(a), day(b)))  # one day with and without a zone: undecided
     lits = (a["k"] == LITERAL) & (b["k"] == LITERAL)
     out = (
         F.when(~lits, F.lit(None).cast("boolean"))
@@ -208,7 +209,7 @@ def _dynamic(op: str, a: Column, b: Column) -> Column:
         .when(dt("xsd:string"), _cmp(op, a["v"], b["v"]))
         .when(dt("xsd:boolean"), _cmp(op, truth(a), truth(b)))
         .when(dt("xsd:dateTime", "xsd:dateTimeStamp"), moment)
-        .when(dt("xsd:date"), _cmp(op, day(a), day(b)))
+        .when(dt("xsd:date"), dates)
     )
     if op not in ("=", "!="):
         return out.when(dt("rdf:langString") & (a["lang"] == b["lang"]), _cmp(op, a["v"], b["v"]))
@@ -219,7 +220,8 @@ def _dynamic(op: str, a: Column, b: Column) -> Column:
         .when(same, F.when(x.isNotNull() & F.isnan(x), F.lit(not pos)).otherwise(F.lit(pos)))
         .when(~lits, F.lit(not pos))
         .when(out.isNotNull(), out)
-        .when(_known(a) & _known(b) & ~dt("xsd:dateTime"), F.lit(not pos))
+        .when((a["dt"] == "rdf:langString") | (b["dt"] == "rdf:langString"), F.lit(not pos))  # a tagged literal equals only itself
+        .when(_known(a) & _known(b) & ~dt("xsd:dateTime") & ~dt("xsd:date"), F.lit(not pos))
     )
 
 
@@ -235,7 +237,7 @@ def ebv(v: Val) -> Column:
         t = v.col
         n = as_double(t)
         return (
-            F.when(t["dt"] == "xsd:boolean", t["v"].isin("true", "1"))
+            F.when(t["dt"] == "xsd:boolean", F.when(t["v"].isin("true", "1"), True).when(t["v"].isin("false", "0"), False))
             .when(t["dt"] == "xsd:string", t["v"] != "")
             .when(n.isNotNull(), (n != 0) & ~F.isnan(n))
             .when(t["dt"].isin(*NUMERIC_DT), F.lit(False))
@@ -263,7 +265,8 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
         return Val("dbl", F.lit(None).cast("double"))
     parts = lambda t: [rank_of(t), as_decimal(t), as_double(t)]
     names = [f"{n}{i}" for i in "ab" for n in ("rank", "dec", "dbl")]
-    both = F.struct(*[c.alias(n) for n, c in zip(names, parts(a.term()) + parts(b.term()), strict=True)])
+    terms = F.struct(a.term().alias("a"), b.term().alias("b"))  # bound once: a sum of sums would double with each step
+    both = let(terms, lambda t: F.struct(*[c.alias(n) for n, c in zip(names, parts(t["a"]) + parts(t["b"]), strict=True)]))
 
     def compute(x: Column) -> Column:
         rank = F.when(x["ranka"].isNotNull() & x["rankb"].isNotNull(), F.greatest(x["ranka"], x["rankb"], F.lit(1 if op == "/" else 0)))

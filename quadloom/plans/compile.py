@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import fields, is_dataclass
+from dataclasses import fields, is_dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -119,8 +119,8 @@ class Compiler:
             return self.filter(self.pattern(n.inner, active), n.expr, active)
         if isinstance(n, Union):
             return R.union(self.pattern(n.left, active), self.pattern(n.right, active))
-        if isinstance(n, Minus):
-            return R.minus(self.pattern(n.left, active), self.pattern(n.right, active))
+        if isinstance(n, Minus):  # the variable of a GRAPH around is no shared one
+            return R.minus(self.pattern(n.left, active), self.pattern(n.right, active), frozenset({active.name}) if active.kind == "var" else frozenset())
         if isinstance(n, Graph):
             return self.graph(n, active)
         if isinstance(n, Extend):
@@ -150,15 +150,27 @@ class Compiler:
 
     def graph(self, n: Graph, active: Active) -> Rel:
         if isinstance(n.name, Term):
+            if isinstance(n.inner, Unit):  # one solution if there is such a graph
+                there = self.store.quads.where(F.col("g.v") == self.store.const(n.name).v).limit(1)
+                return Rel(there.select(F.lit(1).alias("?unit")), {})
             return self.pattern(n.inner, Active("iri", n.name.v))
-        inner = Active("var", n.name.name)
+        name = n.name.name
         if isinstance(n.inner, Unit):
-            names = self.store.quads.where("g is not null").select(F.col("g").alias(n.name.name)).distinct()
-            return Rel(names, {n.name.name: TERM_REPR})
-        out = self.pattern(n.inner, inner)
-        if n.name.name not in out.reprs:
-            names = self.store.quads.where("g is not null").select(F.col("g").alias(n.name.name)).distinct()
-            out = R.join(out, Rel(names, {n.name.name: TERM_REPR}))
+            names = self.store.quads.where("g is not null").select(F.col("g").alias(name)).distinct()
+            return Rel(names, {name: TERM_REPR})
+        if name in set(named(n.inner)):  # within the pattern it is a variable like others, which must agree with the graph in the end
+            self.fresh += 1
+            own = f"?graph{self.fresh}"
+            out = self.graph(Graph(Var(own), n.inner), active)
+            if name in out.reprs:
+                out = out.as_terms([name])
+                out = Rel(out.df.where(C(name).isNull() | (C(name) == C(own))), out.reprs, out.maybe)
+            df = out.df.withColumn(name, C(own)).drop(own)
+            return Rel(df, {v: r for v, r in out.reprs.items() if v != own} | {name: TERM_REPR}, out.maybe - {name, own})
+        out = self.pattern(n.inner, Active("var", name))
+        if name not in out.reprs:
+            names = self.store.quads.where("g is not null").select(F.col("g").alias(name)).distinct()
+            out = R.join(out, Rel(names, {name: TERM_REPR}))
         return out
 
     def bgp(self, triples: list[tuple], active: Active) -> Rel:
@@ -415,6 +427,8 @@ class Compiler:
             c = ebv(vals[0])
             return self._merge(vals[1:], lambda x: F.when(c, x[0]).when(~c, x[1]))
         if name == "COALESCE":
+            if not vals:
+                return Val("term", F.lit(None).cast(TERM))
             return self._merge(vals, lambda x: F.coalesce(*x))
         consts = [a.v if isinstance(a, Term) and a.k == LITERAL and a.dt == "xsd:string" else None for a in args]
         if name == "DATATYPE" and getattr(self.store, "short", False):
@@ -550,6 +564,9 @@ class Compiler:
     def modify(self, q: Query, r: Rel, active: Active) -> Rel:
         grouped = q.group is not None or bool(q.having) or any(has_aggregate(e) for _, e in q.project or [] if e is not None) or any(has_aggregate(e) for e, _ in q.order)
         values, names = q.values, None
+        graph = active.name if active.kind == "var" and active.name in r.reprs else None  # a query within GRAPH ?g has its solutions for each graph
+        if graph and grouped and graph not in [g for g, _ in q.group or []]:
+            q = replace(q, group=[*(q.group or []), (graph, Var(graph))])
         if q.project is None:
             names = sorted(v for v in r.vars if not v.startswith("?"))
             if values is not None:
@@ -564,6 +581,7 @@ class Compiler:
             elif n not in r.reprs:
                 r = Rel(r.df.withColumn(n, F.lit(None).cast(TERM)), r.reprs | {n: TERM_REPR}, r.maybe | {n})
         names = names if names is not None else [n for n, _ in q.project]
+        names += [graph] if graph and graph not in names else []
         keys: list[tuple[Column, bool]] = []
         for e, up in q.order:
             r, v = self.value_in(e, r, active)

@@ -443,7 +443,7 @@ class JsonLdParser:
     def list_(self, items: list, k: str, ctx: Context, g: Term | None) -> Term:
         terms = [o for x in items for o in ([self.list_(x, k, ctx, g)] if isinstance(x, list) else self.values(x, k, ctx, g))]
         cells = [self.fresh() for _ in terms]
-        for c, t, rest in zip(cells, terms, [*cells[1:], _NIL], strict=True):
+        for c, t, rest in zip(cells, terms, [*cells[1:], _NIL], strict=False):
             self.add(g, c, _FIRST, t)
             self.add(g, c, _REST, rest)
         return cells[0] if cells else _NIL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
 from quadloom.errors import ParseError
@@ -15,6 +16,9 @@ _TYPE, _FIRST, _REST, _NIL, _SUBJECT, _PREDICATE, _OBJECT, _STATEMENT, _VALUE =
 _OWN_ATTRIBUTES = {f"{{{RDF}}}{x}" for x in ("about", "ID", "nodeID", "resource", "parseType", "datatype")} | {f"{{{XML}}}lang", f"{{{XML}}}base"}
 
 
+_NAME = re.compile(r"[^\W\d][\w.·-]*\Z")
+
+
 def _name(tag: str) -> str:
     return tag[1:].replace("}", "", 1) if tag.startswith("{") else tag
 
@@ -73,6 +77,12 @@ class RdfXmlParser:
         return self.out
 
     def _context(self, e: ET.Element, base: str | None, lang: str | None) -> tuple[str | None, str | None]:
+        for a in ("aboutEach", "aboutEachPrefix", "bagID"):
+            if e.get(f"{{{RDF}}}{a}") is not None:
+                raise ParseError(f"rdf:{a} is no longer part of the syntax", syntax="rdf/xml")
+        for a in ("ID", "nodeID"):
+            if (name := e.get(f"{{{RDF}}}{a}")) is not None and not _NAME.match(name):
+                raise ParseError(f"rdf:{a} {name!r} is no name", syntax="rdf/xml")
         if (b := e.get(f"{{{XML}}}base")) is not None:
             base = resolve(b, base).split("#")[0]
         if (new := e.get(f"{{{XML}}}lang")) is not None:
@@ -148,7 +158,7 @@ class RdfXmlParser:
         get = lambda x: e.get(f"{{{RDF}}}{x}")
         kind = get("parseType")
         if kind is not None:
-            if any(get(x) is not None for x in ("resource", "nodeID", "datatype")):
+            if any(get(x) is not None for x in ("resource", "nodeID", "datatype")) or any(a.startswith("{") and a not in _OWN_ATTRIBUTES for a in e.attrib):
                 raise ParseError("rdf:parseType with another attribute", syntax="rdf/xml")
             if kind == "Resource":
                 b = self.fresh()
@@ -164,7 +174,7 @@ class RdfXmlParser:
                 items = [self.node(child, base, lang) for child in e]
                 cells = [self.fresh() for _ in items]
                 self._state(s, p, cells[0] if cells else _NIL, e, base)
-                for c, item, rest in zip(cells, items, [*cells[1:], _NIL], strict=True):
+                for c, item, rest in zip(cells, items, [*cells[1:], _NIL], strict=False):
                     self.add(c, _FIRST, item)
                     self.add(c, _REST, rest)
             else:

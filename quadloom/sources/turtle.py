@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quadloom.errors import ParseError
 from quadloom.plans.iris import resolve
-from quadloom.plans.lexer import Token, tokens, unescape
+from quadloom.plans.lexer import Token, tokens, unescape, unescape_iri
 from quadloom.terms import BNODE, IRI, LITERAL, RDF, TRIPLE, Term, full_dt, literal, nt_text
 
 _FIRST, _REST, _NIL, _TYPE, _REIFIES = (Term(IRI, RDF + x) for x in ("first", "rest", "nil", "type", "reifies"))
@@ -77,7 +77,7 @@ class TurtleParser:
             self.base = self.iri_ref()
         elif word in ("VERSION", "@version"):
             self.i += 1
-            if self.tok.kind != "string":
+            if self.tok.kind != "string" or self.tok.text[:3] in ('"""', "'''"):
                 raise self.fail("expected a version")
             self.i += 1
         elif self.graphs and (word == "GRAPH" or self.is_op("{")):
@@ -121,7 +121,7 @@ class TurtleParser:
         if self.tok.kind != "iri":
             raise self.fail("expected an IRI")
         self.i += 1
-        return resolve(unescape(self.toks[self.i - 1].text[1:-1]), self.base)
+        return resolve(unescape_iri(self.toks[self.i - 1].text[1:-1]), self.base)
 
     def iri(self) -> Term:
         t = self.tok
@@ -224,7 +224,7 @@ class TurtleParser:
             while not self.op(")"):
                 items.append(self.node())
             cells = [self.fresh() for _ in items]
-            for c, item, rest in zip(cells, items, [*cells[1:], _NIL], strict=True):
+            for c, item, rest in zip(cells, items, [*cells[1:], _NIL], strict=False):
                 self.add(c, _FIRST, item)
                 self.add(c, _REST, rest)
             return cells[0] if cells else _NIL

@@ -267,3 +267,30 @@ def test_patterns_are_ordered_by_counts(engine):
     seen, scan = [], e.store.scan
     e.store.scan = lambda s, p, o, a: (seen.append(p.v[-4:]), scan(s, p, o, a))[1]
     assert len(e.select("SELECT * { ?s :many ?o . ?s :few ?p }").collect()) == 3 and seen == ["/few", "many"]
+
+
+def test_scopes_of_filters_and_graphs(engine):
+    e = engine(":a :t 1 ; :p 5 . :b :t 2 ; :p 6 . :g1 { :a :p :o . :g1 :p :o } :g2 { :c :p :g2 }")
+    pairs = lambda q: sorted((r["s"][-1], r["v"]) for r in e.select(q).collect())
+    assert pairs("SELECT ?s ?v { ?s :t ?t OPTIONAL { ?s :p ?v FILTER(?t = 1) } }") == [("a", "5"), ("b", None)]
+    assert pairs("SELECT ?s ?v { ?s :t ?t OPTIONAL { { ?s :p ?v FILTER(?t = 1) } } }") == [("a", None), ("b", None)]  # ?t is not in scope there
+    assert pairs("SELECT ?s ?v { ?s :t ?t OPTIONAL { ?s :p ?v FILTER EXISTS { ?s :t 1 } } }") == [("a", "5"), ("b", None)]
+    one = lambda q: sorted("".join(str(x)[-2:] for x in r) for r in e.select(q).collect())
+    assert one("SELECT ?g { GRAPH ?g { ?g :p ?o } }") == ["g1"] and one("SELECT ?g ?s { GRAPH ?g { ?s ?p ?o OPTIONAL { ?s ?p ?g } } }") == ["g2/c"]
+    assert one("SELECT ?s { GRAPH ?g { ?s :p :o MINUS { ?b :p :o } } }") == ["/a", "g1"]
+    assert one("SELECT ?g ?s { GRAPH ?g { SELECT ?s { ?s ?p ?g } } }") == ["g1/a", "g1g1", "g2/c"]
+    assert sorted((r["g"][-2:], r["n"]) for r in e.select("SELECT ?g ?n { GRAPH ?g { SELECT (COUNT(*) AS ?n) { ?s :p ?o } } }").collect()) == [("g1", 2), ("g2", 1)]
+    assert e.sparql("ASK { GRAPH :g1 {} }") is True and e.sparql("ASK { GRAPH :g9 {} }") is False
+
+
+@pytest.mark.parametrize(
+    ("expr", "want"),
+    [
+        ("+1 + -1 + +2.0 + -2.0 + +3e0 + -3e0 = 0", "true"), ("'2006-08-23Z'^^xsd:date = '2006-08-23'^^xsd:date", None), ("'2006-08-23Z'^^xsd:date = '2006-08-24'^^xsd:date", "false"),
+        ("'a'@en != 'a'^^:unknown", "true"), ("'a'^^:unknown != 'b'^^:unknown", None), ("COALESCE()", None), ("STR(STRLANG('a', ''))", None), ("!!'z'^^xsd:boolean", None),
+        ("xsd:string('0'^^xsd:boolean)", "false"), ("xsd:string(1.50)", "1.5"), ("xsd:string(2.0)", "2"), ("xsd:string(0e1)", "0"), ("xsd:string('1E3'^^xsd:float)", "1000"), ("xsd:string(1e9)", "1.0E9"), ("xsd:string('007'^^xsd:int)", "7"),
+    ],
+)
+def test_values_of_expressions(engine, expr, want):
+    r = engine(":a :p 1 .").sparql(f"SELECT (({expr}) AS ?x) {{ :a :p 1 }}").terms.first()["x"]
+    assert (r and r["v"]) == want

@@ -7,11 +7,9 @@ import json
 
 import pytest
 
-from quadloom.errors import EndpointError
-
 from quadloom.engine import Engine
-from quadloom.errors import GraphError, ParseError
-from quadloom.operators.graphs import isomorphic
+from quadloom.errors import EndpointError, GraphError, ParseError
+from quadloom.operators.graphs import isomorphic, isomorphic_datasets
 from quadloom.sources.io import graph_of_text, parse_text, read_graph, read_store, write_graph
 from quadloom.sources.remote import RemoteGraph, bind_join, remote_select
 from quadloom.sources.results import read_json, read_solutions, write_results, write_results_dir
@@ -204,3 +202,31 @@ def test_xml_literals_are_canonical(spark):
 <e:p r:parseType="Literal">x &lt; y <h:b z="1" h:k="2" a='"'/><i xmlns="http://i/"><j>&gt;</j></i><!-- c --></e:p></e:T></r:RDF>"""
     got = [r["o"]["v"] for r in graph_of_text(spark, doc, "rdfxml").where("p = 'http://e/p'").collect()]
     assert got == ['x &lt; y <h:b xmlns:h="http://h/" a="&quot;" z="1" h:k="2"></h:b><i xmlns="http://i/"><j>&gt;</j></i>']
+
+
+def test_directions_and_contexts_of_jsonld():
+    from quadloom.sources.jsonld import I18N, compact_iris, to_jsonld
+
+    s, b = Term(1, "http://e/s"), Term(0, "b")
+    rdf = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    typed = [(None, s, "http://e/p", Term(2, "x", f"{I18N}ar-EG_rtl"))]
+    want = [{"@id": "http://e/s", "http://e/p": [{"@value": "x", "@language": "ar-EG", "@direction": "rtl"}]}]
+    assert to_jsonld(typed, direction="i18n-datatype") == want and "@type" in to_jsonld(typed)[0]["http://e/p"][0]
+    node = [(None, s, "http://e/p", b), (None, b, f"{rdf}value", literal("x")), (None, b, f"{rdf}language", literal("ar-EG")), (None, b, f"{rdf}direction", literal("rtl"))]
+    assert to_jsonld(node, direction="compound-literal") == want and len(to_jsonld(node)) == 2
+    got = compact_iris([{"@id": "http://e/s", "@type": ["http://v/T"], "http://e/p": [{"@value": "x"}, {"@id": "http://e/o"}], "http://v/q": [{"@value": "y"}]}], {"e": "http://e/", "@vocab": "http://v/", "q": "http://v/q"})
+    assert got == {"@context": {"e": "http://e/", "@vocab": "http://v/", "q": "http://v/q"}, "@graph": [{"@id": "e:s", "@type": "T", "e:p": ["x", {"@id": "e:o"}], "q": "y"}]}
+
+
+def test_documents_by_partition(spark, tmp_path):
+    from quadloom.sources.io import graph_of_text, read_graph, write_parts
+
+    df = graph_of_text(spark, '@prefix : <http://e/> . :a :p ( 1 "x"@en ) ; :q [ :r _:b ] . _:b :s () . :g { :a :p 2.5 }', "trig").repartition(3)
+    for fmt in ("trig", "jsonld", "nquads"):
+        write_parts(df, str(tmp_path / fmt), fmt, {"": "http://e/"})
+        back = read_graph(spark, str(tmp_path / fmt), fmt, shared_labels=True)
+        assert back.count() == df.count() and isomorphic_datasets(back, df), fmt
+    with pytest.raises(GraphError):
+        write_parts(df, str(tmp_path / "t"), "turtle")
+    write_parts(df.limit(0), str(tmp_path / "none"), "turtle")
+    assert read_graph(spark, str(tmp_path / "none"), "turtle").count() == 0
