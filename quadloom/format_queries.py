@@ -74,7 +74,7 @@ def ntriples_round_trip(spark, d):
 def nquads_round_trip(spark, d):
     path = scratch(spark, "nq")
     write_graph(table(spark, d, "quads"), path, "application/n-quads")
-    return _by(read_store(spark, path, "nq").quads, "g.v")
+    return _by(read_store(spark, path, "nq", shared_labels=True).quads, "g.v")
 
 
 @register(_CUSTOMER_ROWS)

@@ -52,7 +52,7 @@ def read_graph(spark: SparkSession, path: str, format: str | None = None, base:
     """(g, s, p, o) of all files under path; blank nodes are scoped by document, or all together with shared_labels, and statements are a set within each."""
     fmt = format_name(format, path)
     if fmt in LINES:
-        return read_lines(spark, path, fmt == "nquads", faults).distinct()
+        return read_lines(spark, path, fmt == "nquads", faults, shared_labels).distinct()
     ship_code(spark)
     docs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     docs = docs.withColumn("scope", F.lit("") if shared_labels else F.concat(F.lit("d"), F.hex(F.xxhash64("path")), F.lit("_")))

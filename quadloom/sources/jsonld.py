@@ -6,6 +6,7 @@ Contexts may be inline, or named by IRI and found through `contexts` (a dict or
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
@@ -50,6 +51,12 @@ class Context:
     previous: Context | None = None
 
 
+_ABSOLUTE = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]*|_):")
+_NO_IRI = re.compile(r"[\x00-\x20<>\"{}|^`\\]")
+_LIKE_KEYWORD = re.compile(r"@[A-Za-z]+\Z")
+_DEFINITION = {"@id", "@reverse", "@container", "@context", "@direction", "@index", "@language", "@nest", "@prefix", "@protected", "@type"}
+
+
 class JsonLdParser:
     """Quads of one document; scope prefixes its blank node labels; directions is None, 'i18n-datatype', 'compound-literal' or 'literal'."""
 
@@ -97,6 +104,8 @@ class JsonLdParser:
                 continue
             if not isinstance(c, dict):
                 raise _fail("a context that is no object")
+            if c.get("@version", 1.1) != Decimal("1.1") and c.get("@version", 1.1) != 1.1:
+                raise _fail("@version is not 1.1")
             new = replace(ctx, terms=dict(ctx.terms))
             if c.get("@propagate") is False or not propagate:
                 new.previous = ctx.previous or ctx
@@ -144,6 +153,18 @@ class JsonLdParser:
         d = {"@id": v} if isinstance(v, str) else v
         if not isinstance(d, dict):
             raise _fail(f"definition of {k!r}")
+        if set(d) - _DEFINITION:
+            raise _fail(f"{min(set(d) - _DEFINITION)!r} in the definition of {k!r}")
+        if k == "@type" and (not d or set(d) - {"@container", "@protected"} or d.get("@container", "@set") not in ("@set", ["@set"])):
+            raise _fail("definition of @type")
+        if isinstance(d.get("@id"), str) and d["@id"] not in _KEYWORDS and _LIKE_KEYWORD.match(d["@id"]) or isinstance(d.get("@reverse"), str) and _LIKE_KEYWORD.match(d["@reverse"]):
+            ctx.terms.pop(k, None)  # looks like a keyword of a later version: no definition
+            done.add(k)
+            return
+        if "@reverse" in d and ({"@id", "@nest"} & set(d) or d.get("@container") not in (None, "@set", "@index", ["@set"], ["@index"])):
+            raise _fail(f"reverse property {k!r}")
+        if "@nest" in d and (not isinstance(d["@nest"], str) or (d["@nest"] in _KEYWORDS and d["@nest"] != "@nest")):
+            raise _fail(f"@nest of {k!r}")
         t = TermDef(None, protected=bool(d.get("@protected", protect)))
 
         def known(x: str) -> str | None:
@@ -170,7 +191,14 @@ class JsonLdParser:
             raise _fail(f"{k!r} has no IRI")
         if "@type" in d:
             t.type = d["@type"] if d["@type"] in ("@id", "@vocab", "@json", "@none") else known(d["@type"])
+            if t.type is None or not (t.type in ("@id", "@vocab", "@json", "@none") or _ABSOLUTE.match(t.type)):
+                raise _fail(f"type of {k!r}")
+        if t.iri == "@context":
+            raise _fail("@context has no other name")
         if "@container" in d:
+            boxes = d["@container"] if isinstance(d["@container"], list) else [d["@container"]]
+            if any(x not in ("@list", "@set", "@index", "@language", "@graph", "@id", "@type", None) for x in boxes) or ("@list" in boxes and len(boxes) > 1):
+                raise _fail(f"container of {k!r}")
             t.container = tuple(d["@container"]) if isinstance(d["@container"], list) else (d["@container"],) if d["@container"] else ()
         if "@language" in d:
             t.language = d["@language"].lower() if d["@language"] else None
@@ -204,7 +232,8 @@ class JsonLdParser:
             t = ctx.terms.get(head)
             if t is not None and t.iri and t.prefix:
                 return t.iri + rest
-            return x
+            if _ABSOLUTE.match(x):
+                return x
         if vocab and ctx.vocab is not None:
             return ctx.vocab + x
         return resolve(x, ctx.base) if relative else x
@@ -220,7 +249,7 @@ class JsonLdParser:
             return None
         if x.startswith("_:"):
             return Term(BNODE, f"{self.scope}{x[2:]}")
-        return Term(IRI, x) if ":" in x and not x.startswith("@") and " " not in x else None
+        return Term(IRI, x) if ":" in x and not x.startswith("@") and not _NO_IRI.search(x) else None
 
     def add(self, g: Term | None, s: Term | None, p: Term | None, o: Term | None) -> None:
         if s is not None and p is not None and o is not None and p.k == IRI:
@@ -245,8 +274,14 @@ class JsonLdParser:
                 typed = self.context(d.context, typed, propagate=False)
         outer, ctx = ctx, typed
         keys = {self.keyword(k, ctx): k for k in node if self.keyword(k, ctx)}
+        if "@set" in keys:  # its nodes stand by themselves
+            for x in node[keys["@set"]] if isinstance(node[keys["@set"]], list) else [node[keys["@set"]]]:
+                self.element(x, ctx, g)
         if "@value" in keys or "@list" in keys or "@set" in keys:
             return None
+        mapped = [kw for k in node if (kw := self.keyword(k, ctx)) and kw not in ("@type", "@included", "@nest")]
+        if len(set(mapped)) < len(mapped):
+            raise _fail("two keys for one keyword")
         name = id_
         if "@id" in keys:
             v = node[keys["@id"]]
@@ -270,9 +305,15 @@ class JsonLdParser:
                     self.element(x, ctx, s)
             elif kw == "@included":
                 for x in v if isinstance(v, list) else [v]:
+                    if not isinstance(x, dict) or self._has(x, ctx, "@value") or self._has(x, ctx, "@list"):
+                        raise _fail("@included is no node")
                     self.element(x, ctx, g)
             elif kw == "@reverse":
+                if not isinstance(v, dict):
+                    raise _fail("@reverse is no object")
                 for rk, rv in v.items():
+                    if self.keyword(rk, ctx):
+                        raise _fail("a keyword as a reverse property")
                     d = ctx.terms.get(rk)
                     p = self.ref(self.expand_iri(rk, ctx, vocab=True))
                     back = d is not None and d.reverse
@@ -281,6 +322,8 @@ class JsonLdParser:
                             self.add(g, *((s, p, o) if back else (o, p, s)))
             elif kw == "@nest":
                 for x in v if isinstance(v, list) else [v]:
+                    if not isinstance(x, dict) or self._has(x, ctx, "@value"):
+                        raise _fail("@nest is no node")
                     self.members(s, x, ctx, g)
             elif kw is None and k not in ("@context",):
                 d = ctx.terms.get(k)
@@ -311,6 +354,8 @@ class JsonLdParser:
             out = []
             for tag, xs in sorted(v.items()):
                 for x in xs if isinstance(xs, list) else [xs]:
+                    if x is not None and not isinstance(x, str):
+                        raise _fail("a language map holds texts")
                     if x is not None:
                         none = self.expand_iri(tag, ctx, vocab=True) == "@none"
                         out.append(self.text(x, None if none else tag, self.direction(d, ctx)))
@@ -322,13 +367,13 @@ class JsonLdParser:
                     n = self.expand_iri(name, ctx, relative=True)
                     gn = self.fresh() if self.expand_iri(name, ctx, vocab=True) == "@none" else self.ref(n)
                     for x in xs if isinstance(xs, list) else [xs]:
-                        self.element(x, ctx, gn)
+                        self.members(gn, x, ctx, g) if isinstance(x, dict) and self._has(x, ctx, "@graph") else self.element(x, ctx, gn)
                     out.append(gn)
                 return [x for x in out if x is not None]
             xs = [x for ys in (v.values() if "@index" in box and isinstance(v, dict) else [many]) for x in (ys if isinstance(ys, list) else [ys])]
             for x in xs:
                 gn = self.fresh()
-                if isinstance(x, dict) and self._has(x, ctx, "@graph"):
+                if "@index" in box and isinstance(x, dict) and self._has(x, ctx, "@graph"):
                     self.members(gn, x, ctx, g)
                 else:
                     self.element(x, ctx, gn)
@@ -370,6 +415,8 @@ class JsonLdParser:
         if isinstance(x, dict):
             inner = self.context(x["@context"], ctx) if "@context" in x else ctx
             keys = {self.keyword(n, inner): n for n in x if self.keyword(n, inner)}
+            if len(x) == 1 and set(keys) == {"@language"}:
+                return []
             if "@value" in keys:
                 t = self.value_object(x, keys, inner)
                 return [] if t is None else [t]
@@ -428,16 +475,21 @@ class JsonLdParser:
     def value_object(self, x: dict, keys: dict, ctx: Context) -> Term | None:
         v = x[keys["@value"]]
         kind = x[keys["@type"]] if "@type" in keys else None
-        if kind == "@json":
+        if kind == "@json" or (isinstance(kind, str) and self.expand_iri(kind, ctx, vocab=True) == "@json"):
             return self.json_literal(v)
         if v is None:
             return None
+        if isinstance(v, (list, dict)):
+            raise _fail("a value that is no scalar")
         if "@language" in keys or "@direction" in keys:
             if not isinstance(v, str) or kind is not None:
                 raise _fail("a language on something else than text")
             return self.text(v, x[keys["@language"]] if "@language" in keys else None, x[keys["@direction"]] if "@direction" in keys else None)
         if kind is not None:
-            return self.native(v, self.expand_iri(kind, ctx, vocab=True, relative=True))
+            if not isinstance(kind, str):
+                raise _fail("the type of a value")
+            dt = self.expand_iri(kind, ctx, vocab=True, relative=True)
+            return None if dt is None or _NO_IRI.search(dt) else self.native(v, dt)
         return literal(v) if isinstance(v, str) else self.native(v, None)
 
     def list_(self, items: list, k: str, ctx: Context, g: Term | None) -> Term:

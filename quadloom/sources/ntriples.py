@@ -38,11 +38,11 @@ def parse_lines(lines: DataFrame, line: str = "value", quads: bool = False, scop
     return rows.select(F.when(ok & named, term("g")).alias("g"), F.when(ok, term("s")).alias("s"), F.when(ok, let(F.col("p"), lambda r: Q.decode_term(r)["v"])).alias("p"), F.when(ok, term("o")).alias("o"), "fault", "line")
 
 
-def read_lines(spark: SparkSession, path: str, quads: bool = False, faults: str = "raise") -> DataFrame:
-    """(g, s, p, o) of .nt or .nq files. faults: 'raise' fails the query at the first faulty line, 'drop' leaves such lines out, 'keep' adds the columns fault and line."""
+def read_lines(spark: SparkSession, path: str, quads: bool = False, faults: str = "raise", shared_labels: bool = False) -> DataFrame:
+    """(g, s, p, o) of .nt or .nq files, whose blank nodes are scoped by file or, with shared_labels, all together. faults: 'raise' fails the query at the first faulty line, 'drop' leaves such lines out, 'keep' adds the columns fault and line."""
     lines = spark.read.text(path)
     named = lines.select("value", F.col("_metadata.file_path").alias("path"))
-    got = parse_lines(named, "value", quads, F.concat(F.lit("d"), F.hex(F.xxhash64("path"))))
+    got = parse_lines(named, "value", quads, F.lit("d") if shared_labels else F.concat(F.lit("d"), F.hex(F.xxhash64("path"))))
     if faults == "keep":
         return got
     if faults == "drop":

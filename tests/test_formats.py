@@ -230,3 +230,19 @@ def test_documents_by_partition(spark, tmp_path):
         write_parts(df, str(tmp_path / "t"), "turtle")
     write_parts(df.limit(0), str(tmp_path / "none"), "turtle")
     assert read_graph(spark, str(tmp_path / "none"), "turtle").count() == 0
+
+
+def test_jsonld_graphs_sets_and_refused_documents():
+    parse = lambda doc: sorted(str((*map(str, q),)) for q in parse_text(json.dumps(doc), "jsonld", "http://b/"))
+    ctx = {"@vocab": "http://v/", "g": {"@container": "@graph"}, "x": {"@id": "@later"}}
+    inner = parse({"@context": ctx, "@id": "http://b/s", "g": {"@id": "http://b/o", "@graph": [{"@id": "http://b/a", "p": 1}]}})
+    assert len(inner) == 2 and any("'<http://b/o>', '<http://b/a>', '<http://v/p>'" in q for q in inner)  # the graph o stands in a graph of its own
+    assert len(parse({"@context": ctx, "@graph": [{"@set": ["free", {"@id": "http://b/s", "p": []}, {"@id": "http://b/s", "p": "kept"}]}]})) == 1
+    got = parse({"@context": ctx, "@id": "http://b/s", "x": "1", "l": {"@list": []}, "q": {"@language": "en"}, "t": {"@value": "v", "@type": "http://e/a b"}, "r": {"@id": "#a:b"}})
+    assert [q.split("'")[5] for q in got] == ["<http://v/l>", "<http://v/r>", "<http://v/x>"] and "'<http://b/#a:b>'" in got[1]
+    for bad in (
+        {"@context": {"a": {"@id": "http://e/a", "@container": "@what"}}}, {"@context": {"a": {"@reverse": "http://e/a", "@id": "http://e/b"}}}, {"@context": {"a": "@context"}}, {"@context": {"a": {"@id": "http://e/a", "@type": "rel"}}},
+        {"@context": {"i": "@id"}, "i": "http://e/a", "@id": "http://e/b"}, {"http://e/p": {"@value": [1]}}, {"@reverse": "http://e/a"}, {"@context": {"@version": 1.2}}, {"@context": {"n": "@nest"}, "n": "text"}, {"@included": "text"},
+    ):
+        with pytest.raises(ParseError):
+            parse(bad)
