@@ -180,7 +180,9 @@ class JsonLdParser:
             t.iri = known(d["@id"])
             t.prefix = bool(d.get("@prefix", isinstance(v, str) and (t.iri or "")[-1:] in ":/?#[]@" or (t.iri or "").startswith("_:")))
         elif ":" in k[1:]:
-            t.iri = known(k)
+            t.iri, (head, rest) = known(k), k.split(":", 1)
+            if (whole := ctx.terms.get(head)) is not None and whole.iri and not rest.startswith("//"):
+                t.iri = whole.iri + rest  # here any term serves as a prefix
         elif "/" in k:
             t.iri = self.expand_iri(k, ctx, vocab=True, relative=True)
         elif k == "@type":
@@ -271,7 +273,7 @@ class JsonLdParser:
         for t in sorted(x for x in types if isinstance(x, str)):
             d = ctx.terms.get(t)
             if d is not None and d.context is not None:
-                typed = self.context(d.context, typed, propagate=False)
+                typed = self.context(d.context, typed, propagate=isinstance(d.context, dict) and d.context.get("@propagate") is True)
         outer, ctx = ctx, typed
         keys = {self.keyword(k, ctx): k for k in node if self.keyword(k, ctx)}
         if "@set" in keys:  # its nodes stand by themselves
@@ -324,7 +326,8 @@ class JsonLdParser:
                 for x in v if isinstance(v, list) else [v]:
                     if not isinstance(x, dict) or self._has(x, ctx, "@value"):
                         raise _fail("@nest is no node")
-                    self.members(s, x, ctx, g)
+                    d = ctx.terms.get(k)
+                    self.members(s, x, self.context(d.context, ctx, override=True) if d is not None and d.context is not None else ctx, g)
             elif kw is None and k not in ("@context",):
                 d = ctx.terms.get(k)
                 iri = self.expand_iri(k, ctx, vocab=True)
@@ -332,8 +335,9 @@ class JsonLdParser:
                     continue
                 p = self.ref(iri)
                 inner = ctx
-                if d is not None and d.context is not None:
-                    inner = self.context(d.context, ctx, override=True)
+                if d is not None and d.context is not None:  # it comes on top of what a node falls back to, not of what it leaves
+                    nodes = any(isinstance(x, dict) and not self._has(x, ctx, "@value") for x in (v if isinstance(v, list) else [v]))
+                    inner = self.context(d.context, ctx.previous if nodes and ctx.previous is not None else ctx, override=True)
                 if v is None:
                     continue
                 for o in self.property_values(v, k, d, inner, g):

@@ -246,3 +246,14 @@ def test_jsonld_graphs_sets_and_refused_documents():
     ):
         with pytest.raises(ParseError):
             parse(bad)
+
+
+def test_scoped_contexts_of_jsonld():
+    parse = lambda doc: sorted(" ".join(map(str, q[2:])) for q in parse_text(json.dumps(doc), "jsonld", "http://b/"))
+    own = {"@vocab": "http://v/", "T": {"@context": {"foo": {"@context": {"p": "http://v/foo-p"}}, "p": "http://v/t-p"}}}
+    got = parse({"@context": own, "@type": "T", "p": "1", "foo": {"p": "2"}, "bar": {"p": "3"}})
+    assert [x for x in got if '"' in x] == ['<http://v/foo-p> "2"', '<http://v/p> "3"', '<http://v/t-p> "1"']  # a type's context ends with its node, a property's does not
+    kept = {"@version": 1.1, "@vocab": "http://v/", "T": {"@context": {"@propagate": True, "p": "http://v/t-p"}}}
+    assert '<http://v/t-p> "3"' in parse({"@context": kept, "@type": "T", "bar": {"p": "3"}})
+    assert parse({"@context": {"@vocab": "http://v/", "n": {"@id": "@nest", "@context": {"@vocab": "http://n/"}}}, "n": {"p": "1"}}) == ['<http://n/p> "1"']
+    assert parse({"@context": {"i": {"@id": "http://e/i/"}, "i:by": {"@container": "@set"}}, "i:by": "x"}) == ['<http://e/i/by> "x"']
