@@ -606,8 +606,8 @@ class Compiler:
             df = df.limit(q.limit)
         return Rel(df, r.reprs, r.maybe)
 
-    def instantiate(self, template: list[tuple], r: Rel, with_graph: bool = False) -> DataFrame:
-        """The statements of a template for each solution: (g, s, p, o); illegal ones are left out; blank nodes are new for each solution."""
+    def instantiate(self, template: list[tuple], r: Rel, with_graph: bool = False, scope: str = "") -> DataFrame:
+        """The statements of a template for each solution: (g, s, p, o); illegal ones are left out; blank nodes are new for each solution and scope."""
         r = r.as_terms()
         df = r.df
         if any(isinstance(x, Term) and x.k == BNODE for t in template for x in t):
@@ -625,7 +625,7 @@ class Compiler:
                 s, p, o = one(x.s), one(x.p), one(x.o)
                 return term_col(TRIPLE, F.concat(F.lit("<<( "), nt_text(s), F.lit(" "), nt_text(p), F.lit(" "), nt_text(o), F.lit(" )>>")))
             if x.k == BNODE:
-                return term_col(BNODE, F.sha1(F.concat(C("?id"), F.lit(x.v))))
+                return term_col(BNODE, F.sha1(F.concat(C("?id"), F.lit(x.v + scope))))
             return self.store.const(x).col().cast(TERM)
 
         rows = []

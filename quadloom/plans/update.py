@@ -123,7 +123,7 @@ class Dataset:
         match op.op:
             case "insert_data" | "delete_data":
                 c = Compiler(self.spark, self.store)
-                quads = c.instantiate(a["quads"], c.unit(Active()), with_graph=True)
+                quads = c.instantiate(a["quads"], c.unit(Active()), with_graph=True, scope=f"@{self.version}")
                 (self.add if op.op == "insert_data" else self.remove)(quads)
             case "modify":
                 self._modify(a)
@@ -203,4 +203,4 @@ class Dataset:
             return [(graph if t[0] is None else t[0], *t[1:]) for t in template or []]
 
         gone = c.instantiate(named(a["delete"]), r, with_graph=True) if a["delete"] else None
-        self._change(gone, c.instantiate(named(a["insert"]), r, with_graph=True) if a["insert"] else None)
+        self._change(gone, c.instantiate(named(a["insert"]), r, with_graph=True, scope=f"@{self.version}") if a["insert"] else None)

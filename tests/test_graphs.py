@@ -283,3 +283,10 @@ def test_recursive_shapes(spark, graph):
     assert got == [("a", "b", "NodeConstraintComponent"), ("g", "a", "NodeConstraintComponent"), ("g", "g", "NodeConstraintComponent")]
     with pytest.raises(QueryError, match="negation"):
         shacl.validate_shapes(spark, data, graph(":S a sh:NodeShape ; sh:targetClass :P ; sh:not :S .")).count()
+
+
+def test_blank_nodes_of_two_operations_differ(spark, graph):
+    ds = Dataset(spark, graph(":a :p :o .").withColumn("g", F.lit(None).cast(TERM)))
+    insert = "INSERT { _:b <http://e/q> 1 } WHERE { ?x <http://e/p> ?y }"
+    ds.update(f"{insert} ; {insert}").update("INSERT DATA { _:b <http://e/q> 1 }").update("INSERT DATA { _:b <http://e/q> 1 }")
+    assert ds.quads.where("p = 'http://e/q'").select("s").distinct().count() == 4
