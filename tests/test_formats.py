@@ -232,6 +232,43 @@ def test_documents_by_partition(spark, tmp_path):
     assert read_graph(spark, str(tmp_path / "none"), "turtle").count() == 0
 
 
+@pytest.mark.parametrize("fmt", ["jsonld"])
+def test_documents_of_bounded_size(spark, tmp_path, fmt):
+    """One partition, with a hot subject, becomes documents that each hold a part, and all statements come back."""
+    from pyspark.sql import functions as F
+
+    from quadloom.sources.formats import DOCUMENT_ROWS
+    from quadloom.sources.io import read_graph, write_parts
+    from quadloom.terms import TERM, iri, term_col
+
+    n = 2 * DOCUMENT_ROWS + 10
+    i = F.col("id")
+    g = F.when(i % 3 > 0, term_col(1, F.concat(F.lit("http://e/g"), (i % 3).cast("string"))))
+    s = F.when(i < n // 2, iri("http://e/hot").col()).otherwise(term_col(0, F.concat(F.lit("b"), (i % 5000).cast("string"))))
+    df = spark.range(0, n, 1, 1).select(g.cast(TERM).alias("g"), s.cast(TERM).alias("s"), F.lit("http://e/p").alias("p"), term_col(2, F.concat(F.lit('\\"\n'), i.cast("string")), F.lit("xsd:string")).cast(TERM).alias("o"))
+    write_parts(df, str(tmp_path / "out"), fmt)
+    files = list((tmp_path / "out").glob("part-*"))
+    assert len(files) > 2 and max(f.read_text().count("http://e/p") for f in files) <= DOCUMENT_ROWS
+    back = read_graph(spark, str(tmp_path / "out"), fmt, shared_labels=True)
+    assert back.count() == n and back.exceptAll(df).isEmpty()
+
+
+@pytest.mark.parametrize("fmt", ["jsonld"])
+def test_documents_of_long_texts(fmt):
+    """Long texts fill a document before its statements do."""
+    from quadloom.sources.formats import DOCUMENT_CHARS
+    from quadloom.sources.jsonld import part_documents
+
+    long = ["x" * (DOCUMENT_CHARS // 4) + str(i) for i in range(9)]
+    if fmt == "jsonld":
+        docs = list(part_documents((None, None, 1, "http://e/s", "http://e/p", 2, x, "xsd:string", None, None) for x in long))
+    else:
+        from quadloom.sources.turtle import documents
+
+        docs = list(documents(((None, "<http://e/s>", True, "<http://e/p>", f'"{x}"') for x in long), ""))
+    assert len(docs) == 3 and {q[3].v for d in docs for q in parse_text(d, fmt, "http://b/")} == set(long)
+
+
 def test_jsonld_graphs_sets_and_refused_documents():
     parse = lambda doc: sorted(str((*map(str, q),)) for q in parse_text(json.dumps(doc), "jsonld", "http://b/"))
     ctx = {"@vocab": "http://v/", "g": {"@container": "@graph"}, "x": {"@id": "@later"}}
