@@ -232,7 +232,7 @@ def test_documents_by_partition(spark, tmp_path):
     assert read_graph(spark, str(tmp_path / "none"), "turtle").count() == 0
 
 
-@pytest.mark.parametrize("fmt", ["jsonld"])
+@pytest.mark.parametrize("fmt", ["jsonld", "trig"])
 def test_documents_of_bounded_size(spark, tmp_path, fmt):
     """One partition, with a hot subject, becomes documents that each hold a part, and all statements come back."""
     from pyspark.sql import functions as F
@@ -253,7 +253,7 @@ def test_documents_of_bounded_size(spark, tmp_path, fmt):
     assert back.count() == n and back.exceptAll(df).isEmpty()
 
 
-@pytest.mark.parametrize("fmt", ["jsonld"])
+@pytest.mark.parametrize("fmt", ["jsonld", "trig"])
 def test_documents_of_long_texts(fmt):
     """Long texts fill a document before its statements do."""
     from quadloom.sources.formats import DOCUMENT_CHARS
