@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -62,23 +64,30 @@ def deskolemize(triples: DataFrame, base: str = GENID) -> DataFrame:
     return triples.withColumns({"s": one(F.col("s")), "o": one(F.col("o"))})
 
 
-def _colours(triples: DataFrame, fixed: dict[str, str] | None = None) -> DataFrame:
-    """(v, c): a colour per blank node, refined by the colours around it until the number of colours no longer grows."""
+def _blank(c: str) -> Column:
+    return F.coalesce(F.col(f"{c}.k") == BNODE, F.lit(False))
+
+
+def _colours(rows: DataFrame, cols: tuple[str, ...], fixed: dict[str, str] | None = None) -> DataFrame:
+    """(v, c): a colour per blank node in cols, refined by the colours around it until the number of colours no longer grows."""
     start = F.lit("b")
     for label, c in (fixed or {}).items():
-        start = F.when(F.col("t.v") == label, c).otherwise(start)
-    colours = cut(blank_nodes(triples).select(F.col("t.v").alias("v"), F.sha2(start, 256).alias("c")))
+        start = F.when(F.col("v") == label, c).otherwise(start)
+    nodes = rows.select(F.explode(F.array(*[F.when(_blank(c), F.col(c)["v"]) for c in cols])).alias("v")).where("v is not null").distinct()
+    colours = cut(nodes.select("v", F.sha2(start, 256).alias("c")))
+    near = rows.where(reduce(or_, map(_blank, cols)))
     n = -1
 
-    def coloured(side: str, other: str) -> DataFrame:
-        mine, far = F.col(side), F.col(other)
-        c = colours.select(F.col("v").alias("fv"), F.col("c").alias("fc"))
-        rows = triples.where(mine["k"] == BNODE).join(c, (far["k"] == BNODE) & (far["v"] == F.col("fv")), "left")
-        what = F.when(far["k"] == BNODE, F.concat(F.lit("_:"), F.col("fc"), F.when(far["v"] == mine["v"], "!").otherwise(""))).otherwise(far.cast("string"))
-        return rows.select(mine["v"].alias("v"), F.sha2(F.concat_ws("|", F.lit(side), "p", what), 256).alias("sig"))
-
     while True:
-        around = coloured("s", "o").unionByName(coloured("o", "s"))
+        seen = near
+        for c in cols:
+            seen = seen.join(colours.select(F.col("v").alias(f"v{c}"), F.col("c").alias(f"c{c}")), _blank(c) & (F.col(c)["v"] == F.col(f"v{c}")), "left")
+
+        def signature(c: str) -> Column:
+            what = lambda x: F.when(_blank(x), F.concat(F.lit("_:"), F.col(f"c{x}"), F.when(F.col(x)["v"] == F.col(c)["v"], "!").otherwise(""))).otherwise(F.coalesce(F.col(x).cast("string"), F.lit("-")))
+            return F.struct(F.when(_blank(c), F.col(c)["v"]).alias("v"), F.sha2(F.concat_ws("|", F.lit(c), "p", *[what(x) for x in cols if x != c]), 256).alias("sig"))
+
+        around = seen.select(F.explode(F.array(*[signature(c) for c in cols])).alias("x")).select("x.v", "x.sig").where("v is not null")
         # a sum of hashes stands for the multiset of neighbours: it combines before the shuffle and holds no list
         num = lambda i: F.conv(F.substr("sig", F.lit(i), F.lit(12)), 16, 10).cast("decimal(20,0)")
         sums = around.groupBy("v").agg(*[F.sum(num(i)).alias(f"h{i}") for i in (1, 13, 25, 37)])
@@ -90,47 +99,60 @@ def _colours(triples: DataFrame, fixed: dict[str, str] | None = None) -> DataFra
 
 
 def isomorphic(a: DataFrame, b: DataFrame) -> bool:
-    """Equal up to a renaming of blank nodes: equal ground statements and equal colours; equal-coloured nodes are told apart one by one."""
-    a, b = cut(a.select("s", "p", "o").distinct()), cut(b.select("s", "p", "o").distinct())
-    if a.count() != b.count():
-        return False
-    ground = lambda g: g.where((F.col("s.k") != BNODE) & (F.col("o.k") != BNODE))
-    if not equal(ground(a), ground(b)):
-        return False
-    return _match(a, b, {}, {})
+    """Equal up to a renaming of blank nodes: equal ground statements and equal colours. Equal-coloured nodes that share no statement with another such node
+    can stand for each other; others are told apart one by one."""
+    return _isomorphic(a.select("s", "p", "o"), b.select("s", "p", "o"), ("s", "o"))
 
 
 def isomorphic_datasets(a: DataFrame, b: DataFrame) -> bool:
-    """isomorphic for (g, s, p, o), whose graph names may be blank nodes too: each quad is described by a node of its own."""
+    """isomorphic for (g, s, p, o), whose graph names may be blank nodes too."""
+    return _isomorphic(a.select("g", "s", "p", "o"), b.select("g", "s", "p", "o"), ("g", "s", "o"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
+
+
+def _isomorphic(a: DataFrame, b: DataFrame, cols: tuple[str, ...]) -> bool:
+    a, b = cut(a.distinct()), cut(b.distinct())
+    if a.count() != b.count():
+        return False
+    ground = lambda x: x.where(~reduce(or_, map(_blank, cols)))
+    return _same(ground(a), ground(b)) and _match(a, b, cols, {}, {})
 
-    def described(q: DataFrame) -> DataFrame:
-        own = term_col(BNODE, F.concat(F.lit("q"), F.sha1(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in "gspo"]))))
-        rows = [F.struct(own.cast(TERM).alias("s"), F.lit(f"q:{c}").alias("p"), (term_col(IRI, F.col(c)) if c == "p" else F.col(c)).cast(TERM).alias("o")) for c in "gspo"]
-        return q.select("g", "s", "p", "o").distinct().select(F.explode(F.array(*rows)).alias("x")).select("x.s", "x.p", "x.o").where("o is not null")
 
-    return isomorphic(described(a), described(b))
+def _numbered(rows: DataFrame, cols: tuple[str, ...], colours: DataFrame) -> DataFrame:
+    """colours, in which nodes of one colour that share no statement with a node of such a colour are numbered: all that is said of them is the same."""
+    tied = colours.join(colours.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "c").select("v")
+    shared = rows.select(F.array_distinct(F.filter(F.array(*[F.when(_blank(c), F.col(c)["v"]) for c in cols]), lambda v: v.isNotNull())).alias("vs")).where("size(vs) > 1").distinct()
+    linked = shared.select("vs", F.explode("vs").alias("v")).join(tied, "v").groupBy("vs").agg(F.collect_list("v").alias("x")).where("size(x) > 1").select(F.explode("x").alias("v")).distinct()  # a statement's nodes
+    flagged = colours.join(linked.withColumn("linked", F.lit(True)), "v", "left")
+    number = F.row_number().over(W.partitionBy("c", "linked").orderBy("v"))
+    return cut(flagged.select("v", F.when(F.col("linked"), F.col("c")).otherwise(F.concat("c", F.lit("#"), number)).alias("c")))
 
 
-def _match(a: DataFrame, b: DataFrame, fa: dict[str, str], fb: dict[str, str]) -> bool:
-    ca, cb = _colours(a, fa), _colours(b, fb)
+def _match(a: DataFrame, b: DataFrame, cols: tuple[str, ...], fa: dict[str, str], fb: dict[str, str]) -> bool:
+    ca, cb = _colours(a, cols, fa), _colours(b, cols, fb)
     sizes = lambda c: c.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    if not (sizes(ca).subtract(sizes(cb)).isEmpty() and sizes(cb).subtract(sizes(ca)).isEmpty()):
+    if not _same(sizes(ca), sizes(cb)):
         return False
+    ca, cb = _numbered(a, cols, ca), _numbered(b, cols, cb)
     tied = sizes(ca).where("n > 1").orderBy("n", "c").first()
     if tied is None:
 
         def renamed(g: DataFrame, c: DataFrame) -> DataFrame:
-            for col in ("s", "o"):
+            names = g.columns
+            for col in cols:
                 m = c.select(F.col("v").alias(f"v{col}"), F.col("c").alias(f"c{col}"))
                 t = F.col(col)
-                g = g.join(m, (t["k"] == BNODE) & (t["v"] == F.col(f"v{col}")), "left").withColumn(col, F.when(t["k"] == BNODE, t.withField("v", F.col(f"c{col}"))).otherwise(t))
-            return g.select("s", "p", "o")
+                g = g.join(m, _blank(col) & (t["v"] == F.col(f"v{col}")), "left").withColumn(col, F.when(_blank(col), t.withField("v", F.col(f"c{col}"))).otherwise(t))
+            return g.select(*names)
 
-        return equal(renamed(a, ca), renamed(b, cb))
+        return _same(renamed(a, ca), renamed(b, cb))
     one = ca.where(F.col("c") == tied["c"]).orderBy("v").first()["v"]
     mark = f"m{len(fa)}"
     for r in cb.where(F.col("c") == tied["c"]).orderBy("v").toLocalIterator():
-        if _match(a, b, fa | {one: mark}, fb | {r["v"]: mark}):
+        if _match(a, b, cols, fa | {one: mark}, fb | {r["v"]: mark}):
             return True
     return False
 
